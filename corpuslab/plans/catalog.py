@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.plans import corpus, oracle
+from corpuslab.plans import corpus, oracle, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,15 @@ def queries() -> dict[str, Query]:
         "normalize_text": corpus.normalize_text_query,
         "dedup_exact": corpus.dedup_exact_query,
         "dedup_stats": corpus.dedup_stats_query,
+        "token_counts": tokenize.token_counts,
+        "token_offsets": tokenize.token_offsets,
+        "pack_bytes": tokenize.pack_bytes,
+        "word_vocabulary": tokenize.word_vocabulary,
+        "pack_words": tokenize.pack_words,
+        "pack_stats": tokenize.pack_stats,
+        "pad_truncate": tokenize.pad_truncate,
+        "synthetic_sequences": tokenize.synthetic_sequences,
+        "epoch_shards": tokenize.epoch_shards,
     }
     return q
 
@@ -25,4 +34,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql.update(oracle.CORPUS_SQL)
+    sql.update(oracle.TOKEN_SQL)
     return sql

@@ -80,3 +80,68 @@ SELECT total::BIGINT AS total_input, (total - surv)::BIGINT AS duplicates_remove
        CASE WHEN total > 0 THEN round((total - surv)::DOUBLE / total, 4) ELSE 0.0 END AS dedup_ratio
 FROM t""",
 }
+
+
+DEDUPED_CTE = f"""{CLASSIFIED_CTE},
+dd AS (SELECT doc_id, norm_text AS text FROM cls
+       WHERE reason = 'passed' AND doc_id IN (SELECT min(doc_id) FROM cls WHERE reason = 'passed' GROUP BY content_hash))"""
+
+_WORD = r"[\p{L}\p{N}]+"
+_L = 1024
+
+VOCAB_CTE = f"""
+vocab_c AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_WORD}')) AS w FROM dd) GROUP BY w),
+vocab AS (SELECT word, n, (row_number() OVER (ORDER BY n DESC, word))::INTEGER AS id FROM vocab_c),
+toks AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos
+         FROM (SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS ws FROM dd))"""
+
+TOKEN_SQL: dict[str, str] = {
+    "token_counts": f"""
+WITH {DEDUPED_CTE}
+SELECT doc_id, strlen(text)::BIGINT AS n_bytes, len(regexp_extract_all(text, '{_WORD}'))::BIGINT AS n_words FROM dd""",
+    "token_offsets": f"""
+WITH {DEDUPED_CTE}
+SELECT doc_id, strlen(text)::BIGINT AS n_tokens,
+       coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+FROM dd""",
+    "pack_bytes": f"""
+WITH {DEDUPED_CTE},
+o AS (SELECT doc_id, text, strlen(text) AS n,
+             coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+      FROM dd WHERE strlen(text) > 0),
+s AS (SELECT doc_id, text, n, off, unnest(range(off // {_L}, (off + n - 1) // {_L} + 1)) AS seq_id FROM o),
+p AS (SELECT seq_id, greatest(off, seq_id * {_L}) AS st, least(off + n, (seq_id + 1) * {_L}) AS en, off, text FROM s),
+h AS (SELECT seq_id, st, en - st AS len, substring(hex(encode(text)), 2 * (st - off) + 1, 2 * (en - st)) AS hx FROM p)
+SELECT seq_id::BIGINT AS seq_id, sha256(unhex(string_agg(hx, '' ORDER BY st))) AS seq_digest
+FROM h GROUP BY seq_id HAVING sum(len) = {_L}""",
+    "word_vocabulary": f"""
+WITH {DEDUPED_CTE}, {VOCAB_CTE}
+SELECT word, n::BIGINT AS n, id FROM vocab""",
+    "pack_words": f"""
+WITH {DEDUPED_CTE}, {VOCAB_CTE},
+o AS (SELECT doc_id, coalesce(sum(len(regexp_extract_all(text, '{_WORD}'))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM dd),
+g AS (SELECT (o.off + toks.pos) // {_L} AS seq_id, (o.off + toks.pos) % {_L} AS k, vocab.id
+      FROM toks JOIN o USING (doc_id) JOIN vocab USING (word))
+SELECT seq_id::BIGINT AS seq_id, sha256(array_to_string(list(id ORDER BY k), ' ')) AS seq_digest
+FROM g GROUP BY seq_id HAVING count(*) = {_L}""",
+    "pack_stats": f"""
+WITH {DEDUPED_CTE},
+c AS (SELECT 'byte' AS tokenizer, strlen(text) AS n FROM dd WHERE strlen(text) > 0
+      UNION ALL SELECT 'word', len(regexp_extract_all(text, '{_WORD}')) FROM dd WHERE strlen(text) > 0),
+t AS (SELECT tokenizer, count(*) AS input_records, coalesce(sum(n), 0) AS total_tokens FROM c GROUP BY tokenizer)
+SELECT tokenizer, input_records::BIGINT AS input_records, total_tokens::BIGINT AS total_tokens,
+       (total_tokens // {_L})::BIGINT AS sequence_count, (total_tokens // {_L} * {_L})::BIGINT AS tokens_packed,
+       CASE WHEN total_tokens > 0 THEN round((total_tokens // {_L} * {_L})::DOUBLE / total_tokens, 4) ELSE 0.0 END AS pack_efficiency
+FROM t""",
+    "pad_truncate": f"""
+WITH {DEDUPED_CTE}, {VOCAB_CTE},
+d AS (SELECT dd.doc_id, coalesce(list(vocab.id ORDER BY toks.pos) FILTER (WHERE vocab.id IS NOT NULL), []) AS ids
+      FROM dd LEFT JOIN toks ON dd.doc_id = toks.doc_id AND toks.pos < 128 LEFT JOIN vocab ON toks.word = vocab.word
+      GROUP BY dd.doc_id)
+SELECT doc_id, len(ids)::BIGINT AS n_ids, len(ids)::BIGINT AS mask_sum,
+       sha256(array_to_string(list_concat(ids, list_transform(range(128 - len(ids)), lambda x: 0)), ' ')) AS ids_digest
+FROM d""",
+    "synthetic_sequences": """
+SELECT doc_id AS id, sha256(array_to_string(list_transform(range(0, 32), lambda j: (j % 128 + doc_id) % 128), ' ')) AS tokens_digest
+FROM documents""",
+}
