@@ -25,43 +25,51 @@ from pyspark.sql import types as ST
 from corpuslab.session import stage
 
 
-def _local_exclusive(weight: str, out: str):
+def _local_exclusive(weights: list[str], outs: list[str]):
     def run(batches):
-        carry_key, carry_sum = None, 0
+        carry_key, carry = None, np.zeros(len(weights), dtype=np.int64)
         for pdf in batches:
             if pdf.empty:
                 continue
-            w = pdf[weight].fillna(0).astype("int64").to_numpy()
             key = pdf["_gk"].to_numpy()
             new_group = np.empty(len(key), dtype=bool)
             new_group[0] = key[0] != carry_key
             new_group[1:] = key[1:] != key[:-1]
             gid = np.cumsum(new_group)
-            inclusive = pd.Series(w).groupby(gid).cumsum().to_numpy()
-            local = inclusive - w
-            if not new_group[0]:
-                local[gid == gid[0]] += carry_sum
-            last = gid[-1]
-            carry_sum = int(inclusive[-1]) + (carry_sum if (not new_group[0] and last == gid[0]) else 0)
+            continues = not new_group[0]
+            for j, (wname, out) in enumerate(zip(weights, outs)):
+                w = pdf[wname].fillna(0).astype("int64").to_numpy()
+                inclusive = pd.Series(w).groupby(gid).cumsum().to_numpy()
+                local = inclusive - w
+                if continues:
+                    local[gid == gid[0]] += carry[j]
+                new_carry = int(inclusive[-1]) + (int(carry[j]) if continues and gid[-1] == gid[0] else 0)
+                carry[j] = new_carry
+                pdf[out] = local
             carry_key = key[-1]
-            pdf[out] = local
             yield pdf.drop(columns=["_gk"])
     return run
 
 
-def running_offsets(df: DataFrame, order: Sequence[Column | str], weight: Column | str, out: str,
+def running_offsets(df: DataFrame, order: Sequence[Column | str], weight, out,
                     group: Sequence[str] = (), n_parts: int | None = None) -> DataFrame:
     """``df`` plus ``out`` = exclusive running sum of ``weight`` in ``order`` within ``group``.
 
-    ``order`` must be unique within a group (add an id as the last key). Shuffles: one range
-    exchange of the input columns, one small aggregate of (partition, group) totals.
+    ``weight``/``out`` may be lists to compute several sums in the same pass. ``order`` must be
+    unique within a group (add an id as the last key). Shuffles: one range exchange of the input
+    columns, one small aggregate of (partition, group) totals.
     """
     spark = df.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     group = list(group)
-    w = F.col(weight) if isinstance(weight, str) else weight
-    base = df.withColumn("_w", w.cast("long"))
+    weights = list(weight) if isinstance(weight, (list, tuple)) else [weight]
+    outs = list(out) if isinstance(out, (list, tuple)) else [out]
+    wnames = [f"_w{i}" for i in range(len(weights))]
+    lnames = [f"_l{i}" for i in range(len(weights))]
+    base = df
+    for name, w in zip(wnames, weights):
+        base = base.withColumn(name, (F.col(w) if isinstance(w, str) else w).cast("long"))
     gk = F.to_json(F.struct(*[F.col(g) for g in group])) if group else F.lit("")
     ranged = (
         base.repartitionByRange(n_parts, *[F.col(g) for g in group], *order_cols)
@@ -70,20 +78,20 @@ def running_offsets(df: DataFrame, order: Sequence[Column | str], weight: Column
         .withColumn("_gk", gk)
     )
     schema = ST.StructType(
-        [f for f in ranged.schema.fields if f.name != "_gk"] + [ST.StructField("_local", ST.LongType(), False)]
+        [f for f in ranged.schema.fields if f.name != "_gk"] + [ST.StructField(n, ST.LongType(), False) for n in lnames]
     )
-    local = stage(ranged.mapInPandas(_local_exclusive("_w", "_local"), schema), "offsets")
-    totals = local.groupBy("_part", *group).agg(F.sum("_w").alias("_tot"))
+    local = stage(ranged.mapInPandas(_local_exclusive(wnames, lnames), schema), "offsets")
+    totals = local.groupBy("_part", *group).agg(*[F.sum(w).alias(f"_t{i}") for i, w in enumerate(wnames)])
     wbase = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_part")
-    bases = (
-        totals.withColumn("_base", F.sum("_tot").over(wbase.rowsBetween(Window.unboundedPreceding, -1)))
-        .filter(F.col("_base") > 0)
-        .select("_part", *group, "_base")
-    )
+    prior = wbase.rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_part", *group, *[F.sum(f"_t{i}").over(prior).alias(f"_b{i}") for i in range(len(wnames))])
+    # only a group crossing a partition boundary has a base: at most n_parts - 1 rows survive
+    bases = bases.filter(F.greatest(*[F.coalesce(F.col(f"_b{i}"), F.lit(0)) for i in range(len(wnames))], F.lit(0)) > 0)
     joined = local.join(F.broadcast(bases), on=["_part", *group], how="left")
-    return joined.withColumn(out, F.col("_local") + F.coalesce(F.col("_base"), F.lit(0))).drop(
-        "_part", "_local", "_base", "_w"
-    )
+    for i, o in enumerate(outs):
+        joined = joined.withColumn(o, F.col(lnames[i]) + F.coalesce(F.col(f"_b{i}"), F.lit(0)))
+    drop = ["_part", *wnames, *lnames, *[f"_b{i}" for i in range(len(wnames))]]
+    return joined.drop(*drop)
 
 
 def dense_positions(df: DataFrame, order: Sequence[Column | str], out: str, group: Sequence[str] = (),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.plans import corpus, oracle, tokenize
+from corpuslab.plans import analytics, corpus, oracle, oracle_runs, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,8 @@ def queries() -> dict[str, Query]:
         "synthetic_sequences": tokenize.synthetic_sequences,
         "epoch_shards": tokenize.epoch_shards,
     }
+    for name in oracle_runs.RUN_SQL:
+        q[name] = getattr(analytics, name)
     return q
 
 
@@ -35,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql.update(oracle.CORPUS_SQL)
     sql.update(oracle.TOKEN_SQL)
+    sql.update(oracle_runs.RUN_SQL)
     return sql
