@@ -28,9 +28,13 @@ NON_LETTER = r"[^\p{L}]"
 MAY_CHANGE_UNDER_NFC = r"[^\x{0}-\x{2ff}]"
 
 
+# The same set as characters, for ``trim`` (a character-set trim, no regex).
+PY_SPACE_CHARS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def py_strip(c: Column) -> Column:
     """Python ``str.strip()``."""
-    return F.regexp_replace(c, rf"\A{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+\z", "")
+    return F.trim(c, F.lit(PY_SPACE_CHARS))
 
 
 def split_lines(c: Column) -> Column:
@@ -118,13 +122,17 @@ def low_signal_reason(t: Column) -> Column:
     """
     nb = F.octet_length(t)
     nc = F.length(t)
-    n_lines = nonblank_line_count(t)
+    n_boiler = boilerplate_line_count(t)
     return (
         F.when(nb < K.MIN_CONTENT_BYTES, F.lit("too_short"))
         .when((nc > 0) & ((F.lit(1.0) - letter_count(t) / nc) > F.lit(K.MAX_NON_ALPHA_RATIO)),
               F.lit("non_alpha_ratio"))
-        .when(n_lines == 0, F.lit("empty_after_strip"))
-        .when((boilerplate_line_count(t) / n_lines) > F.lit(K.MAX_BOILERPLATE_RATIO), F.lit("boilerplate"))
+        # stripped text that is not empty starts with a non-space character, so it has a
+        # non-blank line: "no non-blank lines" is exactly "empty"
+        .when(t == F.lit(""), F.lit("empty_after_strip"))
+        # lines are only counted when a boilerplate line exists (AND short-circuits)
+        .when((n_boiler > 0) & ((n_boiler / nonblank_line_count(t)) > F.lit(K.MAX_BOILERPLATE_RATIO)),
+              F.lit("boilerplate"))
     )
 
 

@@ -23,7 +23,9 @@ def classify(docs: DataFrame, text_col: str = "text") -> DataFrame:
     raw = docs.withColumn("_t", T.py_strip(F.col(text_col)))
     raw = raw.withColumn("_r1", T.low_signal_reason(F.col("_t")))
     norm = raw.withColumn("norm_text", T.normalize_text(F.when(F.col("_r1").isNull(), F.col(text_col))))
-    norm = norm.withColumn("_r2", F.when(F.col("_r1").isNull(), T.low_signal_reason(F.col("norm_text"))))
+    # the second pass can only differ when normalization changed more than the ends
+    norm = norm.withColumn("_r2", F.when(F.col("_r1").isNull() & (F.col("norm_text") != F.col("_t")),
+                                         T.low_signal_reason(F.col("norm_text"))))
     passed = F.col("_r1").isNull() & F.col("_r2").isNull()
     return (
         norm.withColumn("reason", F.coalesce("_r1", "_r2", F.lit("passed")))
