@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.plans import analytics, corpus, oracle, oracle_runs, tokenize
+from corpuslab.plans import analytics, corpus, gates, oracle, oracle_runs, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,8 @@ def queries() -> dict[str, Query]:
         "pad_truncate": tokenize.pad_truncate,
         "synthetic_sequences": tokenize.synthetic_sequences,
         "epoch_shards": tokenize.epoch_shards,
+        "perplexity_gate": gates.perplexity_gate,
+        "dataset_manifest": gates.dataset_manifest,
     }
     for name in oracle_runs.RUN_SQL:
         q[name] = getattr(analytics, name)
@@ -38,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
     sql.update(oracle.CORPUS_SQL)
     sql.update(oracle.TOKEN_SQL)
     sql.update(oracle_runs.RUN_SQL)
+    sql.update(oracle.GATE_SQL)
     return sql

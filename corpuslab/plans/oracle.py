@@ -145,3 +145,46 @@ FROM d""",
 SELECT doc_id AS id, sha256(array_to_string(list_transform(range(0, 32), lambda j: (j % 128 + doc_id) % 128), ' ')) AS tokens_digest
 FROM documents""",
 }
+
+
+GATE_SQL: dict[str, str] = {
+    "perplexity_gate": f"""
+WITH {DEDUPED_CTE},
+vc AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_WORD}')) AS w FROM dd) GROUP BY w),
+tot AS (SELECT ln(sum(n) + count(*)) AS lz FROM vc),
+smp AS (SELECT source, doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+smp2 AS (SELECT source, doc_id, text FROM smp UNION ALL SELECT '*', doc_id, text FROM smp),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM smp2) WHERE i < 500),
+toks AS (SELECT source, doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos
+         FROM (SELECT source, doc_id, regexp_extract_all(text, '{_WORD}') AS ws FROM capped)),
+t2 AS (SELECT * FROM toks WHERE pos < 512),
+keep AS (SELECT source, doc_id FROM t2 GROUP BY source, doc_id HAVING count(*) >= 2),
+sc AS (SELECT t2.source, sum((SELECT lz FROM tot) - ln(coalesce(vc.n, 0) + 1)) AS loss, count(*) AS ntok
+       FROM t2 JOIN keep USING (source, doc_id) LEFT JOIN vc USING (word) GROUP BY t2.source),
+g AS (SELECT DISTINCT source FROM smp2),
+r AS (SELECT g.source, coalesce(ntok, 0) AS tokens_evaluated,
+             CASE WHEN ntok > 0 THEN loss / ntok ELSE 'inf'::DOUBLE END AS avg_loss FROM g LEFT JOIN sc USING (source)),
+r2 AS (SELECT *, exp(avg_loss) AS ppl FROM r),
+b AS (SELECT ppl AS base FROM r2 WHERE source = '*')
+SELECT source, tokens_evaluated, round(ppl, 4) AS perplexity,
+       (ppl > 2000.0)::INTEGER + (ppl > base * 1.05)::INTEGER = 0 AS passed,
+       (ppl > 2000.0)::INTEGER + (ppl > base * 1.05)::INTEGER AS n_reasons
+FROM r2, b""",
+    "dataset_manifest": f"""
+WITH {CLASSIFIED_CTE},
+raw AS (SELECT source, count(*) AS source_file_count, sum(n_bytes)::BIGINT AS source_total_bytes FROM cls GROUP BY source),
+norm AS (SELECT source, count(*) FILTER (WHERE reason = 'passed') AS output_record_count,
+                count(*) FILTER (WHERE reason <> 'passed') AS rejected_count FROM cls GROUP BY source),
+h AS (SELECT source, content_hash, count(*) AS c, max(strlen(norm_text)) AS b FROM cls WHERE reason = 'passed' GROUP BY source, content_hash),
+d AS (SELECT source, sum(c)::BIGINT AS total_input, count(*) AS surviving, sum(b)::BIGINT AS token_count FROM h GROUP BY source)
+SELECT raw.source AS run_name, source_file_count, source_total_bytes,
+       coalesce(output_record_count, 0) AS output_record_count, coalesce(rejected_count, 0) AS rejected_count,
+       coalesce(total_input, 0) AS dedup_total_input, coalesce(total_input - surviving, 0) AS duplicates_removed,
+       coalesce(surviving, 0) AS surviving,
+       coalesce(CASE WHEN total_input > 0 THEN round((total_input - surviving)::DOUBLE / total_input, 4) ELSE 0.0 END, 0.0) AS dedup_ratio,
+       coalesce(token_count, 0) AS token_count, coalesce(token_count // 1024, 0) AS sequence_count,
+       coalesce(CASE WHEN token_count > 0 THEN round((token_count // 1024 * 1024)::DOUBLE / token_count, 4) END, 0.0) AS pack_efficiency,
+       concat_ws(',', CASE WHEN surviving IS NULL THEN 'dedup' END,
+                      CASE WHEN coalesce(token_count, 0) = 0 THEN 'tokenize' END) AS missing_phases
+FROM raw LEFT JOIN norm USING (source) LEFT JOIN d USING (source)""",
+}
