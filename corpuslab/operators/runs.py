@@ -175,12 +175,25 @@ def run_report(summary: DataFrame, baseline_key: str = "instance_type") -> DataF
     )
 
 
+# Row labels of the reference's report table, in its order.
+REPORT_LABELS = {
+    "gpu_hours": "GPU hours to passing checkpoint",
+    "tokens_per_sec": "Tokens/sec",
+    "cost_usd": "Cost per trained model (USD)",
+    "perplexity": "Perplexity",
+    "resumed_from_step": "Resumed from step",
+}
+
+
 def report_markdown(report: DataFrame) -> DataFrame:
-    """The report table rows as Markdown lines (one per run and metric); null -> n/a."""
-    def fmt(c):
-        return F.coalesce(F.format_string("%.2f", F.col(c)), F.lit("n/a"))
-    return report.select("run_name", "metric", F.concat_ws(" | ", F.lit("|"), "metric", fmt("baseline"), fmt("current"),
-                                                            fmt("delta"), F.lit("|")).alias("line"))
+    """The report table rows as Markdown lines ``| label | baseline | this run | delta |``;
+    null -> n/a."""
+    from corpuslab.functions.fmt import fmt_num
+
+    label = map_lookup(F.col("metric"), REPORT_LABELS)
+    line = F.concat(F.lit("| "), label, F.lit(" | "), fmt_num(F.col("baseline")), F.lit(" | "),
+                    fmt_num(F.col("current")), F.lit(" | "), fmt_num(F.col("delta")), F.lit(" |"))
+    return report.select("run_name", "metric", line.alias("line"))
 
 
 def fleet_cost(instances: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ shuffle by sequence id has no skew whatever the document sizes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -152,6 +154,18 @@ def bytes_to_ids(b: pd.Series) -> pd.Series:
     return b.map(lambda x: None if x is None else np.frombuffer(bytes(x), dtype=np.uint8).astype(np.int32))
 
 
+def external_tokenizer(loader):
+    """X1 plug-in: ``loader()`` returns an ``encode(text) -> list[int]`` (e.g. a BPE tokenizer built
+    from a local vocabulary file). It runs once per task; the iterator UDF then encodes Arrow batches."""
+    @F.pandas_udf(ST.ArrayType(ST.IntegerType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc = loader()
+        for s in batches:
+            yield s.map(lambda t: None if t is None else [int(i) for i in enc(t)])
+
+    return encode
+
+
 def pad_truncate(ids: Column, L: int, pad_id: int = 0) -> tuple[Column, Column]:
     """Ids truncated or right-padded to L, and the attention mask (1 real, 0 pad)."""
     n = F.least(F.size(ids), F.lit(L))

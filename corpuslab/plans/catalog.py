@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         "epoch_shards": tokenize.epoch_shards,
         "perplexity_gate": gates.perplexity_gate,
         "dataset_manifest": gates.dataset_manifest,
+        "dataset_digest": gates.dataset_digest,
     }
     for name in oracle_runs.RUN_SQL:
         q[name] = getattr(analytics, name)

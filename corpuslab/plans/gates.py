@@ -110,3 +110,10 @@ def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("pack_efficiency", F.lit(0.0)).alias("pack_efficiency"),
         missing.alias("missing_phases"),
     )
+
+
+def dataset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 over the deduplicated corpus (doc_id, text)."""
+    from corpuslab.operators.manifests import dataset_digest as digest
+
+    return digest(corpus_docs(spark, sf_dir), ["doc_id", "text"])

@@ -188,3 +188,10 @@ SELECT raw.source AS run_name, source_file_count, source_total_bytes,
                       CASE WHEN coalesce(token_count, 0) = 0 THEN 'tokenize' END) AS missing_phases
 FROM raw LEFT JOIN norm USING (source) LEFT JOIN d USING (source)""",
 }
+
+GATE_SQL["dataset_digest"] = f"""
+WITH {DEDUPED_CTE},
+h AS (SELECT sha256(concat_ws(chr(9), coalesce(doc_id::VARCHAR, '\\N'), coalesce(text, '\\N'))) AS rh FROM dd)
+SELECT count(*) AS n_rows,
+       sha256(count(*)::VARCHAR || ':' || coalesce(sum(('0x' || substr(rh, 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR) AS digest
+FROM h"""
