@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -35,11 +36,12 @@ def _local_exclusive(weights: list[str], outs: list[str]):
             new_group = np.empty(len(key), dtype=bool)
             new_group[0] = key[0] != carry_key
             new_group[1:] = key[1:] != key[:-1]
+            single = not new_group[1:].any()
             gid = np.cumsum(new_group)
             continues = not new_group[0]
             for j, (wname, out) in enumerate(zip(weights, outs)):
                 w = pdf[wname].fillna(0).astype("int64").to_numpy()
-                inclusive = pd.Series(w).groupby(gid).cumsum().to_numpy()
+                inclusive = np.cumsum(w) if single else pd.Series(w).groupby(gid).cumsum().to_numpy()
                 local = inclusive - w
                 if continues:
                     local[gid == gid[0]] += carry[j]
@@ -52,10 +54,12 @@ def _local_exclusive(weights: list[str], outs: list[str]):
 
 
 def running_offsets(df: DataFrame, order: Sequence[Column | str], weight, out,
-                    group: Sequence[str] = (), n_parts: int | None = None) -> DataFrame:
+                    group: Sequence[str] = (), n_parts: int | None = None, persist_input: bool = False) -> DataFrame:
     """``df`` plus ``out`` = exclusive running sum of ``weight`` in ``order`` within ``group``.
 
-    ``weight``/``out`` may be lists to compute several sums in the same pass. ``order`` must be
+    ``weight``/``out`` may be lists to compute several sums in the same pass. ``persist_input``
+    keeps an expensive input (an aggregate, a regex count) for the range exchange, which samples
+    its input before shuffling it; a plain scan is cheaper to read twice. ``order`` must be
     unique within a group (add an id as the last key). Shuffles: one range exchange of the input
     columns, one small aggregate of (partition, group) totals.
     """
@@ -70,7 +74,16 @@ def running_offsets(df: DataFrame, order: Sequence[Column | str], weight, out,
     base = df
     for name, w in zip(wnames, weights):
         base = base.withColumn(name, (F.col(w) if isinstance(w, str) else w).cast("long"))
-    gk = F.to_json(F.struct(*[F.col(g) for g in group])) if group else F.lit("")
+    if not group:
+        gk = F.lit("")
+    elif len(group) == 1:
+        gk = F.col(group[0]).cast("string")
+    else:
+        gk = F.to_json(F.struct(*[F.col(g) for g in group]))
+    # the range exchange samples its input and then shuffles it: keep the (narrow) input for both
+    # instead of computing it twice; a lost block is recomputed from lineage
+    if persist_input:
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = (
         base.repartitionByRange(n_parts, *[F.col(g) for g in group], *order_cols)
         .sortWithinPartitions(*[F.col(g) for g in group], *order_cols)
@@ -81,6 +94,8 @@ def running_offsets(df: DataFrame, order: Sequence[Column | str], weight, out,
         [f for f in ranged.schema.fields if f.name != "_gk"] + [ST.StructField(n, ST.LongType(), False) for n in lnames]
     )
     local = stage(ranged.mapInPandas(_local_exclusive(wnames, lnames), schema), "offsets")
+    if persist_input:
+        base.unpersist()
     totals = local.groupBy("_part", *group).agg(*[F.sum(w).alias(f"_t{i}") for i, w in enumerate(wnames)])
     wbase = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_part")
     prior = wbase.rowsBetween(Window.unboundedPreceding, -1)
@@ -95,7 +110,7 @@ def running_offsets(df: DataFrame, order: Sequence[Column | str], weight, out,
 
 
 def dense_positions(df: DataFrame, order: Sequence[Column | str], out: str, group: Sequence[str] = (),
-                    n_parts: int | None = None) -> DataFrame:
+                    n_parts: int | None = None, persist_input: bool = False) -> DataFrame:
     """0-based row number in ``order`` (within ``group``); the distributed form of
     ``row_number() - 1`` over a whole table."""
-    return running_offsets(df, order, F.lit(1), out, group, n_parts)
+    return running_offsets(df, order, F.lit(1), out, group, n_parts, persist_input)

@@ -47,14 +47,14 @@ def fit_vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     counts = docs.select(F.explode(words(F.col(text_col))).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("n")
     )
-    ranked = dense_positions(counts, [F.col("n").desc(), F.col("word").asc()], "id")
+    ranked = dense_positions(counts, [F.col("n").desc(), F.col("word").asc()], "id", persist_input=True)
     return ranked.withColumn("id", (F.col("id") + 1).cast("int"))
 
 
 def token_offsets(docs: DataFrame, tokenizer: str, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(order key, n_tokens, off) with ``off`` the exclusive running token count."""
     counted = docs.select(order_col, n_tokens(F.col(text_col), tokenizer).alias("n_tokens"))
-    return running_offsets(counted, [order_col], "n_tokens", "off")
+    return running_offsets(counted, [order_col], "n_tokens", "off", persist_input=tokenizer != "byte")
 
 
 def _idiv(c: Column, L: int) -> Column:

@@ -10,7 +10,7 @@ from corpuslab.operators import tokens as TK
 from corpuslab.operators.ordering import dense_positions
 from corpuslab.plans.corpus import classified_documents
 from corpuslab.plans.tokenize import SEQ_LEN, corpus_docs
-from corpuslab.session import read_table
+from corpuslab.session import read_table, stage
 
 EVAL_MAX_LENGTH = 512  # truncation length of the reference's evaluation
 MAX_PERPLEXITY = 2000.0  # gate threshold for the corpus word model (the reference's 90 is for a GPT-2 model)
@@ -65,10 +65,11 @@ def perplexity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = read_table(spark, sf_dir, "documents").join(labeled, on="doc_id", how="left_semi")
     per_source = evaluate_perplexity(samples, counts, log_norm, "source")
     overall = evaluate_perplexity(samples.withColumn("source", F.lit("*")), counts, log_norm, "source")
-    base = overall.select(F.col("perplexity").alias("_base"))
+    # one row per source: staged so the baseline read below does not recompute it
+    results = stage(per_source.unionByName(overall), "perplexity")
     # one-row baseline: join on a literal true would be a cross join, so carry it as a scalar
-    base_val = base.first()["_base"]
-    res = gate(per_source.unionByName(overall), MAX_PERPLEXITY, F.lit(base_val))
+    base_val = results.filter(F.col("source") == "*").first()["perplexity"]
+    res = gate(results, MAX_PERPLEXITY, F.lit(base_val))
     return res.select("source", "tokens_evaluated", F.round("perplexity", 4).alias("perplexity"), "passed",
                       F.size("reasons").alias("n_reasons"))
 
