@@ -30,7 +30,7 @@ def latest_valid(ck: DataFrame) -> DataFrame:
 
 def retention(ck: DataFrame, keep: int = 3) -> DataFrame:
     """Per run, checkpoints beyond the newest ``keep`` (by step) are expired."""
-    pos = dense_positions(ck.select("run_name", "step"), [F.col("step").desc()], "_rank", group=["run_name"])
+    pos = dense_positions(ck.select("run_name", "step"), [("step", True)], "_rank", group=["run_name"])
     return pos.select("run_name", "step", (F.col("_rank") >= keep).alias("expired"))
 
 

@@ -1,115 +1,132 @@
 """Ordered running sums and ranks without a single-task window (W2, W7, W8 building block).
 
 ``running_offsets`` gives every row the sum of ``weight`` over the rows before it in ``order``
-(within its group, if any). Plan:
-
-1. ``repartitionByRange`` on (group, order): partitions hold contiguous, balanced key ranges, so a
-   group holding a third of all rows is split across many tasks instead of landing in one.
-2. one vectorized pass per partition (``mapInPandas``, rows already sorted) for the local
-   exclusive sum; the result is staged so the range bounds are fixed for the next steps.
-3. per (partition, group) totals, then a window over that small table gives each group's base in
-   each partition. Only a group that crosses a partition boundary has a non-zero base, so at most
-   P-1 rows remain: that table has a proven bound and is broadcast back.
+(within its group, if any). Plan, all JVM-side:
+
+1. a bounded key sample (about 20 rows per bucket) gives equal-frequency bucket bounds on
+   (group, order); each row's bucket is a binary-search ``CASE`` over those literal bounds, so a
+   group holding a third of all rows is cut into many buckets, and the bucket is a pure function
+   of the key (no staging needed for a consistent layout).
+2. ``repartition`` on the bucket (4 buckets per task smooths the hash placement), then one window
+   per bucket (and group) for the local exclusive sum: one sort per task, no single-task window.
+3. per (bucket, group) totals read the same exchange; a window over that small table gives each
+   group's base per bucket. Only a group that crosses a bucket boundary has a non-zero base, so at
+   most B-1 rows remain: that table has a proven bound and is broadcast back.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
 from corpuslab.session import stage
 
+BUCKETS_PER_TASK = 4
+SAMPLE_PER_BUCKET = 20
+
+
+def _key_parts(order, group: Sequence[str]):
+    """(column, descending) per key, group columns first. An order key is a column name or a
+    ``(name, descending)`` pair."""
+    parts = [(F.col(g), False) for g in group]
+    for k in order:
+        name, desc = (k, False) if isinstance(k, str) else (k[0], bool(k[1]))
+        parts.append((F.col(name), desc))
+    return parts
+
 
-def _local_exclusive(weights: list[str], outs: list[str]):
-    def run(batches):
-        carry_key, carry = None, np.zeros(len(weights), dtype=np.int64)
-        for pdf in batches:
-            if pdf.empty:
+def _sort_key(directions):
+    def cmp(a, b):
+        for x, y, desc in zip(a, b, directions):
+            if x == y:
                 continue
-            key = pdf["_gk"].to_numpy()
-            new_group = np.empty(len(key), dtype=bool)
-            new_group[0] = key[0] != carry_key
-            new_group[1:] = key[1:] != key[:-1]
-            single = not new_group[1:].any()
-            gid = np.cumsum(new_group)
-            continues = not new_group[0]
-            for j, (wname, out) in enumerate(zip(weights, outs)):
-                w = pdf[wname].fillna(0).astype("int64").to_numpy()
-                inclusive = np.cumsum(w) if single else pd.Series(w).groupby(gid).cumsum().to_numpy()
-                local = inclusive - w
-                if continues:
-                    local[gid == gid[0]] += carry[j]
-                new_carry = int(inclusive[-1]) + (int(carry[j]) if continues and gid[-1] == gid[0] else 0)
-                carry[j] = new_carry
-                pdf[out] = local
-            carry_key = key[-1]
-            yield pdf.drop(columns=["_gk"])
-    return run
-
-
-def running_offsets(df: DataFrame, order: Sequence[Column | str], weight, out,
+            lt = x < y
+            return (1 if lt else -1) if desc else (-1 if lt else 1)
+        return 0
+    return functools.cmp_to_key(cmp)
+
+
+def _greater(cols, bound, directions) -> Column:
+    """Lexicographic ``key > bound`` under the given directions."""
+    expr = None
+    for c, b, desc in reversed(list(zip(cols, bound, directions))):
+        strict = (c < F.lit(b)) if desc else (c > F.lit(b))
+        expr = strict if expr is None else (strict | ((c == F.lit(b)) & expr))
+    return expr
+
+
+def _bucket(cols, bounds, directions) -> Column:
+    """Number of bounds the key is greater than, by binary search over the sorted bounds."""
+    def node(lo, hi):
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(_greater(cols, bounds[mid], directions), node(mid + 1, hi)).otherwise(node(lo, mid))
+    return node(0, len(bounds))
+
+
+def running_offsets(df: DataFrame, order: Sequence, weight, out,
                     group: Sequence[str] = (), n_parts: int | None = None, persist_input: bool = False) -> DataFrame:
     """``df`` plus ``out`` = exclusive running sum of ``weight`` in ``order`` within ``group``.
 
-    ``weight``/``out`` may be lists to compute several sums in the same pass. ``persist_input``
-    keeps an expensive input (an aggregate, a regex count) for the range exchange, which samples
-    its input before shuffling it; a plain scan is cheaper to read twice. ``order`` must be
-    unique within a group (add an id as the last key). Shuffles: one range exchange of the input
-    columns, one small aggregate of (partition, group) totals.
+    ``weight``/``out`` may be lists to compute several sums in the same pass. ``order`` must be
+    unique within a group (add an id as the last key). ``persist_input`` keeps an expensive input
+    (an aggregate, a regex count) as a staged table for the count, the key sample and the
+    exchange; a plain scan is cheaper to read three times. Shuffles: one exchange of the input on the bucket, one small totals aggregate.
     """
     spark = df.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     group = list(group)
     weights = list(weight) if isinstance(weight, (list, tuple)) else [weight]
     outs = list(out) if isinstance(out, (list, tuple)) else [out]
     wnames = [f"_w{i}" for i in range(len(weights))]
-    lnames = [f"_l{i}" for i in range(len(weights))]
     base = df
     for name, w in zip(wnames, weights):
         base = base.withColumn(name, (F.col(w) if isinstance(w, str) else w).cast("long"))
-    if not group:
-        gk = F.lit("")
-    elif len(group) == 1:
-        gk = F.col(group[0]).cast("string")
-    else:
-        gk = F.to_json(F.struct(*[F.col(g) for g in group]))
-    # the range exchange samples its input and then shuffles it: keep the (narrow) input for both
-    # instead of computing it twice; a lost block is recomputed from lineage
-    if persist_input:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = (
-        base.repartitionByRange(n_parts, *[F.col(g) for g in group], *order_cols)
-        .sortWithinPartitions(*[F.col(g) for g in group], *order_cols)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_gk", gk)
-    )
-    schema = ST.StructType(
-        [f for f in ranged.schema.fields if f.name != "_gk"] + [ST.StructField(n, ST.LongType(), False) for n in lnames]
-    )
-    local = stage(ranged.mapInPandas(_local_exclusive(wnames, lnames), schema), "offsets")
+    parts = _key_parts(order, group)
+    cols = [p[0] for p in parts]
+    directions = [p[1] for p in parts]
     if persist_input:
-        base.unpersist()
-    totals = local.groupBy("_part", *group).agg(*[F.sum(w).alias(f"_t{i}") for i, w in enumerate(wnames)])
+        # an expensive input (an aggregate, regex counts) is written once; the count, the key
+        # sample and the exchange then read the narrow copy
+        base = stage(base, "ordered-input")
+    n_buckets = n_parts * BUCKETS_PER_TASK
+    total = base.count()
+    if total > 0 and n_buckets > 1:
+        fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / total)
+        sample = [tuple(r) for r in base.select(*cols).sample(False, fraction, 17).collect()]  # bounded sample
+        sample.sort(key=_sort_key(directions))
+        step = len(sample) / n_buckets
+        bounds = []
+        for i in range(1, n_buckets):
+            b = sample[min(len(sample) - 1, int(i * step))] if sample else None
+            if b is not None and (not bounds or b != bounds[-1]):
+                bounds.append(b)
+    else:
+        bounds = []
+    bucketed = base.withColumn("_part", _bucket(cols, bounds, directions)).repartition(n_parts, "_part")
+    order_cols = [F.col(k) if isinstance(k, str) else (F.col(k[0]).desc() if k[1] else F.col(k[0])) for k in order]
+    wlocal = Window.partitionBy("_part", *group).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = bucketed
+    for i, wname in enumerate(wnames):
+        local = local.withColumn(f"_l{i}", F.coalesce(F.sum(wname).over(wlocal), F.lit(0)))
+    totals = bucketed.groupBy("_part", *group).agg(*[F.sum(w).alias(f"_t{i}") for i, w in enumerate(wnames)])
     wbase = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_part")
     prior = wbase.rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_part", *group, *[F.sum(f"_t{i}").over(prior).alias(f"_b{i}") for i in range(len(wnames))])
-    # only a group crossing a partition boundary has a base: at most n_parts - 1 rows survive
+    # only a group crossing a bucket boundary has a base: at most n_buckets - 1 rows survive
     bases = bases.filter(F.greatest(*[F.coalesce(F.col(f"_b{i}"), F.lit(0)) for i in range(len(wnames))], F.lit(0)) > 0)
     joined = local.join(F.broadcast(bases), on=["_part", *group], how="left")
     for i, o in enumerate(outs):
-        joined = joined.withColumn(o, F.col(lnames[i]) + F.coalesce(F.col(f"_b{i}"), F.lit(0)))
-    drop = ["_part", *wnames, *lnames, *[f"_b{i}" for i in range(len(wnames))]]
+        joined = joined.withColumn(o, F.col(f"_l{i}") + F.coalesce(F.col(f"_b{i}"), F.lit(0)))
+    drop = ["_part", *wnames, *[f"_l{i}" for i in range(len(wnames))], *[f"_b{i}" for i in range(len(wnames))]]
     return joined.drop(*drop)
 
 
-def dense_positions(df: DataFrame, order: Sequence[Column | str], out: str, group: Sequence[str] = (),
+def dense_positions(df: DataFrame, order: Sequence, out: str, group: Sequence[str] = (),
                     n_parts: int | None = None, persist_input: bool = False) -> DataFrame:
     """0-based row number in ``order`` (within ``group``); the distributed form of
     ``row_number() - 1`` over a whole table."""

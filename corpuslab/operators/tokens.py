@@ -47,7 +47,7 @@ def fit_vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     counts = docs.select(F.explode(words(F.col(text_col))).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("n")
     )
-    ranked = dense_positions(counts, [F.col("n").desc(), F.col("word").asc()], "id", persist_input=True)
+    ranked = dense_positions(counts, [("n", True), "word"], "id", persist_input=True)
     return ranked.withColumn("id", (F.col("id") + 1).cast("int"))
 
 

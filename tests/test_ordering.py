@@ -30,7 +30,7 @@ def test_dense_positions_desc_order(spark):
     df = spark.createDataFrame(rows, "word string, n long")
     from pyspark.sql import functions as F
 
-    got = dense_positions(df, [F.col("n").desc(), F.col("word")], "pos", n_parts=4).toPandas()
+    got = dense_positions(df, [("n", True), "word"], "pos", n_parts=4).toPandas()
     exp = pd.DataFrame(rows, columns=["word", "n"]).sort_values(["n", "word"], ascending=[False, True])
     exp["pos"] = range(len(exp))
     m = got.merge(exp, on=["word", "n"], suffixes=("", "_e"))
