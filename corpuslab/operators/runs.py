@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import constants as K
 from corpuslab.operators.ordering import dense_positions, running_offsets
+from corpuslab.session import stage
 
 
 def map_lookup(col: Column, mapping: dict) -> Column:
@@ -50,7 +51,8 @@ def latency_summary(requests: DataFrame, concurrency: int | None = None) -> Data
         total_time = F.round(F.col("_lat_sum") * F.lit(Decimal(1) / Decimal(concurrency)), 2).cast("double")
     else:
         total_time = F.round(F.col("_span_us").cast("decimal(20,0)") * F.lit(Decimal("0.000001")), 2).cast("double")
-    summary = summary.withColumn("total_time_sec", total_time).drop("_span_us", "_lat_sum")
+    # one row per run, read by two branches: written once instead of re-aggregating every request
+    summary = stage(summary.withColumn("total_time_sec", total_time).drop("_span_us", "_lat_sum"), "latency-summary")
     pos = dense_positions(ok.select("run_name", "request_id", "latency_sec"), ["latency_sec", "request_id"], "pos",
                           group=["run_name"])
     n = F.col("successful")
@@ -160,6 +162,7 @@ def run_report(summary: DataFrame, baseline_key: str = "instance_type") -> DataF
     """Every run against the baseline run of its group (the first run in run order), long form
     (run, metric, baseline, current, delta), values rounded to 2 digits like the report table;
     delta is null when either side is null."""
+    summary = stage(summary, "run-summary")  # one row per run, read by both sides of the comparison
     base_ids = summary.groupBy(baseline_key).agg(F.min("user_id").alias("user_id"))
     metric_struct = [F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("v")) for m, c in REPORT_METRICS]
     cur = summary.select("run_name", baseline_key, F.explode(F.array(*metric_struct)).alias("m")).select(
