@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.plans import analytics, corpus, gates, oracle, oracle_runs, tokenize
+from corpuslab.plans import analytics, archives_q, corpus, gates, oracle, oracle_runs, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,7 @@ def queries() -> dict[str, Query]:
         "perplexity_gate": gates.perplexity_gate,
         "dataset_manifest": gates.dataset_manifest,
         "dataset_digest": gates.dataset_digest,
+        "wet_roundtrip": archives_q.wet_roundtrip,
     }
     for name in oracle_runs.RUN_SQL:
         q[name] = getattr(analytics, name)

@@ -195,3 +195,8 @@ h AS (SELECT sha256(concat_ws(chr(9), coalesce(doc_id::VARCHAR, '\\N'), coalesce
 SELECT count(*) AS n_rows,
        sha256(count(*)::VARCHAR || ':' || coalesce(sum(('0x' || substr(rh, 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR) AS digest
 FROM h"""
+
+GATE_SQL["wet_roundtrip"] = f"""
+WITH {CLASSIFIED_CTE}
+SELECT 'doc://' || source || '/' || doc_id::VARCHAR AS uri, content_hash, strlen(norm_text)::BIGINT AS n_bytes
+FROM cls WHERE reason = 'passed'"""
