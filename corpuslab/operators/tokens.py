@@ -64,17 +64,20 @@ def _idiv(c: Column, L: int) -> Column:
 
 def _pieces(docs_off: DataFrame, L: int, text_col: str) -> DataFrame:
     """(seq_id, start, piece binary) for the byte tokenizer: one row per document and sequence it
-    touches."""
+    touches. The slices are cut inside one ``transform`` over the sequence range, so each exploded
+    row carries only its own slice, never a copy of the whole document."""
     off, n = F.col("off"), F.col("n_tokens")
-    seq = F.explode(F.sequence(_idiv(off, L), _idiv(off + n - 1, L))).alias("seq_id")
-    exploded = docs_off.filter(n > 0).select("off", "n_tokens", F.encode(F.col(text_col), "UTF-8").alias("_b"), seq)
-    start = F.greatest(off, F.col("seq_id") * L)
-    end = F.least(off + n, (F.col("seq_id") + 1) * L)
-    return exploded.select(
-        F.col("seq_id").cast("long").alias("seq_id"),
-        start.alias("start"),
-        F.substring(F.col("_b"), (start - off + 1).cast("int"), (end - start).cast("int")).alias("piece"),
-    )
+    b = F.encode(F.col(text_col), "UTF-8")
+
+    def cut(s):
+        start = F.greatest(off, s * L)
+        end = F.least(off + n, (s + 1) * L)
+        return F.struct(s.alias("seq_id"), start.alias("start"),
+                        F.substring(b, (start - off + 1).cast("int"), (end - start).cast("int")).alias("piece"))
+
+    pieces = F.transform(F.sequence(_idiv(off, L), _idiv(off + n - 1, L)), cut)
+    return docs_off.filter(n > 0).select(F.explode(pieces).alias("p")).select(
+        F.col("p.seq_id").cast("long").alias("seq_id"), "p.start", "p.piece")
 
 
 def pack_bytes(docs: DataFrame, L: int, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
