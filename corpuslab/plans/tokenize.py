@@ -42,7 +42,7 @@ def word_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus_docs(spark, sf_dir)
-    vocab = stage(TK.fit_vocabulary(docs), "vocab")
+    vocab = TK.fit_vocabulary(docs)  # read once, by the join on word
     packed = TK.pack_word_ids(docs, vocab, SEQ_LEN)
     return packed.select("seq_id", TK.sequence_digest(F.col("tokens")).alias("seq_digest"))
 
@@ -59,7 +59,7 @@ def pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus_docs(spark, sf_dir)
-    vocab = stage(TK.fit_vocabulary(docs), "vocab")
+    vocab = TK.fit_vocabulary(docs)  # read once, by the join on word
     ids = TK.doc_word_ids(docs, vocab, max_pos=PAD_LEN)
     padded, mask = TK.pad_truncate(F.col("ids"), PAD_LEN, PAD_ID)
     return ids.select(
