@@ -1,17 +1,18 @@
 """Ordered running sums and ranks without a single-task window (W2, W7, W8 building block).
 
 ``running_offsets`` gives every row the sum of ``weight`` over the rows before it in ``order``
-(within its group, if any). Plan, all JVM-side:
-
-1. a bounded key sample (about 20 rows per bucket) gives equal-frequency bucket bounds on
-   (group, order); each row's bucket is a binary-search ``CASE`` over those literal bounds, so a
-   group holding a third of all rows is cut into many buckets, and the bucket is a pure function
-   of the key (no staging needed for a consistent layout).
-2. ``repartition`` on the bucket (4 buckets per task smooths the hash placement), then one window
-   per bucket (and group) for the local exclusive sum: one sort per task, no single-task window.
-3. per (bucket, group) totals read the same exchange; a window over that small table gives each
-   group's base per bucket. Only a group that crosses a bucket boundary has a non-zero base, so at
-   most B-1 rows remain: that table has a proven bound and is broadcast back.
+(within its group, if any). Both plans cut the key space into balanced, contiguous ranges, so a
+group holding a third of all rows is spread over many tasks, and both finish the same way: per
+(range, group) totals, a window over that small table for each group's base, and a broadcast of the
+non-zero bases. Only a group that crosses a range boundary has one, so at most R-1 rows remain: a
+proven bound.
+
+* few ranges (at most ``MAX_TREE_BUCKETS``, e.g. a local run): a bounded key sample gives the range
+  bounds, each row's range is a binary-search ``CASE`` over them (a pure function of the key), and
+  one JVM window per range computes the local sums after a hash exchange on the range.
+* many ranges (a cluster): Spark's own ``repartitionByRange`` (its range partitioner searches any
+  number of bounds), a vectorized pass per partition for the local sums, and the result staged so
+  the range assignment is fixed for the totals and the join back.
 """
 
 from __future__ import annotations
@@ -19,13 +20,44 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from corpuslab.session import stage
 
 BUCKETS_PER_TASK = 4
 SAMPLE_PER_BUCKET = 20
+MAX_TREE_BUCKETS = 64  # the binary-search CASE grows with the bucket count; beyond this use Spark's range partitioner
+
+
+def _local_exclusive(weights: list[str], outs: list[str]):
+    """Per-partition exclusive running sums over rows sorted by (group, order), vectorized."""
+    def run(batches):
+        carry_key, carry = None, np.zeros(len(weights), dtype=np.int64)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            key = pdf["_gk"].to_numpy()
+            new_group = np.empty(len(key), dtype=bool)
+            new_group[0] = key[0] != carry_key
+            new_group[1:] = key[1:] != key[:-1]
+            single = not new_group[1:].any()
+            gid = np.cumsum(new_group)
+            continues = not new_group[0]
+            for j, (wname, out) in enumerate(zip(weights, outs)):
+                w = pdf[wname].fillna(0).astype("int64").to_numpy()
+                inclusive = np.cumsum(w) if single else pd.Series(w).groupby(gid).cumsum().to_numpy()
+                local = inclusive - w
+                if continues:
+                    local[gid == gid[0]] += carry[j]
+                carry[j] = int(inclusive[-1]) + (int(carry[j]) if continues and gid[-1] == gid[0] else 0)
+                pdf[out] = local
+            carry_key = key[-1]
+            yield pdf.drop(columns=["_gk"])
+    return run
 
 
 def _key_parts(order, group: Sequence[str]):
@@ -73,9 +105,9 @@ def running_offsets(df: DataFrame, order: Sequence, weight, out,
     """``df`` plus ``out`` = exclusive running sum of ``weight`` in ``order`` within ``group``.
 
     ``weight``/``out`` may be lists to compute several sums in the same pass. ``order`` must be
-    unique within a group (add an id as the last key). ``persist_input`` keeps an expensive input
-    (an aggregate, a regex count) as a staged table for the count, the key sample and the
-    exchange; a plain scan is cheaper to read three times. Shuffles: one exchange of the input on the bucket, one small totals aggregate.
+    unique within a group (add an id as the last key); a key is a column name or a
+    ``(name, descending)`` pair. ``persist_input`` writes an expensive input (an aggregate, a regex
+    count) once, so the key sample and the exchange read a narrow copy instead of recomputing it.
     """
     spark = df.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -86,44 +118,70 @@ def running_offsets(df: DataFrame, order: Sequence, weight, out,
     base = df
     for name, w in zip(wnames, weights):
         base = base.withColumn(name, (F.col(w) if isinstance(w, str) else w).cast("long"))
+    if persist_input:
+        base = stage(base, "ordered-input")
+    order_cols = [F.col(k) if isinstance(k, str) else (F.col(k[0]).desc() if k[1] else F.col(k[0])) for k in order]
+    if n_parts * BUCKETS_PER_TASK <= MAX_TREE_BUCKETS:
+        local, n_ranges = _bucketed(base, order, order_cols, group, wnames, n_parts)
+    else:
+        local = _ranged(base, order_cols, group, wnames, n_parts)
+    totals = local.groupBy("_part", *group).agg(*[F.sum(w).alias(f"_t{i}") for i, w in enumerate(wnames)])
+    wbase = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_part")
+    prior = wbase.rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_part", *group, *[F.sum(f"_t{i}").over(prior).alias(f"_b{i}") for i in range(len(wnames))])
+    # only a group crossing a range boundary has a base: at most (ranges - 1) rows survive
+    bases = bases.filter(F.greatest(*[F.coalesce(F.col(f"_b{i}"), F.lit(0)) for i in range(len(wnames))], F.lit(0)) > 0)
+    joined = local.join(F.broadcast(bases), on=["_part", *group], how="left")
+    for i, o in enumerate(outs):
+        joined = joined.withColumn(o, F.col(f"_l{i}") + F.coalesce(F.col(f"_b{i}"), F.lit(0)))
+    drop = ["_part", *wnames, *[f"_l{i}" for i in range(len(wnames))], *[f"_b{i}" for i in range(len(wnames))]]
+    return joined.drop(*drop)
+
+
+def _bucketed(base: DataFrame, order, order_cols, group, wnames, n_parts):
+    """Few ranges: sampled bounds, binary-search CASE, hash exchange on the range, JVM windows."""
     parts = _key_parts(order, group)
     cols = [p[0] for p in parts]
     directions = [p[1] for p in parts]
-    if persist_input:
-        # an expensive input (an aggregate, regex counts) is written once; the count, the key
-        # sample and the exchange then read the narrow copy
-        base = stage(base, "ordered-input")
     n_buckets = n_parts * BUCKETS_PER_TASK
     total = base.count()
+    bounds = []
     if total > 0 and n_buckets > 1:
         fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / total)
         sample = [tuple(r) for r in base.select(*cols).sample(False, fraction, 17).collect()]  # bounded sample
         sample.sort(key=_sort_key(directions))
         step = len(sample) / n_buckets
-        bounds = []
         for i in range(1, n_buckets):
             b = sample[min(len(sample) - 1, int(i * step))] if sample else None
             if b is not None and (not bounds or b != bounds[-1]):
                 bounds.append(b)
-    else:
-        bounds = []
     bucketed = base.withColumn("_part", _bucket(cols, bounds, directions)).repartition(n_parts, "_part")
-    order_cols = [F.col(k) if isinstance(k, str) else (F.col(k[0]).desc() if k[1] else F.col(k[0])) for k in order]
     wlocal = Window.partitionBy("_part", *group).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     local = bucketed
     for i, wname in enumerate(wnames):
         local = local.withColumn(f"_l{i}", F.coalesce(F.sum(wname).over(wlocal), F.lit(0)))
-    totals = bucketed.groupBy("_part", *group).agg(*[F.sum(w).alias(f"_t{i}") for i, w in enumerate(wnames)])
-    wbase = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_part")
-    prior = wbase.rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", *group, *[F.sum(f"_t{i}").over(prior).alias(f"_b{i}") for i in range(len(wnames))])
-    # only a group crossing a bucket boundary has a base: at most n_buckets - 1 rows survive
-    bases = bases.filter(F.greatest(*[F.coalesce(F.col(f"_b{i}"), F.lit(0)) for i in range(len(wnames))], F.lit(0)) > 0)
-    joined = local.join(F.broadcast(bases), on=["_part", *group], how="left")
-    for i, o in enumerate(outs):
-        joined = joined.withColumn(o, F.col(f"_l{i}") + F.coalesce(F.col(f"_b{i}"), F.lit(0)))
-    drop = ["_part", *wnames, *[f"_l{i}" for i in range(len(wnames))], *[f"_b{i}" for i in range(len(wnames))]]
-    return joined.drop(*drop)
+    return local, len(bounds) + 1
+
+
+def _ranged(base: DataFrame, order_cols, group, wnames, n_parts):
+    """Many ranges: Spark's range partitioner, a vectorized local pass, staged."""
+    if not group:
+        gk = F.lit("")
+    elif len(group) == 1:
+        gk = F.col(group[0]).cast("string")
+    else:
+        gk = F.to_json(F.struct(*[F.col(g) for g in group]))
+    ranged = (
+        base.repartitionByRange(n_parts, *[F.col(g) for g in group], *order_cols)
+        .sortWithinPartitions(*[F.col(g) for g in group], *order_cols)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_gk", gk)
+    )
+    lnames = [f"_l{i}" for i in range(len(wnames))]
+    schema = ST.StructType(
+        [f for f in ranged.schema.fields if f.name != "_gk"] + [ST.StructField(n, ST.LongType(), False) for n in lnames]
+    )
+    return stage(ranged.mapInPandas(_local_exclusive(wnames, lnames), schema), "offsets")
 
 
 def dense_positions(df: DataFrame, order: Sequence, out: str, group: Sequence[str] = (),

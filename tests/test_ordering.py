@@ -35,3 +35,15 @@ def test_dense_positions_desc_order(spark):
     exp["pos"] = range(len(exp))
     m = got.merge(exp, on=["word", "n"], suffixes=("", "_e"))
     assert (m["pos"] == m["pos_e"]).all() and len(m) == 100
+
+
+def test_both_plans_agree(spark):
+    rnd = random.Random(11)
+    rows = [("hot" if rnd.random() < 0.5 else f"g{rnd.randint(0, 5)}", i, rnd.randint(0, 9)) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, k long, w long")
+    small = running_offsets(df, [("k", True)], "w", "off", group=["g"], n_parts=4).toPandas().sort_values(["g", "k"])
+    large = running_offsets(df, [("k", True)], "w", "off", group=["g"], n_parts=40).toPandas().sort_values(["g", "k"])
+    exp = pd.DataFrame(rows, columns=["g", "k", "w"]).sort_values(["g", "k"], ascending=[True, False])
+    exp["off"] = exp.groupby("g")["w"].cumsum() - exp["w"]
+    exp = exp.sort_values(["g", "k"])
+    assert small["off"].tolist() == exp["off"].tolist() == large["off"].tolist()
