@@ -24,9 +24,12 @@ def first_per_hash(df: DataFrame, hash_col: str = "content_hash", order_col: str
 
 
 def keep_first(df: DataFrame, hash_col: str = "content_hash", order_col: str = "doc_id") -> DataFrame:
-    """Surviving rows of ``df`` (all columns). Shuffle keys: hash (partial agg), then order key."""
-    kept = first_per_hash(df, hash_col, order_col).select(order_col)
-    return df.join(kept, on=order_col, how="left_semi")
+    """Surviving rows of ``df`` (all columns): ``min_by(struct(row), order)`` per hash. One
+    shuffle, keyed by hash, after the map-side combine; no join, so the row bodies (text) move
+    once and a hash held by a third of all rows still leaves each task as one row."""
+    cols = [c for c in df.columns if c != hash_col]
+    kept = df.groupBy(hash_col).agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_row"))
+    return kept.select(*[F.col(f"_row.{c}").alias(c) for c in cols], hash_col).select(*df.columns)
 
 
 def mark_duplicates(classified: DataFrame, order_col: str = "doc_id") -> DataFrame:
