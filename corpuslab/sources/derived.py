@@ -152,10 +152,15 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     sharded = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     key = F.col("o_orderkey").cast("string")
+    from corpuslab.operators.artifacts import checkpoint_step
+
     return o.select(
         _run("o_custkey").alias("run_name"),
         F.concat(F.lit("runs/"), _run("o_custkey"), F.lit("/checkpoint-"), key).alias("path"),
-        F.col("o_orderkey").alias("step"),
+        "o_orderkey", "o_orderpriority", "o_orderstatus",
+    ).select(
+        "run_name", "path",
+        checkpoint_step("path").alias("step"),  # S12: numeric step from the directory name
         sharded.alias("sharded"),
         F.when(~sharded, F.sha2(key, 256)).alias("checksum"),
         F.when(~sharded & (F.col("o_orderstatus") != "O"),
