@@ -98,9 +98,10 @@ def word_ids(docs: DataFrame, vocab: DataFrame, order_col: str = "doc_id", text_
              max_pos: int | None = None) -> DataFrame:
     """(order key, pos, id) for every word token (only ``pos < max_pos`` when truncating).
     Shuffle: join on word."""
-    exploded = docs.select(order_col, F.posexplode(words(F.col(text_col))).alias("pos", "word"))
-    if max_pos is not None:
-        exploded = exploded.filter(F.col("pos") < max_pos)
+    ws = words(F.col(text_col))
+    if max_pos is not None:  # truncation is the feature: only the first max_pos tokens are generated
+        ws = F.slice(ws, 1, max_pos)
+    exploded = docs.select(order_col, F.posexplode(ws).alias("pos", "word"))
     return exploded.join(vocab.select("word", "id"), on="word").drop("word")
 
 
