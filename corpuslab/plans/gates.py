@@ -34,9 +34,8 @@ def evaluate_perplexity(samples: DataFrame, counts: DataFrame, log_norm: float,
     capped = dense_positions(samples.select(group, "doc_id", "text"), ["doc_id"], "_i", group=[group]).filter(
         F.col("_i") < max_samples
     )
-    toks = capped.select(group, "doc_id", F.posexplode(TK.words(F.col("text"))).alias("pos", "word")).filter(
-        F.col("pos") < max_length
-    )
+    # truncation is the evaluation's feature: only the first max_length tokens are generated
+    toks = capped.select(group, "doc_id", F.posexplode(F.slice(TK.words(F.col("text")), 1, max_length)).alias("pos", "word"))
     per_doc = toks.groupBy(group, "doc_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2)
     kept = toks.join(per_doc.select("doc_id"), on="doc_id", how="left_semi")
     loss = F.lit(log_norm) - F.log(F.coalesce(F.col("n"), F.lit(0)) + 1)
