@@ -50,8 +50,11 @@ def normalize_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalized documents with the first of each hash kept (doc_id, text, content_hash)."""
-    return dedup.keep_first(normalized_documents(spark, sf_dir), "content_hash", "doc_id")
+    """Normalized documents with the first of each hash kept (doc_id, text, content_hash): one job,
+    classify -> passed -> ``min_by`` per hash, with no intermediate table (keep-first needs no join)."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    passed = quality.classify(docs).filter(F.col("reason") == "passed")
+    return dedup.keep_first(passed.select("doc_id", F.col("norm_text").alias("text"), "content_hash"), "content_hash", "doc_id")
 
 
 def dedup_exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
