@@ -111,3 +111,24 @@ def test_incremental_dedup_restarts(spark):
     cls = quality.classify(read_table(spark, SF, "documents").select("doc_id", "text")).filter(F.col("reason") == "passed")
     want = sorted(r.doc_id for r in dedup.first_per_hash(cls.select("doc_id", "content_hash")).collect())
     assert got == want
+
+
+def test_late_rows_beyond_watermark_are_dropped(spark):
+    """Spark drops a row older than the previous batch's watermark (rows between the two
+    watermarks may still count), so the late file comes two batches after the time jump."""
+    d, out, ck = (tempfile.mkdtemp(prefix=p) for p in ("lin-", "lout-", "lck-"))
+    base = 1_700_000_100_000_000 - (1_700_000_100_000_000 % 300_000_000)
+    frames = [
+        pd.DataFrame({"instance_id": ["a"] * 4, "ts_us": [base + i * 300_000_000 for i in range(4)],
+                      "value": [10.0, 20.0, 30.0, 40.0]}),
+        pd.DataFrame({"instance_id": ["a"], "ts_us": [base + 50 * 300_000_000], "value": [1.0]}),
+        pd.DataFrame({"instance_id": ["a"], "ts_us": [base + 50 * 300_000_000 + 1_000_000], "value": [1.0]}),
+        pd.DataFrame({"instance_id": ["a"], "ts_us": [base + 300_000_000 + 5_000_000], "value": [99.0]}),  # late
+    ]
+    for i, f in enumerate(frames):
+        path = os.path.join(d, f"part-00{i}.parquet")
+        f.to_parquet(path, index=False)
+        os.utime(path, (1_000_000 + i * 60, 1_000_000 + i * 60))  # the file source takes files by mtime
+    _run(ST.window_means_stream(_stream(spark, d, "instance_id string, ts_us long, value double")), out, ck)
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 4 and {r.n for r in rows} == {1}  # the late reading was dropped, not counted
