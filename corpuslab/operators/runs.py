@@ -307,5 +307,5 @@ def idle_alarm(means: DataFrame, threshold: float = K.ALARM_THRESHOLD, periods:
     for i in range(1, periods):
         prev_start = F.lag("window_start", i).over(w)
         prev_low = F.lag("_low", i).over(w)
-        cond = cond & prev_low & (F.unix_seconds("window_start") - F.unix_seconds(prev_start) == i * period_sec)
+        cond = cond & prev_low & (F.timestamp_diff("SECOND", prev_start, F.col("window_start")) == i * period_sec)
     return low.withColumn("alarm", F.coalesce(cond, F.lit(False))).filter("alarm").select("instance_id", "window_start")

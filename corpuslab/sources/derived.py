@@ -82,7 +82,8 @@ def step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        # microseconds since the epoch of the naive timestamp itself: no session time zone involved
+        F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).alias("ts_us"),
         ((F.get_json_object("props", "$.k").cast("long") + 1) * 1024).alias("tokens"),
         F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value") / 50.0).alias("loss"),
     )
@@ -196,7 +197,7 @@ def op_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     return ev.select(
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("ts"),  # naive timestamps: windows are computed on the wall clock, independent of time zones
         F.concat(F.lit("i-"), F.col("user_id").cast("string")).alias("instance_id"),
         F.lit("GPUUtilization").alias("metric"),
         F.col("value").cast("decimal(12,2)").alias("value"),

@@ -32,7 +32,9 @@ def _run(stream_df, out_dir, ck, mode="append"):
 
 
 def _telemetry_pdf(spark):
-    t = derived.telemetry(spark, SF).select("instance_id", F.unix_micros("ts").alias("ts_us"), F.col("value").cast("double"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    t = derived.telemetry(spark, SF).select("instance_id", F.timestamp_diff("MICROSECOND", epoch, F.col("ts")).alias("ts_us"),
+                                            F.col("value").cast("double"))
     return t.toPandas()
 
 
