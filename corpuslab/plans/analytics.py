@@ -93,3 +93,14 @@ def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = ck.filter("in_manifest").select("path", "checksum")
     observed = ck.filter("has_state").select("path", F.col("actual_checksum").alias("checksum"))
     return AR.integrity(manifest, observed)
+
+
+def artifact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per artifact, its files in path order (joined with ',') and their count."""
+    idx = AR.artifact_index(D.artifact_listing(spark, sf_dir))
+    return idx.select("artifact", F.size("files").cast("long").alias("n_files"), F.array_join("files", ",").alias("files"))
+
+
+def artifact_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw checkpoint (state.pt without config.json) or serveable, per artifact."""
+    return AR.artifact_kind(D.artifact_listing(spark, sf_dir))

@@ -213,3 +213,23 @@ SELECT coalesce(man.path, obs.path) AS path,
             WHEN man.checksum = obs.checksum THEN 'ok' ELSE 'corrupt' END AS status
 FROM man FULL OUTER JOIN obs ON man.path = obs.path""",
 }
+
+
+_EXPORT_FILES = "[" + ", ".join(_q(f) for f in D.EXPORT_FILES) + "]"
+LISTING = f"""{CHECKPOINTS},
+ls AS (SELECT path AS artifact, unnest(list_filter(['meta.json',
+              CASE WHEN sharded AND st <> 'O' THEN 'model/__0_0.distcp' END,
+              CASE WHEN sharded AND st <> 'O' THEN 'train_state.pt' END,
+              CASE WHEN NOT sharded AND st <> 'O' THEN 'state.pt' END], lambda x: x IS NOT NULL)) AS rel_path FROM ck
+       UNION ALL
+       SELECT 's3://models/run-' || o_custkey::VARCHAR AS artifact, unnest({_EXPORT_FILES}) AS rel_path
+       FROM (SELECT DISTINCT o_custkey FROM orders))"""
+
+RUN_SQL["artifact_index"] = f"""
+WITH {LISTING}
+SELECT artifact, count(*) AS n_files, string_agg(rel_path, ',' ORDER BY rel_path) AS files FROM ls GROUP BY artifact"""
+RUN_SQL["artifact_kind"] = f"""
+WITH {LISTING},
+k AS (SELECT artifact, bool_or(split_part(rel_path, '/', -1) = 'state.pt') AS s,
+             bool_or(split_part(rel_path, '/', -1) = 'config.json') AS c FROM ls GROUP BY artifact)
+SELECT artifact, CASE WHEN s AND NOT c THEN 'raw_checkpoint' ELSE 'serveable' END AS kind FROM k"""

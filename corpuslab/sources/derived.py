@@ -220,3 +220,22 @@ def scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n") % 7 == 0, F.lit(1)).otherwise(F.lit(0)).alias("exit_code"),
         F.col("tps").alias("final_tokens_per_sec"),
     )
+
+
+EXPORT_FILES = ["config.json", "model.safetensors", "tokenizer.json", "export_manifest.json"]
+
+
+def artifact_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(artifact, rel_path): what an object-store listing shows for each checkpoint directory (its
+    meta file plus the files the catalogue says exist) and each exported model directory."""
+    ck = checkpoints(spark, sf_dir)
+    files = F.array_compact(F.array(
+        F.lit("meta.json"),
+        F.when(F.col("has_model"), F.lit("model/__0_0.distcp")),
+        F.when(F.col("has_train_state"), F.lit("train_state.pt")),
+        F.when(F.col("has_state"), F.lit("state.pt")),
+    ))
+    ck_files = ck.select(F.col("path").alias("artifact"), F.explode(files).alias("rel_path"))
+    ex = exports(spark, sf_dir).select(F.col("storage_location").alias("artifact"),
+                                       F.explode(F.array(*[F.lit(f) for f in EXPORT_FILES])).alias("rel_path"))
+    return ck_files.unionByName(ex)
