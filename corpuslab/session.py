@@ -21,6 +21,7 @@ def get_spark(app: str = "corpuslab", cpus: str | int | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
     """A local session for tests and the bench; a cluster session comes from spark-submit."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
+    shuffle_partitions = shuffle_partitions or os.environ.get("CORPUSLAB_SHUFFLE_PARTITIONS")
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
