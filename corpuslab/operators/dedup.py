@@ -60,3 +60,27 @@ def dedup_stats(df: DataFrame, hash_col: str = "content_hash") -> DataFrame:
                F.round((F.col("total_input") - F.col("surviving")) / F.col("total_input"), 4))
         .otherwise(F.lit(0.0)).alias("dedup_ratio"),
     )
+
+
+def verdict_counts(classified: DataFrame, group_col: str = "lang", order_col: str = "doc_id") -> DataFrame:
+    """(group, verdict, n, n_bytes) without marking every row: rejected rows are counted by reason;
+    the first row of each hash comes from ``min_by(struct(group, bytes), order)`` per hash (one
+    shuffle keyed by hash, combined map-side); duplicates per group = passed - firsts. The only join
+    left is between two per-group aggregates."""
+    passed = F.col("reason") == "passed"
+    rejected = classified.filter(~passed).groupBy(group_col, F.col("reason").alias("verdict")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_bytes").cast("long").alias("n_bytes"))
+    ok = classified.filter(passed)
+    all_passed = ok.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_bytes").alias("_b"))
+    firsts = ok.groupBy("content_hash").agg(
+        F.min_by(F.struct(F.col(group_col).alias("g"), F.col("n_bytes").alias("b")), F.col(order_col)).alias("f"))
+    first_counts = firsts.groupBy(F.col("f.g").alias(group_col)).agg(F.count(F.lit(1)).alias("_fn"),
+                                                                     F.sum("f.b").alias("_fb"))
+    kept = first_counts.select(group_col, F.lit("passed").alias("verdict"), F.col("_fn").alias("n"),
+                               F.col("_fb").cast("long").alias("n_bytes"))
+    dups = all_passed.join(first_counts, on=group_col, how="left").select(
+        group_col, F.lit("duplicate").alias("verdict"),
+        (F.col("_n") - F.coalesce(F.col("_fn"), F.lit(0))).alias("n"),
+        (F.col("_b") - F.coalesce(F.col("_fb"), F.lit(0))).cast("long").alias("n_bytes"),
+    ).filter(F.col("n") > 0)
+    return rejected.unionByName(kept).unionByName(dups)

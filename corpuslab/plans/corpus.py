@@ -34,10 +34,7 @@ def normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: documents per (lang, verdict) with their bytes; verdict = rule reason,
     'duplicate' or 'passed'."""
-    marked = dedup.mark_duplicates(classified_documents(spark, sf_dir))
-    return marked.groupBy("lang", "verdict").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("n_bytes").cast("long").alias("n_bytes")
-    )
+    return dedup.verdict_counts(classified_documents(spark, sf_dir), "lang")
 
 
 def filter_stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
