@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from corpuslab.operators.ordering import dense_positions, running_offsets
+from corpuslab.session import stage
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -48,7 +49,8 @@ def fit_vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     ranked = dense_positions(counts, [("n", True), "word"], "id", persist_input=True)
-    return ranked.withColumn("id", (F.col("id") + 1).cast("int"))
+    # staged: read by the hot-word broadcast and by the salted join
+    return stage(ranked.withColumn("id", (F.col("id") + 1).cast("int")), "vocab")
 
 
 def token_offsets(docs: DataFrame, tokenizer: str, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,6 +96,28 @@ def pack_bytes(docs: DataFrame, L: int, order_col: str = "doc_id", text_col: str
     return packed.filter(F.octet_length("packed") == L)
 
 
+SALTS = 32
+
+
+def join_word_ids(tokens: DataFrame, vocab: DataFrame, salt_cols: list[str], n_hot: int | None = None,
+                  salts: int = SALTS) -> DataFrame:
+    """Attach vocabulary ids to token rows (``word`` column), salting the hot words.
+
+    Ids rank words by frequency, so any word holding more than 1/P of all tokens is among the top P
+    ids: that set (at most P rows, a proven bound) is broadcast to tag the token side, whose hot
+    tokens get a salt in [0, salts) from their own key; the hot vocabulary rows are replicated once
+    per salt. The shuffle join on (word, salt) then spreads a word holding a third of all tokens
+    over ``salts`` tasks instead of one."""
+    n_hot = n_hot or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(vocab.filter(F.col("id") <= n_hot).select("word", F.lit(True).alias("_hot")))
+    tagged = tokens.join(hot, on="word", how="left")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts))).otherwise(F.lit(0))
+    tagged = tagged.withColumn("_salt", salt.cast("int")).drop("_hot")
+    replicas = F.when(F.col("id") <= n_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    v = vocab.select("word", "id", F.explode(replicas).alias("_salt"))
+    return tagged.join(v, on=["word", "_salt"]).drop("_salt")
+
+
 def word_ids(docs: DataFrame, vocab: DataFrame, order_col: str = "doc_id", text_col: str = "text",
              max_pos: int | None = None) -> DataFrame:
     """(order key, pos, id) for every word token (only ``pos < max_pos`` when truncating).
@@ -102,7 +126,7 @@ def word_ids(docs: DataFrame, vocab: DataFrame, order_col: str = "doc_id", text_
     if max_pos is not None:  # truncation is the feature: only the first max_pos tokens are generated
         ws = F.slice(ws, 1, max_pos)
     exploded = docs.select(order_col, F.posexplode(ws).alias("pos", "word"))
-    return exploded.join(vocab.select("word", "id"), on="word").drop("word")
+    return join_word_ids(exploded, vocab, [order_col, "pos"]).drop("word")
 
 
 def pack_word_ids(docs: DataFrame, vocab: DataFrame, L: int, order_col: str = "doc_id",
@@ -113,7 +137,7 @@ def pack_word_ids(docs: DataFrame, vocab: DataFrame, L: int, order_col: str = "d
     offs = token_offsets(docs, "word", order_col, text_col).filter(F.col("n_tokens") > 0)
     docs_off = docs.select(order_col, text_col).join(offs.select(order_col, "off"), on=order_col)
     exploded = docs_off.select("off", F.posexplode(words(F.col(text_col))).alias("pos", "word"))
-    ids = exploded.join(vocab.select("word", "id"), on="word")
+    ids = join_word_ids(exploded, vocab, ["off", "pos"])
     g = F.col("off") + F.col("pos")
     slots = ids.select(_idiv(g, L).alias("seq_id"), F.pmod(g, F.lit(L)).cast("int").alias("k"), "id")
     grouped = slots.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("k", "id"))).alias("_s"))

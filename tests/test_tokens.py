@@ -59,3 +59,17 @@ def test_epoch_shards_partition_rows(spark):
     counts = out.groupby("shard").size().tolist()
     assert max(counts) - min(counts) <= 1
     assert out.groupby(["shard", "batch"]).size().max() <= 5
+
+
+def test_salted_vocab_join_equals_plain_join(spark):
+    rows = [(i, j, "the" if (i + j) % 3 == 0 else f"w{(i * 7 + j) % 50}") for i in range(60) for j in range(30)]
+    tokens = spark.createDataFrame(rows, "doc_id long, pos long, word string")
+    docs_vocab = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    from corpuslab.operators.ordering import dense_positions
+
+    vocab = dense_positions(docs_vocab, [("n", True), "word"], "id").withColumn("id", (F.col("id") + 1).cast("int"))
+    salted = TK.join_word_ids(tokens, vocab, ["doc_id", "pos"], n_hot=4, salts=8)
+    plain = tokens.join(vocab.select("word", "id"), on="word")
+    key = ["doc_id", "pos", "word", "id"]
+    assert sorted(map(tuple, salted.select(*key).collect())) == sorted(map(tuple, plain.select(*key).collect()))
+    assert salted.count() == len(rows)
