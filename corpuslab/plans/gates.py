@@ -20,6 +20,7 @@ def unigram_loss_table(docs: DataFrame) -> tuple[DataFrame, float]:
     """Add-one unigram word model fitted on ``docs``: (word, n) and log(N + V). The two totals are
     one aggregate row, read as scalars."""
     counts = docs.select(F.explode(TK.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counts, "word-counts")  # read by the totals below and by the scoring join
     t = counts.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
     import math
 
