@@ -18,7 +18,6 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
 from corpuslab.functions import text as T
 

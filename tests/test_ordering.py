@@ -28,8 +28,6 @@ def test_running_offsets_grouped_with_hot_group(spark):
 def test_dense_positions_desc_order(spark):
     rows = [(f"w{i}", i % 7) for i in range(100)]
     df = spark.createDataFrame(rows, "word string, n long")
-    from pyspark.sql import functions as F
-
     got = dense_positions(df, [("n", True), "word"], "pos", n_parts=4).toPandas()
     exp = pd.DataFrame(rows, columns=["word", "n"]).sort_values(["n", "word"], ascending=[False, True])
     exp["pos"] = range(len(exp))
