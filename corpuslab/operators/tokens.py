@@ -208,9 +208,10 @@ def synthetic_tokens(idx: Column, L: int = 32, V: int = 128) -> Column:
 
 
 def epoch_shards(docs: DataFrame, epoch: int, world_size: int, batch_size: int, order_col: str = "doc_id") -> DataFrame:
-    """A seeded permutation of the rows per epoch (order by xxhash64(id, epoch), id), then the
-    position is dealt round-robin to ``world_size`` ranks and cut into batches per rank."""
-    keyed = docs.select(order_col, F.xxhash64(F.col(order_col), F.lit(epoch)).alias("_h"))
+    """A seeded permutation of the rows per epoch (order by SHA-256 of ``id:epoch``, then id),
+    then the position is dealt round-robin to ``world_size`` ranks and cut into batches per rank."""
+    seed = F.concat_ws(":", F.col(order_col).cast("string"), F.lit(str(epoch)))
+    keyed = docs.select(order_col, F.sha2(seed, 256).alias("_h"))
     pos = dense_positions(keyed, ["_h", order_col], "pos")
     return pos.select(
         order_col,

@@ -200,3 +200,8 @@ GATE_SQL["wet_roundtrip"] = f"""
 WITH {CLASSIFIED_CTE}
 SELECT 'doc://' || source || '/' || doc_id::VARCHAR AS uri, content_hash, strlen(norm_text)::BIGINT AS n_bytes
 FROM cls WHERE reason = 'passed'"""
+
+TOKEN_SQL["epoch_shards"] = f"""
+WITH {DEDUPED_CTE},
+p AS (SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id::VARCHAR || ':1'), doc_id) - 1 AS pos FROM dd)
+SELECT doc_id, 1 AS epoch, (pos % 8)::INTEGER AS shard, (pos // 8 // 4)::BIGINT AS batch FROM p"""
