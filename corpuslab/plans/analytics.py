@@ -104,3 +104,41 @@ def artifact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def artifact_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw checkpoint (state.pt without config.json) or serveable, per artifact."""
     return AR.artifact_kind(D.artifact_listing(spark, sf_dir))
+
+
+LOG_EVERY = 10  # the reference logs every 10th step
+
+
+def write_training_logs(spark: SparkSession, sf_dir: str) -> str:
+    """One log per run in the reference's line format, from the derived step events, written as
+    text partitioned by run under the checkpoint folder."""
+    import uuid
+
+    from corpuslab.operators.ordering import dense_positions
+    from corpuslab.session import checkpoint_root
+
+    st = D.step_events(spark, sf_dir).select("run_name", "event_id", "ts_us", "tokens", "loss")
+    numbered = dense_positions(st, ["ts_us", "event_id"], "_i", group=["run_name"])
+    n_steps = st.groupBy("run_name").agg(F.count(F.lit(1)).alias("_max"))
+    step = F.col("_i") + 1
+    line = F.format_string("Step %d/%d | Loss: %.4f | LR: %.2e | Tokens/sec: %.0f | GPU Mem: %.0fMB",
+                           step, F.col("_max"), F.col("loss"), F.lit(1e-4), F.col("tokens").cast("double"), F.lit(900.0))
+    logged = numbered.filter(F.pmod(step, F.lit(LOG_EVERY)) == 0).join(n_steps, on="run_name")
+    path = f"{checkpoint_root(spark).rstrip('/')}/staged/logs-{uuid.uuid4().hex}"
+    # one file per run, lines in step order
+    logged.select("run_name", step.alias("_s"), line.alias("value")).repartition("run_name") \
+        .sortWithinPartitions("run_name", "_s").drop("_s").write.partitionBy("run_name").text(path)
+    return path
+
+
+def log_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last logged step and the number of step lines per run, scanned from the logs."""
+    from corpuslab.sources.files import STEP_LINE, training_log_progress
+
+    path = write_training_logs(spark, sf_dir)
+    prog = training_log_progress(spark, path)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"),
+                                         F.regexp_extract("value", STEP_LINE, 1).alias("_s"))
+    counts = lines.filter(F.col("_s") != "").groupBy("file").agg(F.count(F.lit(1)).alias("n_logged"))
+    run = F.regexp_extract("file", r"run_name=([^/]+)/", 1)
+    return prog.join(counts, on="file").select(run.alias("run_name"), "last_step", "n_logged")

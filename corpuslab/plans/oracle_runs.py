@@ -233,3 +233,7 @@ WITH {LISTING},
 k AS (SELECT artifact, bool_or(split_part(rel_path, '/', -1) = 'state.pt') AS s,
              bool_or(split_part(rel_path, '/', -1) = 'config.json') AS c FROM ls GROUP BY artifact)
 SELECT artifact, CASE WHEN s AND NOT c THEN 'raw_checkpoint' ELSE 'serveable' END AS kind FROM k"""
+
+RUN_SQL["log_progress"] = """
+WITH n AS (SELECT 'run-' || user_id::VARCHAR AS run_name, count(*) AS steps FROM events GROUP BY user_id)
+SELECT run_name, (steps // 10 * 10)::BIGINT AS last_step, (steps // 10)::BIGINT AS n_logged FROM n WHERE steps >= 10"""

@@ -66,7 +66,7 @@ def publish_versioned(df: DataFrame, root: str, version: str, pointer_root: str
     return target
 
 
-STEP_LINE = (r"Step (\d+)/(\d+) \| Loss: ([0-9.eE+-]+|nan|inf) \| LR: ([0-9.eE+-]+) \| "
+STEP_LINE = (r"Step (\d+)/(\d+) \| Loss: ([0-9.eE+-]+|(?i:nan|-?inf(?:inity)?)) \| LR: ([0-9.eE+-]+) \| "
              r"Tokens/sec: ([0-9.]+) \| GPU Mem: ([0-9.]+)MB")
 RESUME_LINE = r"Resumed from step (\d+)"
 
@@ -76,7 +76,7 @@ def training_log_progress(spark: SparkSession, path: str) -> DataFrame:
     step the run resumed from (null when it never resumed)."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), "value"
-    )
+    )  # ids grow along each file (read sequentially by one task), so they order a file's lines
     step = F.regexp_extract("value", STEP_LINE, 1).try_cast("long")
     parsed = lines.select(
         "file", "line_no",
