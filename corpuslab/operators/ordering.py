@@ -11,8 +11,8 @@ proven bound.
   bounds, each row's range is a binary-search ``CASE`` over them (a pure function of the key), and
   one JVM window per range computes the local sums after a hash exchange on the range.
 * many ranges (a cluster): Spark's own ``repartitionByRange`` (its range partitioner searches any
-  number of bounds), a vectorized pass per partition for the local sums, and the result staged so
-  the range assignment is fixed for the totals and the join back.
+  number of bounds), a vectorized pass per partition on Arrow batches (``mapInArrow``) for the local
+  sums, and the result staged so the range assignment is fixed for the totals and the join back.
 """
 
 from __future__ import annotations
@@ -34,29 +34,37 @@ MAX_TREE_BUCKETS = 64  # the binary-search CASE grows with the bucket count; bey
 
 
 def _local_exclusive(weights: list[str], outs: list[str]):
-    """Per-partition exclusive running sums over rows sorted by (group, order), vectorized."""
+    """Per-partition exclusive running sums over rows sorted by (group, order), on Arrow batches:
+    the other columns pass through untouched (no pandas conversion, so NaN stays NaN)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     def run(batches):
         carry_key, carry = None, np.zeros(len(weights), dtype=np.int64)
-        for pdf in batches:
-            if pdf.empty:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            key = pdf["_gk"].to_numpy()
+            names = rb.schema.names
+            key = np.asarray(rb.column(names.index("_gk")).to_pylist(), dtype=object)
             new_group = np.empty(len(key), dtype=bool)
             new_group[0] = key[0] != carry_key
             new_group[1:] = key[1:] != key[:-1]
             single = not new_group[1:].any()
             gid = np.cumsum(new_group)
             continues = not new_group[0]
-            for j, (wname, out) in enumerate(zip(weights, outs)):
-                w = pdf[wname].fillna(0).astype("int64").to_numpy()
+            extra = []
+            for j, wname in enumerate(weights):
+                w = pc.fill_null(rb.column(names.index(wname)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 inclusive = np.cumsum(w) if single else pd.Series(w).groupby(gid).cumsum().to_numpy()
                 local = inclusive - w
                 if continues:
                     local[gid == gid[0]] += carry[j]
                 carry[j] = int(inclusive[-1]) + (int(carry[j]) if continues and gid[-1] == gid[0] else 0)
-                pdf[out] = local
+                extra.append(pa.array(local, type=pa.int64()))
             carry_key = key[-1]
-            yield pdf.drop(columns=["_gk"])
+            keep = [i for i, n in enumerate(names) if n != "_gk"]
+            yield pa.RecordBatch.from_arrays([rb.column(i) for i in keep] + extra,
+                                             names=[names[i] for i in keep] + list(outs))
     return run
 
 
@@ -181,7 +189,7 @@ def _ranged(base: DataFrame, order_cols, group, wnames, n_parts):
     schema = ST.StructType(
         [f for f in ranged.schema.fields if f.name != "_gk"] + [ST.StructField(n, ST.LongType(), False) for n in lnames]
     )
-    return stage(ranged.mapInPandas(_local_exclusive(wnames, lnames), schema), "offsets")
+    return stage(ranged.mapInArrow(_local_exclusive(wnames, lnames), schema), "offsets")
 
 
 def dense_positions(df: DataFrame, order: Sequence, out: str, group: Sequence[str] = (),

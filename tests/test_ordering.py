@@ -45,3 +45,14 @@ def test_both_plans_agree(spark):
     exp["off"] = exp.groupby("g")["w"].cumsum() - exp["w"]
     exp = exp.sort_values(["g", "k"])
     assert small["off"].tolist() == exp["off"].tolist() == large["off"].tolist()
+
+
+def test_ranged_plan_keeps_nan_and_other_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, 1, float("nan") if i % 5 == 0 else i / 2, f"t{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, w long, x double, s string")
+    out = running_offsets(df, ["k"], "w", "off", n_parts=40).orderBy("k").collect()  # range-partitioner plan
+    assert [r.off for r in out] == list(range(200))
+    assert sum(1 for r in out if r.x != r.x) == 40 and [r.s for r in out] == [f"t{i}" for i in range(200)]
+    assert df.filter(F.isnan("x")).count() == 40
