@@ -100,3 +100,15 @@ def test_newest_artifact_publish_markdown(spark):
         raise AssertionError("a published version must be immutable")
     except Exception as e:  # noqa: BLE001
         assert "already exists" in str(e) or "PATH_ALREADY_EXISTS" in str(e)
+
+
+def test_manifest_roundtrip_and_timestamp(spark):
+    d = tempfile.mkdtemp(prefix="man-")
+    m = spark.createDataFrame([("run-1", 5, ["min_content_bytes", "nfc_normalization"])],
+                              "run_name string, file_count long, filters_applied array<string>")
+    files.write_manifest(m, os.path.join(d, "m"))
+    back = files.read_manifest(spark, os.path.join(d, "m"), "run_name string, file_count long, filters_applied array<string>")
+    r = back.collect()[0]
+    assert (r.run_name, r.file_count, list(r.filters_applied)) == ("run-1", 5, ["min_content_bytes", "nfc_normalization"])
+    ts = spark.range(1).select(fmt.utc_now_iso().alias("t")).collect()[0].t
+    assert len(ts) >= 27 and ts[4] == "-" and ts[10] == "T"
