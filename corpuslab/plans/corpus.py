@@ -1,8 +1,9 @@
 """Corpus build queries over the ``documents`` table (order key ``doc_id``).
 
 Plan shape (sf-independent): scan (ids, text) -> classify projection -> staged narrow table ->
-[partial agg min(doc_id) by hash] -> join on doc_id -> final aggregates. The classification (all
-the regex work) runs once per document; everything after it reads the staged narrow table.
+aggregates (first of each hash by ``min_by``, counts). The classification (all the regex work)
+runs once per document; everything after it reads the staged narrow table. The deduplicated text
+for the token phase is one job: classify -> passed -> ``min_by(struct(row), doc_id)`` per hash.
 """
 
 from __future__ import annotations
@@ -24,13 +25,6 @@ def classified_documents(spark: SparkSession, sf_dir: str, materialize: bool = T
     return stage(narrow, "classified") if materialize else narrow
 
 
-def normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference's normalized output, staged: passed documents (doc_id, text, content_hash)."""
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = quality.classify(docs).select("doc_id", "reason", F.col("norm_text").alias("text"), "content_hash")
-    return stage(out, "normalized").filter(F.col("reason") == "passed").drop("reason")
-
-
 def corpus_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: documents per (lang, verdict) with their bytes; verdict = rule reason,
     'duplicate' or 'passed'."""
