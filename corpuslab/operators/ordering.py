@@ -157,6 +157,8 @@ def _bucketed(base: DataFrame, order, order_cols, group, wnames, n_parts):
     if total > 0 and n_buckets > 1:
         fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / total)
         sample = [tuple(r) for r in base.select(*cols).sample(False, fraction, 17).collect()]  # bounded sample
+        # bounds come from non-null keys; a row with a null key still gets a fixed bucket from the CASE
+        sample = [t for t in sample if None not in t]
         sample.sort(key=_sort_key(directions))
         step = len(sample) / n_buckets
         for i in range(1, n_buckets):
