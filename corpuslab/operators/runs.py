@@ -174,7 +174,8 @@ def run_report(summary: DataFrame, baseline_key: str = "instance_type") -> DataF
         "run_name", "metric",
         F.round("base_v", 2).alias("baseline"),
         F.round("current_v", 2).alias("current"),
-        F.round(F.col("current_v") - F.col("base_v"), 2).alias("delta"),
+        # + 0.0 turns a rounded -0.0 into 0.0 (engines differ on the sign of a rounded tiny negative)
+        (F.round(F.col("current_v") - F.col("base_v"), 2) + F.lit(0.0)).alias("delta"),
     )
 
 

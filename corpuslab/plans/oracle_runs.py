@@ -141,7 +141,7 @@ lf AS (SELECT run_name, user_id, instance_type, unnest([
          {{'metric': 'resumed_from_step', 'v': resumed_from_step::DOUBLE}}]) AS m FROM summ),
 cur AS (SELECT run_name, user_id, instance_type, m.metric AS metric, m.v AS v FROM lf),
 base AS (SELECT cur.instance_type, cur.metric, cur.v FROM cur JOIN b USING (instance_type, user_id))
-SELECT cur.run_name, cur.metric, round(base.v, 2) AS baseline, round(cur.v, 2) AS current, round(cur.v - base.v, 2) AS delta
+SELECT cur.run_name, cur.metric, round(base.v, 2) AS baseline, round(cur.v, 2) AS current, round(cur.v - base.v, 2) + 0.0::DOUBLE AS delta
 FROM cur LEFT JOIN base ON cur.instance_type IS NOT DISTINCT FROM base.instance_type AND cur.metric = base.metric""",
     "fleet_cost": f"""
 WITH {CUSTOMERS},
