@@ -2,8 +2,8 @@
 
 Documents are tokenized once, in Arrow batches, and dealt out by ranges of doc_id to shards. A shard's
 file holds its documents' ids one after another in ascending doc_id order, cut into sequences of equal
-length: per row ``ids`` (fixed-size list of uint16 or uint32) and ``mask`` (fixed-size list of uint8,
-0 where the shard's last sequence is padded). The buffers of an uncompressed Arrow file are flat, so a
+length: per row ``ids`` (fixed-size list of uint16 or uint32) and ``mask`` (fixed-size list of booleans,
+one bit each, false where the shard's last sequence is padded). The buffers of an uncompressed Arrow file are flat, so a
 memory-mapped file gives sequence i as a view, without copying. Beside it stands the shard's document
 index (doc_id, start in the shard, n_tokens), in the same format.
 """
@@ -137,7 +137,7 @@ class ShardWriter:
     def __init__(self, folder: str, shard: int, dtype: np.dtype, seq_len: int):
         self.name, self.dtype, self.seq_len = f"{folder}/shard-{shard:08d}", dtype, seq_len
         ids = pa.list_(pa.field("item", pa.from_numpy_dtype(dtype.newbyteorder("=")), nullable=False), seq_len)
-        mask = pa.list_(pa.field("item", pa.uint8(), nullable=False), seq_len)
+        mask = pa.list_(pa.field("item", pa.bool_(), nullable=False), seq_len)
         self.schema = pa.schema([pa.field("ids", ids, False), pa.field("mask", mask, False)])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.data, self.index = _Writer(f"{self.name}.arrow", self.schema), _Writer(f"{self.name}.index.arrow", self.index_schema)
@@ -156,8 +156,8 @@ class ShardWriter:
     def _flush(self, n: int) -> None:
         flat = np.concatenate([*self.held, np.empty(0, self.dtype)]).astype(self.dtype, copy=False)
         whole = -(-n // self.seq_len) * self.seq_len
-        ids, mask = np.zeros(whole, self.dtype), np.zeros(whole, np.uint8)
-        ids[:n], mask[:n] = flat[:n], 1
+        ids, mask = np.zeros(whole, self.dtype), np.arange(whole) < n
+        ids[:n] = flat[:n]
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), self.schema)]
         if n:
             self.data.file.write_batch(pa.record_batch(lists, schema=self.schema))
@@ -190,23 +190,22 @@ class TokenFile:
     def __len__(self) -> int:
         return int(self.rows[-1])
 
-    def _row(self, i: int, column: int) -> np.ndarray:
+    def _row(self, i: int, column: int) -> pa.Array:
         k = int(np.searchsorted(self.rows, i, side="right")) - 1
         lists = self.batches[k].column(column)
         n = lists.type.list_size
-        return lists.values.slice((int(i - self.rows[k]) + lists.offset) * n, n).to_numpy(zero_copy_only=True)
+        return lists.values.slice((int(i - self.rows[k]) + lists.offset) * n, n)
 
     def sequence(self, i: int) -> np.ndarray:
-        return self._row(i, 0)
+        return self._row(i, 0).to_numpy(zero_copy_only=True)
 
-    def mask(self, i: int) -> np.ndarray:
+    def mask(self, i: int) -> pa.BooleanArray:
         return self._row(i, 1)
 
     def tokens(self) -> Iterator[np.ndarray]:
         """The shard's ids without padding, a batch at a time."""
         for b in self.batches:
-            ids, mask = (b.column(i).values.to_numpy(zero_copy_only=True) for i in (0, 1))
-            yield ids if mask[-1] else ids[: int(np.count_nonzero(mask))]
+            yield b.column(0).values.to_numpy(zero_copy_only=True)[: b.column(1).values.true_count]
 
 
 def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text",
