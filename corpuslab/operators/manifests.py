@@ -32,13 +32,18 @@ def lineage(datasets: DataFrame, runs: DataFrame, checkpoints: DataFrame, evals:
 
 def dataset_digest(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A4: content digest of a table, independent of file layout and row order. Each row is hashed
-    (SHA-256 of its tab-joined columns); the first 60 bits of each hash are summed exactly (a
-    multiset hash, so the aggregate is partial+final like any sum and never gathers rows), and the
-    digest is SHA-256 of ``count:sum``."""
-    row_hash = F.sha2(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]), 256)
-    part = F.conv(F.substring(row_hash, 1, 15), 16, 10).cast("decimal(38,0)")
-    t = df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).alias("_s"))
-    return t.select("n_rows", F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), F.col("_s").cast("string")), 256).alias("digest"))
+    (SHA-256 of its columns, each written as its length in bytes, ``:`` and its text, null as ``-``);
+    all 256 bits of the hashes are summed exactly, in five parts (a multiset hash, so the aggregate is
+    partial+final like any sum and never gathers rows), and the digest is SHA-256 of the count and the
+    sums, joined by ``:``."""
+    text = [F.col(c).cast("string") for c in cols]
+    fields = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]
+    hashed = df.select(F.sha2(F.concat(*fields), 256).alias("_h"))
+    parts = [F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(28,0)") for i in range(5)]
+    sums = [F.coalesce(F.sum(p).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias(f"_s{i}") for i, p in enumerate(parts)]
+    t = hashed.agg(F.count(F.lit(1)).alias("n_rows"), *sums)
+    joined = F.concat_ws(":", "n_rows", *[F.col(f"_s{i}").cast("string") for i in range(5)])
+    return t.select("n_rows", F.sha2(joined, 256).alias("digest"))
 
 
 def step_timing(steps: DataFrame) -> DataFrame:

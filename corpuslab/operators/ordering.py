@@ -1,37 +1,28 @@
 """Ordered running sums and ranks without a single-task window (W2, W7, W8 building block).
 
 ``running_offsets`` gives every row the sum of ``weight`` over the rows before it in ``order``
-(within its group, if any). Both plans cut the key space into balanced, contiguous ranges, so a
-group holding a third of all rows is spread over many tasks, and both finish the same way: per
-(range, group) totals, a window over that small table for each group's base, and a broadcast of the
-non-zero bases. Only a group that crosses a range boundary has one, so at most R-1 rows remain: a
-proven bound.
-
-* few ranges (at most ``MAX_TREE_BUCKETS``, e.g. a local run): a bounded key sample gives the range
-  bounds, each row's range is a binary-search ``CASE`` over them (a pure function of the key), and
-  one JVM window per range computes the local sums after a hash exchange on the range.
-* many ranges (a cluster): Spark's own ``repartitionByRange`` (its range partitioner searches any
-  number of bounds), a vectorized pass per partition on Arrow batches (``mapInArrow``) for the local
-  sums, and the result staged so the range assignment is fixed for the totals and the join back.
+(within its group, if any). One plan at every size: Spark's own ``repartitionByRange`` on (group,
+order) cuts the key space into balanced, contiguous ranges, so a group holding a third of all rows is
+spread over many tasks; a vectorized pass over each range's sorted Arrow batches (``mapInArrow``)
+gives the local sums; and the result is staged, so the range assignment stays fixed. Then only the
+ranges' totals per group travel: a window over that small table gives each group's base, and the
+non-zero bases are broadcast. Only a group that crosses a range boundary has one, so at most R-1 rows
+remain: a proven bound. Null groups and null order keys are keys like any other, in Spark's order
+(first ascending, last descending).
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from corpuslab.session import stage
 
-BUCKETS_PER_TASK = 4
-SAMPLE_PER_BUCKET = 20
-MAX_TREE_BUCKETS = 64  # the binary-search CASE grows with the bucket count; beyond this use Spark's range partitioner
-
 
 def _local_exclusive(weights: list[str], outs: list[str]):
     """Per-partition exclusive running sums over rows sorted by (group, order), on Arrow batches:
@@ -45,10 +36,10 @@ def _local_exclusive(weights: list[str], outs: list[str]):
             if rb.num_rows == 0:
                 continue
             names = rb.schema.names
-            key = np.asarray(rb.column(names.index("_gk")).to_pylist(), dtype=object)
+            key = rb.column(names.index("_gk"))
             new_group = np.empty(len(key), dtype=bool)
-            new_group[0] = key[0] != carry_key
-            new_group[1:] = key[1:] != key[:-1]
+            new_group[0] = key[0].as_py() != carry_key
+            new_group[1:] = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
             single = not new_group[1:].any()
             gid = np.cumsum(new_group)
             continues = not new_group[0]
@@ -61,137 +52,62 @@ def _local_exclusive(weights: list[str], outs: list[str]):
                     local[gid == gid[0]] += carry[j]
                 carry[j] = int(inclusive[-1]) + (int(carry[j]) if continues and gid[-1] == gid[0] else 0)
                 extra.append(pa.array(local, type=pa.int64()))
-            carry_key = key[-1]
+            carry_key = key[-1].as_py()
             keep = [i for i, n in enumerate(names) if n != "_gk"]
             yield pa.RecordBatch.from_arrays([rb.column(i) for i in keep] + extra,
                                              names=[names[i] for i in keep] + list(outs))
     return run
 
 
-def _key_parts(order, group: Sequence[str]):
-    """(column, descending) per key, group columns first. An order key is a column name or a
-    ``(name, descending)`` pair."""
-    parts = [(F.col(g), False) for g in group]
-    for k in order:
-        name, desc = (k, False) if isinstance(k, str) else (k[0], bool(k[1]))
-        parts.append((F.col(name), desc))
-    return parts
-
-
-def _sort_key(directions):
-    def cmp(a, b):
-        for x, y, desc in zip(a, b, directions):
-            if x == y:
-                continue
-            lt = x < y
-            return (1 if lt else -1) if desc else (-1 if lt else 1)
-        return 0
-    return functools.cmp_to_key(cmp)
-
-
-def _greater(cols, bound, directions) -> Column:
-    """Lexicographic ``key > bound`` under the given directions."""
-    expr = None
-    for c, b, desc in reversed(list(zip(cols, bound, directions))):
-        strict = (c < F.lit(b)) if desc else (c > F.lit(b))
-        expr = strict if expr is None else (strict | ((c == F.lit(b)) & expr))
-    return expr
-
-
-def _bucket(cols, bounds, directions) -> Column:
-    """Number of bounds the key is greater than, by binary search over the sorted bounds."""
-    def node(lo, hi):
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_greater(cols, bounds[mid], directions), node(mid + 1, hi)).otherwise(node(lo, mid))
-    return node(0, len(bounds))
-
-
 def running_offsets(df: DataFrame, order: Sequence, weight, out,
                     group: Sequence[str] = (), n_parts: int | None = None, persist_input: bool = False) -> DataFrame:
     """``df`` plus ``out`` = exclusive running sum of ``weight`` in ``order`` within ``group``.
 
-    ``weight``/``out`` may be lists to compute several sums in the same pass. ``order`` must be
-    unique within a group (add an id as the last key); a key is a column name or a
-    ``(name, descending)`` pair. ``persist_input`` writes an expensive input (an aggregate, a regex
-    count) once, so the key sample and the exchange read a narrow copy instead of recomputing it.
+    ``weight``/``out`` may be lists to compute several sums in the same pass; weights may be negative,
+    and null counts as 0. ``order`` must be unique within a group (add an id as the last key); a key is
+    a column name or a ``(name, descending)`` pair. ``persist_input`` writes an expensive input (an
+    aggregate, a regex count) once, so the range partitioner's sample and the exchange read a narrow
+    copy instead of recomputing it.
     """
-    spark = df.sparkSession
-    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = list(group)
     weights = list(weight) if isinstance(weight, (list, tuple)) else [weight]
     outs = list(out) if isinstance(out, (list, tuple)) else [out]
     wnames = [f"_w{i}" for i in range(len(weights))]
+    lnames = [f"_l{i}" for i in range(len(weights))]
+    bnames = [f"_b{i}" for i in range(len(weights))]
     base = df
     for name, w in zip(wnames, weights):
         base = base.withColumn(name, (F.col(w) if isinstance(w, str) else w).cast("long"))
     if persist_input:
         base = stage(base, "ordered-input")
-    order_cols = [F.col(k) if isinstance(k, str) else (F.col(k[0]).desc() if k[1] else F.col(k[0])) for k in order]
-    if n_parts * BUCKETS_PER_TASK <= MAX_TREE_BUCKETS:
-        local, n_ranges = _bucketed(base, order, order_cols, group, wnames, n_parts)
-    else:
-        local = _ranged(base, order_cols, group, wnames, n_parts)
-    totals = local.groupBy("_part", *group).agg(*[F.sum(w).alias(f"_t{i}") for i, w in enumerate(wnames)])
-    wbase = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_part")
-    prior = wbase.rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", *group, *[F.sum(f"_t{i}").over(prior).alias(f"_b{i}") for i in range(len(wnames))])
-    # only a group crossing a range boundary has a base: at most (ranges - 1) rows survive
-    bases = bases.filter(F.greatest(*[F.coalesce(F.col(f"_b{i}"), F.lit(0)) for i in range(len(wnames))], F.lit(0)) > 0)
-    joined = local.join(F.broadcast(bases), on=["_part", *group], how="left")
-    for i, o in enumerate(outs):
-        joined = joined.withColumn(o, F.col(f"_l{i}") + F.coalesce(F.col(f"_b{i}"), F.lit(0)))
-    drop = ["_part", *wnames, *[f"_l{i}" for i in range(len(wnames))], *[f"_b{i}" for i in range(len(wnames))]]
-    return joined.drop(*drop)
-
-
-def _bucketed(base: DataFrame, order, order_cols, group, wnames, n_parts):
-    """Few ranges: sampled bounds, binary-search CASE, hash exchange on the range, JVM windows."""
-    parts = _key_parts(order, group)
-    cols = [p[0] for p in parts]
-    directions = [p[1] for p in parts]
-    n_buckets = n_parts * BUCKETS_PER_TASK
-    total = base.count()
-    bounds = []
-    if total > 0 and n_buckets > 1:
-        fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / total)
-        sample = [tuple(r) for r in base.select(*cols).sample(False, fraction, 17).collect()]  # bounded sample
-        # bounds come from non-null keys; a row with a null key still gets a fixed bucket from the CASE
-        sample = [t for t in sample if None not in t]
-        sample.sort(key=_sort_key(directions))
-        step = len(sample) / n_buckets
-        for i in range(1, n_buckets):
-            b = sample[min(len(sample) - 1, int(i * step))] if sample else None
-            if b is not None and (not bounds or b != bounds[-1]):
-                bounds.append(b)
-    bucketed = base.withColumn("_part", _bucket(cols, bounds, directions)).repartition(n_parts, "_part")
-    wlocal = Window.partitionBy("_part", *group).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    local = bucketed
-    for i, wname in enumerate(wnames):
-        local = local.withColumn(f"_l{i}", F.coalesce(F.sum(wname).over(wlocal), F.lit(0)))
-    return local, len(bounds) + 1
-
-
-def _ranged(base: DataFrame, order_cols, group, wnames, n_parts):
-    """Many ranges: Spark's range partitioner, a vectorized local pass, staged."""
-    if not group:
-        gk = F.lit("")
-    elif len(group) == 1:
-        gk = F.col(group[0]).cast("string")
-    else:
-        gk = F.to_json(F.struct(*[F.col(g) for g in group]))
+    keys = [F.col(g) for g in group]
+    keys += [F.col(k) if isinstance(k, str) else (F.col(k[0]).desc() if k[1] else F.col(k[0])) for k in order]
     ranged = (
-        base.repartitionByRange(n_parts, *[F.col(g) for g in group], *order_cols)
-        .sortWithinPartitions(*[F.col(g) for g in group], *order_cols)
+        base.repartitionByRange(n_parts, *keys)
+        .sortWithinPartitions(*keys)
         .withColumn("_part", F.spark_partition_id())
-        .withColumn("_gk", gk)
+        .withColumn("_gk", F.to_json(F.struct(*[F.col(g) for g in group])) if group else F.lit(""))
     )
-    lnames = [f"_l{i}" for i in range(len(wnames))]
     schema = ST.StructType(
         [f for f in ranged.schema.fields if f.name != "_gk"] + [ST.StructField(n, ST.LongType(), False) for n in lnames]
     )
-    return stage(ranged.mapInArrow(_local_exclusive(wnames, lnames), schema), "offsets")
+    local = stage(ranged.mapInArrow(_local_exclusive(wnames, lnames), schema), "offsets")
+    totals = local.groupBy("_part", *group).agg(*[F.sum(w).alias(f"_t{i}") for i, w in enumerate(wnames)])
+    prior = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(F.col("_part").alias("_bp"), *[F.col(g).alias(f"_bg{i}") for i, g in enumerate(group)],
+                          *[F.coalesce(F.sum(f"_t{i}").over(prior), F.lit(0)).alias(b) for i, b in enumerate(bnames)])
+    # only a group crossing a range boundary has a base: at most (ranges - 1) rows survive
+    nonzero = F.lit(False)
+    for b in bnames:
+        nonzero = nonzero | (F.col(b) != 0)
+    same = local["_part"] == F.col("_bp")
+    for i, g in enumerate(group):
+        same = same & local[g].eqNullSafe(F.col(f"_bg{i}"))
+    joined = local.join(F.broadcast(bases.where(nonzero)), same, "left")
+    for o, lname, b in zip(outs, lnames, bnames):
+        joined = joined.withColumn(o, F.col(lname) + F.coalesce(F.col(b), F.lit(0)))
+    return joined.drop("_part", "_bp", *[f"_bg{i}" for i in range(len(group))], *wnames, *lnames, *bnames)
 
 
 def dense_positions(df: DataFrame, order: Sequence, out: str, group: Sequence[str] = (),

@@ -39,16 +39,16 @@ def classify(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def filter_stats(classified: DataFrame, group_col: str = "source") -> DataFrame:
     """A1: counts per group and stats key (``passed``, ``rejected_<reason>``) plus ``total``
-    rows per group and over all groups (``*``), like the per-file stats merged by the reference.
+    rows per group (a null group stays null) and over all groups (``*``), like the per-file stats merged by the reference.
     """
     key = F.when(F.col("reason") == "passed", F.lit("passed")).otherwise(F.concat(F.lit("rejected_"), F.col("reason")))
     return (
         classified.select(F.col(group_col).alias("_g"), key.alias("_k"))
         .rollup("_g", "_k")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.grouping("_g").alias("_all"), F.grouping("_k").alias("_sum"))
         .select(
-            F.coalesce(F.col("_g"), F.lit("*")).alias(group_col),
-            F.coalesce(F.col("_k"), F.lit("total")).alias("reason"),
+            F.when(F.col("_all") == 1, F.lit("*")).otherwise(F.col("_g")).alias(group_col),
+            F.when(F.col("_sum") == 1, F.lit("total")).otherwise(F.col("_k")).alias("reason"),
             "n",
         )
     )

@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "synthetic_sequences": tokenize.synthetic_sequences,
         "epoch_shards": tokenize.epoch_shards,
         "perplexity_gate": gates.perplexity_gate,
+        "perplexity_gate_first500": gates.perplexity_gate_first500,
         "dataset_manifest": gates.dataset_manifest,
         "dataset_digest": gates.dataset_digest,
         "wet_roundtrip": archives_q.wet_roundtrip,

@@ -28,20 +28,22 @@ def unigram_loss_table(docs: DataFrame) -> tuple[DataFrame, float]:
 
 
 def evaluate_perplexity(samples: DataFrame, counts: DataFrame, log_norm: float, group: str = "source",
-                        max_samples: int = K.GATE_MAX_SAMPLES, max_length: int = EVAL_MAX_LENGTH) -> DataFrame:
-    """A6 + F11 per group: the first ``max_samples`` samples in order (cap before the length filter,
-    as the reference), each truncated to ``max_length`` tokens and skipped below 2 tokens;
-    perplexity = exp(sum of token losses / tokens), infinite when no tokens remain."""
-    capped = dense_positions(samples.select(group, "doc_id", "text"), ["doc_id"], "_i", group=[group]).filter(
-        F.col("_i") < max_samples
-    )
-    # truncation is the evaluation's feature: only the first max_length tokens are generated
-    toks = capped.select(group, "doc_id", F.posexplode(F.slice(TK.words(F.col("text")), 1, max_length)).alias("pos", "word"))
-    per_doc = toks.groupBy(group, "doc_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2)
-    kept = toks.join(per_doc.select("doc_id"), on="doc_id", how="left_semi")
+                        max_samples: int | None = None, max_length: int | None = None) -> DataFrame:
+    """A6 + F11 per group: perplexity = exp(sum of token losses / tokens) over all samples of at least 2
+    tokens, infinite when no tokens remain. ``max_samples`` takes the first so many samples of a group
+    in order (before the length filter), ``max_length`` the first so many tokens of each.
+
+    Tokens are counted per (group, word) before the vocabulary join, so a hot word is one row per group.
+    """
+    if max_samples is not None:
+        samples = dense_positions(samples.select(group, "doc_id", "text"), ["doc_id"], "_i", group=[group]).filter(F.col("_i") < max_samples)
+    words = TK.words(F.col("text"))
+    toks = samples.select(group, (words if max_length is None else F.slice(words, 1, max_length)).alias("_ws"))
+    toks = toks.filter(F.size("_ws") >= 2).select(group, F.explode("_ws").alias("word"))
+    used = toks.groupBy(group, "word").agg(F.count(F.lit(1)).alias("_c"))
     loss = F.lit(log_norm) - F.log(F.coalesce(F.col("n"), F.lit(0)) + 1)
-    scored = kept.join(counts, on="word", how="left").groupBy(group).agg(
-        F.sum(loss).alias("_loss"), F.count(F.lit(1)).alias("tokens_evaluated")
+    scored = used.join(counts, on="word", how="left").groupBy(group).agg(
+        F.sum(loss * F.col("_c")).alias("_loss"), F.sum("_c").alias("tokens_evaluated")
     )
     groups = samples.select(group).distinct()
     out = groups.join(scored, on=group, how="left")
@@ -74,6 +76,15 @@ def perplexity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("reasons").alias("n_reasons"))
 
 
+def perplexity_gate_first500(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate with the reference's limits as its feature: per language the first 500 documents, of each
+    the first 512 tokens."""
+    counts, log_norm = unigram_loss_table(corpus_docs(spark, sf_dir))
+    docs = read_table(spark, sf_dir, "documents")
+    res = gate(evaluate_perplexity(docs, counts, log_norm, "lang", K.GATE_MAX_SAMPLES, EVAL_MAX_LENGTH), MAX_PERPLEXITY, None)
+    return res.select("lang", "tokens_evaluated", F.round("perplexity", 4).alias("perplexity"), "passed")
+
+
 def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per corpus run (a source), the raw, normalize, dedup and tokenize phase summaries joined
     left on the run, with the reference's defaults for a missing phase and the list of missing

@@ -154,10 +154,7 @@ vc AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(te
 tot AS (SELECT ln(sum(n) + count(*)) AS lz FROM vc),
 smp AS (SELECT source, doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
 smp2 AS (SELECT source, doc_id, text FROM smp UNION ALL SELECT '*', doc_id, text FROM smp),
-capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM smp2) WHERE i < 500),
-toks AS (SELECT source, doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos
-         FROM (SELECT source, doc_id, regexp_extract_all(text, '{_WORD}') AS ws FROM capped)),
-t2 AS (SELECT * FROM toks WHERE pos < 512),
+t2 AS (SELECT source, doc_id, unnest(regexp_extract_all(text, '{_WORD}')) AS word FROM smp2),
 keep AS (SELECT source, doc_id FROM t2 GROUP BY source, doc_id HAVING count(*) >= 2),
 sc AS (SELECT t2.source, sum((SELECT lz FROM tot) - ln(coalesce(vc.n, 0) + 1)) AS loss, count(*) AS ntok
        FROM t2 JOIN keep USING (source, doc_id) LEFT JOIN vc USING (word) GROUP BY t2.source),
@@ -170,6 +167,17 @@ SELECT source, tokens_evaluated, round(ppl, 4) AS perplexity,
        (ppl > 2000.0)::INTEGER + (ppl > base * 1.05)::INTEGER = 0 AS passed,
        (ppl > 2000.0)::INTEGER + (ppl > base * 1.05)::INTEGER AS n_reasons
 FROM r2, b""",
+    "perplexity_gate_first500": f"""
+WITH {DEDUPED_CTE},
+vc AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_WORD}')) AS w FROM dd) GROUP BY w),
+tot AS (SELECT ln(sum(n) + count(*)) AS lz FROM vc),
+capped AS (SELECT * FROM (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents) WHERE i <= 500),
+ws AS (SELECT lang, regexp_extract_all(text, '{_WORD}')[1:512] AS w FROM capped),
+t AS (SELECT lang, unnest(w) AS word FROM ws WHERE len(w) >= 2),
+sc AS (SELECT lang, sum((SELECT lz FROM tot) - ln(coalesce(vc.n, 0) + 1)) AS loss, count(*) AS ntok FROM t LEFT JOIN vc USING (word) GROUP BY lang),
+r AS (SELECT lang, coalesce(ntok, 0) AS tokens_evaluated, exp(CASE WHEN ntok > 0 THEN loss / ntok ELSE 'inf'::DOUBLE END) AS ppl
+      FROM (SELECT DISTINCT lang FROM documents) LEFT JOIN sc USING (lang))
+SELECT lang, tokens_evaluated, round(ppl, 4) AS perplexity, NOT ppl > 2000.0 AS passed FROM r""",
     "dataset_manifest": f"""
 WITH {CLASSIFIED_CTE},
 raw AS (SELECT source, count(*) AS source_file_count, sum(n_bytes)::BIGINT AS source_total_bytes FROM cls GROUP BY source),
@@ -191,9 +199,8 @@ FROM raw LEFT JOIN norm USING (source) LEFT JOIN d USING (source)""",
 
 GATE_SQL["dataset_digest"] = f"""
 WITH {DEDUPED_CTE},
-h AS (SELECT sha256(concat_ws(chr(9), coalesce(doc_id::VARCHAR, '\\N'), coalesce(text, '\\N'))) AS rh FROM dd)
-SELECT count(*) AS n_rows,
-       sha256(count(*)::VARCHAR || ':' || coalesce(sum(('0x' || substr(rh, 1, 15))::BIGINT::HUGEINT), 0)::VARCHAR) AS digest
+h AS (SELECT sha256(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(text) || ':' || text, '-')) AS rh FROM dd)
+SELECT count(*) AS n_rows, sha256(count(*)::VARCHAR || {" || ".join(f"':' || coalesce(sum(('0x' || substr(rh, {1 + 15 * i}, 15))::BIGINT::HUGEINT), 0)::VARCHAR" for i in range(5))}) AS digest
 FROM h"""
 
 GATE_SQL["wet_roundtrip"] = f"""

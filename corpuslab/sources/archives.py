@@ -5,14 +5,14 @@
   archive is rejected whole and counted once, as in the reference; Spark's ``ignoreCorruptFiles``
   would keep the readable prefix instead.
 * ``read_wet``: records of readable archives (S3). Spark splits on the ``WARC/1.0`` separator itself
-  (``lineSep``; gzip is decoded natively, one task per file); the rest of the separator line
-  (``\\r\\n`` or ``\\n``) is dropped from the record start, so CRLF and LF archives read alike.
+  (``lineSep``; gzip is decoded natively, one task per file). A separator ends its line: the rest of
+  the line (``\\r\\n`` or ``\\n``) is dropped, so CRLF and LF archives read alike, and a piece that
+  does not begin with a line end is text that goes on after a ``WARC/1.0`` of its own.
   Invalid UTF-8 is repaired right after the scan (C10). Order key: (file_index, record_no).
 """
 
 from __future__ import annotations
 
-import gzip
 import zlib
 
 import pandas as pd
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
+from corpuslab.session import stage
 
 SEPARATOR = "WARC/1.0"
 
@@ -32,22 +33,29 @@ def archive_paths(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.row_number().over(Window.orderBy("_i")).alias("path_index"), "path")
 
 
+def _readable(data: bytes) -> bool:
+    """Whole gzip members up to the last byte, decoded a chunk at a time. Zero padding after the last
+    member counts as unreadable, since Spark's gzip decoder refuses it."""
+    at = 0
+    try:
+        while at < len(data):
+            member = zlib.decompressobj(wbits=31)
+            while not member.eof:
+                chunk = data[at : at + (1 << 16)]
+                if not chunk:
+                    return False
+                member.decompress(chunk)
+                at += len(chunk) - len(member.unused_data)
+    except zlib.error:
+        return False
+    return True
+
+
 def _probe(batches):
     for pdf in batches:
         ok = []
         for b in pdf["content"]:
-            try:
-                d = zlib.decompressobj(wbits=47)  # gzip or zlib header, multi-member aware below
-                data = bytes(b)
-                while data:
-                    d.decompress(data)
-                    if not d.eof:
-                        raise EOFError("truncated")
-                    data = d.unused_data
-                    d = zlib.decompressobj(wbits=47) if data else d
-                ok.append(True)
-            except (zlib.error, EOFError, gzip.BadGzipFile):
-                ok.append(False)
+            ok.append(_readable(b))
         yield pd.DataFrame({"path": pdf["path"], "readable": ok})
 
 
@@ -101,8 +109,15 @@ def read_wet(spark: SparkSession, files: DataFrame) -> DataFrame:
         .select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("record_no"),
                 T.valid_utf8(F.col("value")).alias("value"))
     )
+    # an archive is one task in the scan already, and one partition here
+    begins = F.col("value").rlike(r"^\r?\n")
+    order = Window.partitionBy("_file").orderBy("record_no")
+    parts = raw.withColumn("_block", F.sum(F.when(begins, 1).otherwise(0)).over(order))
+    whole = parts.groupBy("_file", "_block").agg(
+        F.min("record_no").alias("record_no"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_no", "value"))), lambda x: x["value"]), SEPARATOR).alias("value"))
     idx = files.select(F.col("path").alias("_file"), "file_index")
-    blocks = raw.join(F.broadcast(idx), on="_file").select(
+    blocks = whole.join(idx, on="_file").select(
         "file_index", "record_no", F.regexp_replace("value", r"^\r?\n", "").alias("block")
     ).filter(F.col("block") != "")
     # the reference skips blocks that are blank after stripping
@@ -115,7 +130,7 @@ def normalize_archives(spark: SparkSession, path_glob: str) -> tuple[DataFrame,
     ``rejected_malformed`` count of unreadable files)."""
     from corpuslab.operators import quality
 
-    files = probe_archives(spark, path_glob)
+    files = stage(probe_archives(spark, path_glob), "archives")  # one row per file, read by all branches below
     w = Window.orderBy("path")
     files = files.withColumn("file_index", F.row_number().over(w))  # one row per file: small
     recs = read_wet(spark, files)

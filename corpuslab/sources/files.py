@@ -19,8 +19,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | ST.StructType = NOR
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """JSON lines, UTF-8, non-ASCII kept as is."""
-    df.write.mode(mode).json(path)
+    """JSON lines, UTF-8, non-ASCII kept as is, null fields written as null."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str | ST.StructType | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def read_manifest(spark: SparkSession, path: str, schema: str | ST.StructType |
 
 def write_manifest(df: DataFrame, path: str) -> None:
     """One JSON document per row as a single text file (manifests are one row)."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def newest_artifact(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:

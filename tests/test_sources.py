@@ -5,7 +5,6 @@ import tempfile
 from pyspark.sql import functions as F
 
 from corpuslab.sources import archives, files
-from tests import model
 
 LONG = "Plain words make a long enough body for the filters to pass. " * 6
 
@@ -29,7 +28,7 @@ def _write(d, name, data: bytes, compress=True):
     return p
 
 
-def test_wet_reader_matches_model(spark):
+def test_wet_reader(spark):
     d = tempfile.mkdtemp(prefix="wet-")
     raw1 = ARCH_CRLF.encode()
     raw2 = ARCH_LF.encode() + b"WARC/1.0\nWARC-Type: conversion\nWARC-Target-URI: u\n\nbad \xff\xfe bytes " + b"q" * 30 + b"\n"
@@ -44,8 +43,49 @@ def test_wet_reader_matches_model(spark):
     filesdf = probe.withColumn("file_index", F.dense_rank().over(__import__("pyspark.sql").sql.Window.orderBy("path")))
     recs = archives.read_wet(spark, filesdf).orderBy("file_index", "record_no").collect()
     got = [(r.uri, r.content) for r in recs]
-    want = model.parse_wet(raw1) + model.parse_wet(raw2)
-    assert got == want
+    assert got == [
+        ("http://a.example/LAST", LONG + "\r\nsecond line"),  # the last of two headers wins
+        ("", LONG.strip()),  # no URI
+        ("http://b.example/x", ("Ünïcödé text here. " * 15).strip()),
+        ("u", "bad \ufffd\ufffd bytes " + "q" * 30),
+    ]
+
+
+def test_separator_ends_its_line(spark):
+    """``WARC/1.0`` inside a line is text, whatever the archive's line ends."""
+    d = tempfile.mkdtemp(prefix="wet-mid-")
+    body = "As the header WARC/1.0 says, WARC/1.0; " + "more text " * 20 + "WARC/1.0"
+    mixed = ("WARC/1.0\r\nWARC-Type: conversion\r\nWARC-Target-URI: a\r\n\r\n" + body + " end\r\n\r\n"
+             "WARC/1.0\nWARC-Type: conversion\nWARC-Target-URI: b\n\n" + body + "!\n")
+    _write(d, "a.gz", mixed.encode())
+    two = gzip.compress(mixed[: len(mixed) // 2].encode()) + gzip.compress(mixed[len(mixed) // 2 :].encode())
+    _write(d, "b.gz", two, compress=False)
+    _write(d, "c.gz", two + b"\0" * 512, compress=False)  # padding
+    probe = archives.probe_archives(spark, os.path.join(d, "*.gz"))
+    assert [r.readable for r in probe.orderBy("path").collect()] == [True, True, False]
+    from pyspark.sql import Window
+
+    recs = archives.read_wet(spark, probe.withColumn("file_index", F.dense_rank().over(Window.orderBy("path")))).collect()
+    assert sorted((r.file_index, r.uri, r.content) for r in recs) == [(i, u, body + e) for i in (1, 2) for u, e in (("a", " end"), ("b", "!"))]
+
+
+def test_json_keeps_nulls(spark):
+    d = tempfile.mkdtemp(prefix="json-")
+    df = spark.createDataFrame([("a", None)], "x string, y string")
+    files.write_jsonl(df, os.path.join(d, "l"))
+    files.write_manifest(df, os.path.join(d, "m"))
+    for name in ("l", "m"):
+        assert [r.value for r in spark.read.text(os.path.join(d, name)).collect()] == ['{"x":"a","y":null}']
+
+
+def test_digest_separates_fields(spark):
+    from corpuslab.operators.manifests import dataset_digest
+
+    rows = [("a\tb", "c"), ("a", "b\tc"), ("a", None), ("a", "\\N"), ("a", "-"), ("a", "")]
+    found = [dataset_digest(spark.createDataFrame([r], "x string, y string"), ["x", "y"]).first().digest for r in rows]
+    assert len(set(found)) == len(rows)
+    both = spark.createDataFrame(rows, "x string, y string")
+    assert dataset_digest(both, ["x", "y"]).first() == dataset_digest(both.orderBy("y"), ["x", "y"]).first()
 
 
 def test_normalize_archives_counts_malformed(spark):
