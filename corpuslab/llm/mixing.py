@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.llm.common import free_name
 from corpuslab.session import stage
 
 LEVELS = ("domain", "lang", "source")
@@ -126,14 +127,18 @@ def mix(df: DataFrame, plan: DataFrame) -> DataFrame:
     Columns and their names are those of ``df``; ``n_chars``, if there is one, follows the cut text.
     A doc_id that ``plan`` has more than once is taken as its first row says.
     """
-    takes = plan.where("full_epochs > 0 or part_tokens > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(
-        F.min(F.struct("n_tokens", "full_epochs", "part_tokens")).alias("_mix"))
-    cuts = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_mix.full_epochs").cast("int")),
-                    F.when(F.col("_mix.part_tokens") > 0, F.array(F.when(F.col("_mix.part_tokens") < F.col("_mix.n_tokens"), F.col("_mix.part_tokens")).otherwise(F.lit(-1).cast("long")))).otherwise(F.array().cast("array<bigint>")))
-    out = df.join(takes, F.col("doc_id").eqNullSafe(F.col("_mix_id"))).withColumn("_mix_cut", F.explode(cuts))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), 1, F.greatest(F.col("_mix_cut"), F.lit(0)).cast("int")), "")
-    text = F.when(F.col("_mix_cut") >= 0, head).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    key, take, cut = (free_name(df, n) for n in ("_id", "_take", "_cut"))
+    takes = plan.where("full_epochs > 0 or part_tokens > 0").groupBy(F.col("doc_id").alias(key)).agg(
+        F.min(F.struct("n_tokens", "full_epochs", "part_tokens")).alias(take))
+    n, full, part = (F.col(take)[c] for c in ("n_tokens", "full_epochs", "part_tokens"))
+    whole = F.lit(-1).cast("long")
+    last = F.when(part > 0, F.array(F.when(part < n, part).otherwise(whole))).otherwise(F.array().cast("array<bigint>"))
+    out = df.join(takes, F.col("doc_id").eqNullSafe(F.col(key)))
+    out = out.withColumn(cut, F.explode(F.concat(F.array_repeat(whole, full.cast("int")), last)))
+    words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
+    head = F.array_join(F.slice(words, 1, F.greatest(F.col(cut), F.lit(0)).cast("int")), "")
+    out = out.withColumn("text", F.when(F.col(cut) >= 0, head).otherwise(F.col("text")))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_mix_cut") >= 0, F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        kind = df.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col(cut) >= 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*df.columns)
