@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from corpuslab.llm.common import small_batches, with_judgement
 from corpuslab.session import stage
 
-LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST_WORD = 48  # longer runs of letters are scored in pieces of so many
+LONGEST_WORD = 48  # longer runs of letters are cut into words of so many
+LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST_WORD}}}")
 LONGEST_PIECE = 12
 ROUNDS, SMOOTHING = 2, 0.05
 MAX_LANGUAGES = 1000
@@ -40,7 +40,13 @@ def default_vocabulary() -> str:
 
 class Lattice:
     """Pieces of a sentencepiece vocabulary as they occur in words: ``\\u2581`` marks a word's start.
-    A character that is no piece stands for the unknown piece."""
+    A character that is no piece stands for the unknown piece.
+
+    Pieces are found by a 64-bit rolling hash of their characters in an open-addressing table, for all
+    spans of many words at once.
+    """
+
+    FACTOR, SLOTS = np.uint64(0x9E3779B97F4A7C15), 1 << 17
 
     def __init__(self, path: str):
         import sentencepiece
@@ -51,16 +57,54 @@ class Lattice:
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.unknown, self.none = len(pieces), len(pieces) + 1
         self.size = len(pieces) + 2
+        if 2 * len(pieces) > self.SLOTS:
+            raise ValueError(f"more than {self.SLOTS // 2} pieces")
+        self.keys, self.values = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, self.none, np.int32)
+        for p, i in self.ids.items():
+            h = np.zeros(1, np.uint64)
+            for c in p:
+                h = self._longer(h, np.uint64(ord(c)))
+            at = self._slot(h)[0]
+            while self.keys[at]:
+                at = (at + 1) % self.SLOTS
+            self.keys[at], self.values[at] = h[0], i
+
+    def _longer(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (h + c + np.uint64(1)) * self.FACTOR
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(40)).astype(np.int64) % self.SLOTS
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        at = self._slot(h)
+        out = np.where(self.keys[at] == h, self.values[at], self.none)
+        left = np.flatnonzero((self.keys[at] != h) & (self.keys[at] != 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) % self.SLOTS
+            key = self.keys[at]
+            hit = key == h[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (key != 0)
+            left, at = left[on], at[on]
+        return out
 
-    def arcs(self, words: list[str]) -> np.ndarray:
-        """For marked words of one length n: piece ids by [word, arc], arcs ordered by end, then start."""
-        get, none, n = self.ids.get, self.none, len(words[0])
-        spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST_PIECE), j)]
-        flat = np.fromiter((get(w[i:j], none) for w in words for i, j in spans), np.int32, len(words) * len(spans))
-        found = flat.reshape(len(words), len(spans))
-        single = [k for k, (i, j) in enumerate(spans) if j == i + 1]
-        found[:, single] = np.where(found[:, single] == none, self.unknown, found[:, single])
-        return found
+    def arcs(self, words: list[str]) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For marked words of one length: by end, the arcs (start, words that have it, their pieces)."""
+        n = len(words[0])
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).T.astype(np.uint64)
+        out: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]
+        h = np.zeros_like(chars)
+        for size in range(1, min(n, LONGEST_PIECE) + 1):
+            h = self._longer(h[: n - size + 1], chars[size - 1 :])
+            found = self._find(h.ravel()).reshape(h.shape)
+            if size == 1:
+                found = np.where(found == self.none, self.unknown, found)
+            for start, row in enumerate(found):
+                at = np.flatnonzero(row != self.none)
+                if len(at):
+                    out[start + size].append((start, at, row[at]))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -69,11 +113,7 @@ def lattice(path: str) -> Lattice:
 
 
 def split_words(text: str) -> list[str]:
-    """Words in lower case, marked; long ones cut."""
-    found = LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) <= LONGEST_WORD:
-        return found
-    return [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
+    return LETTERS.findall(text.lower())
 
 
 def by_length(words: list[str]) -> Iterator[list[int]]:
@@ -85,20 +125,13 @@ def by_length(words: list[str]) -> Iterator[list[int]]:
             yield at[i : i + 4096]
 
 
-def _spans(n: int) -> list[list[tuple[int, int]]]:
-    """By end j: (start, arc) of the arcs that end there, numbered as in ``Lattice.arcs``."""
-    out, k = [[]], 0
-    for j in range(1, n + 1):
-        out.append([(i, k + x) for x, i in enumerate(range(max(0, j - LONGEST_PIECE), j))])
-        k += len(out[-1])
-    return out
-
-
-def forward(prob: np.ndarray, arcs: np.ndarray, n: int) -> list[np.ndarray]:
+def forward(prob: np.ndarray, arcs: list, words: int) -> list[np.ndarray]:
     """Per end: total probability, by [word, language], of all segmentations so far, times SCALE ** length."""
-    alpha = [np.ones((len(arcs), prob.shape[1]))]
-    for j, ends in enumerate(_spans(n)[1:], 1):
-        alpha.append(sum(alpha[i] * prob[arcs[:, k]] * SCALE ** (j - i) for i, k in ends))
+    alpha = [np.ones((words, prob.shape[1]))]
+    for j in range(1, len(arcs)):
+        alpha.append(np.zeros_like(alpha[0]))
+        for i, at, piece in arcs[j]:
+            alpha[j][at] += alpha[i][at] * prob[piece] * SCALE ** (j - i)
     return alpha
 
 
@@ -106,27 +139,23 @@ def log_likelihood(prob: np.ndarray, grid: Lattice, words: list[str]) -> np.ndar
     out = np.empty((len(words), prob.shape[1]))
     for at in by_length(words):
         marked = ["▁" + words[k] for k in at]
-        n = len(marked[0])
-        out[at] = np.log(forward(prob, grid.arcs(marked), n)[n]) - n * np.log(SCALE)
+        out[at] = np.log(forward(prob, grid.arcs(marked), len(at))[-1]) - len(marked[0]) * np.log(SCALE)
     return out
 
 
 def expected_counts(prob: np.ndarray, grid: Lattice, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Per piece, how often the segmentations of ``words`` use it on average; ``prob`` is one language's."""
     total = np.zeros(grid.size)
-    p = prob[:, None]
-    for at in by_length(words):
-        marked = ["▁" + words[k] for k in at]
-        n, weight = len(marked[0]), counts[at]
-        arcs, spans = grid.arcs(marked), _spans(n)
-        alpha = [a[:, 0] for a in forward(p, arcs, n)]
-        beta = [np.zeros(len(at)) for _ in range(n)] + [np.ones(len(at))]
+    for group in by_length(words):
+        arcs = grid.arcs(["▁" + words[k] for k in group])
+        n, weight = len(arcs) - 1, counts[group]
+        alpha = [a[:, 0] for a in forward(prob[:, None], arcs, len(group))]
+        beta = [np.zeros(len(group)) for _ in range(n)] + [np.ones(len(group))]
         for j in range(n, 0, -1):
-            for i, k in spans[j]:
-                flow = prob[arcs[:, k]] * SCALE ** (j - i) * beta[j]
-                total += np.bincount(arcs[:, k], alpha[i] * flow / alpha[n] * weight, grid.size)
-                beta[i] += flow
-    total[grid.none] = 0
+            for i, at, piece in arcs[j]:
+                flow = prob[piece] * SCALE ** (j - i) * beta[j][at]
+                np.add.at(total, piece, alpha[i][at] * flow / alpha[n][at] * weight[at])
+                beta[i][at] += flow
     return total
 
 
@@ -200,19 +229,26 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.grid = model, lattice(model.path)
         self.cache: dict[str, int] = {}
-        self.rows = np.empty((0, len(model.languages)))
+        self.rows = np.empty((0, model.prob.shape[1]))
+
+    def _learn(self, new: list[str]) -> None:
+        self.cache.update(zip(new, range(len(self.cache), len(self.cache) + len(new))))
+        self.rows = np.concatenate([self.rows, log_likelihood(self.model.prob, self.grid, new)])
 
     def totals(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
         """Per text: log likelihood by language, and the number of words."""
         split = [split_words(t or "") for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.cache})
+        ids = [list(map(self.cache.get, ws)) for ws in split]
+        new = list({w for ws, ks in zip(split, ids) if None in ks for w, k in zip(ws, ks) if k is None})
         if len(self.cache) + len(new) > WORDS_KEPT and self.cache:
             self.cache, self.rows = {}, self.rows[:0]
-            new = list({w for ws in split for w in ws})
-        self.cache.update(zip(new, range(len(self.cache), len(self.cache) + len(new))))
-        self.rows = np.concatenate([self.rows, log_likelihood(self.model.prob, self.grid, new)]) if new else self.rows
-        for ws in split:
-            yield self.rows[np.fromiter(map(self.cache.__getitem__, ws), np.int64, len(ws))].sum(axis=0), len(ws)
+            new, ids = list({w for ws in split for w in ws}), [[None]] * len(ids)
+        if new:
+            self._learn(new)
+        for ws, ks in zip(split, ids):
+            if None in ks:
+                ks = map(self.cache.__getitem__, ws)
+            yield self.rows[np.fromiter(ks, np.int64, len(ws))].sum(axis=0), len(ws)
 
     def judge(self, texts: list[str | None]) -> list[dict]:
         out = []
