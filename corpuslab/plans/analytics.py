@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.operators import artifacts as AR
+from corpuslab.operators import incidents as I
+from corpuslab.operators import manifests as M
 from corpuslab.operators import runs as R
 from corpuslab.sources import derived as D
 
@@ -46,6 +48,67 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.run_report(run_summary(spark, sf_dir))
 
 
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's rows as Markdown lines."""
+    return R.report_markdown(run_report(spark, sf_dir))
+
+
+def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.token_cost(run_summary(spark, sf_dir))
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.number_steps(D.step_events(spark, sf_dir).select("run_name", "event_id", "ts_us", "loss", "saved"))
+
+
+def loss_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.loss_spikes(_numbered(spark, sf_dir))
+
+
+def stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that stood still for over a day."""
+    return I.stalls(_numbered(spark, sf_dir), 86_400)
+
+
+def lost_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A non-finite loss ends the run there."""
+    return I.lost_work(_numbered(spark, sf_dir), F.isnan("loss"), F.col("saved"))
+
+
+def step_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.step_timing(D.step_times(spark, sf_dir))
+
+
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full checkpoints listed in a run's manifest, against the files that are there."""
+    from corpuslab.operators.ordering import dense_positions
+
+    full = D.checkpoints(spark, sf_dir).where(~F.col("sharded"))
+    listed = full.where("in_manifest").select("run_name", "path", "step", F.col("checksum").alias("listed_checksum"))
+    entries = dense_positions(listed, ["step"], "file_index", group=["run_name"]).drop("step")
+    there = full.where("has_state").select("path", F.col("actual_checksum").alias("raw_checksum_sha256"))
+    return M.replay_entries(entries, there)
+
+
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset is a source of ``documents``; run ``run-<n>`` was trained on ``src<n mod 25>``."""
+    from corpuslab.session import read_table
+
+    datasets = read_table(spark, sf_dir, "documents").groupBy(F.col("source").alias("dataset_version")).agg(F.count("*").alias("n_docs"))
+    runs = D.runs(spark, sf_dir).select(F.concat(F.lit("src"), (F.col("user_id") % 25).cast("string")).alias("dataset_version"),
+                                        F.col("run_name").alias("run_id"))
+    newest = AR.latest_valid(D.checkpoints(spark, sf_dir)).select(F.col("run_name").alias("run_id"), F.col("path").alias("checkpoint_path"))
+    evals = newest.join(D.evals(spark, sf_dir).select(F.col("run_name").alias("run_id"), "passed"), on="run_id") \
+        .select("checkpoint_path", "passed")
+    published = newest.join(D.exports(spark, sf_dir).select(F.col("run_name").alias("run_id"), "storage_location"), on="run_id") \
+        .join(evals.where("passed").select("checkpoint_path"), on="checkpoint_path").select("checkpoint_path", "storage_location")
+    return M.lineage(datasets, runs, newest, evals, published)
+
+
+def artifact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AR.directory_digest(D.artifact_files(spark, sf_dir))
+
+
 def fleet_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     inst = D.telemetry(spark, sf_dir).select("instance_id", "user_id").distinct()
     typed = inst.join(D.customers(spark, sf_dir).select("user_id", "instance_type"), on="user_id", how="left")
@@ -142,3 +205,12 @@ def log_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = lines.filter(F.col("_s") != "").groupBy("file").agg(F.count(F.lit(1)).alias("n_logged"))
     run = F.regexp_extract("file", r"run_name=([^/]+)/", 1)
     return prog.join(counts, on="file").select(run.alias("run_name"), "last_step", "n_logged")
+
+
+def log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of a run's last logged step, scanned from the logs."""
+    from corpuslab.sources.files import training_log_progress
+
+    prog = training_log_progress(spark, write_training_logs(spark, sf_dir))
+    return prog.select(F.regexp_extract("file", r"run_name=([^/]+)/", 1).alias("run_name"), "last_step", "last_loss", "last_lr",
+                       "last_tokens_per_sec", "last_gpu_mem_mb", "resumed_from_step")

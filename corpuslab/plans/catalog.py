@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.plans import analytics, archives_q, corpus, gates, oracle, oracle_runs, tokenize
+from corpuslab.plans import analytics, archives_q, corpus, gates, oracle, oracle_runs, streams_q, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,8 @@ def queries() -> dict[str, Query]:
         "dataset_manifest": gates.dataset_manifest,
         "dataset_digest": gates.dataset_digest,
         "wet_roundtrip": archives_q.wet_roundtrip,
+        "stream_gpu_means": streams_q.stream_gpu_means,
+        "stream_dedup": streams_q.stream_dedup,
     }
     for name in oracle_runs.RUN_SQL:
         q[name] = getattr(analytics, name)
@@ -44,4 +46,6 @@ def oracle_sql() -> dict[str, str]:
     sql.update(oracle.TOKEN_SQL)
     sql.update(oracle_runs.RUN_SQL)
     sql.update(oracle.GATE_SQL)
+    sql.update(oracle_runs.STREAM_SQL)
+    sql["stream_dedup"] = oracle.CORPUS_SQL["dedup_exact"]
     return sql

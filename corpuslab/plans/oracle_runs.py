@@ -51,7 +51,8 @@ sm AS (SELECT run_name, total_requests, successful, failed, total_time_sec, tota
 STEPS = """st AS (
   SELECT 'run-' || user_id::VARCHAR AS run_name, user_id, event_id, epoch_us(ts) AS ts_us,
          (CAST(json_extract_string(props, '$.k') AS BIGINT) + 1) * 1024 AS tokens,
-         CASE WHEN event_type = 'error' THEN 'NaN'::DOUBLE ELSE value / 50.0 END AS loss
+         CASE WHEN event_type = 'error' THEN 'NaN'::DOUBLE ELSE value / 50.0 END AS loss,
+         event_type = 'purchase' AS saved
   FROM events)"""
 
 CUSTOMERS = f"""cu AS (
@@ -86,10 +87,11 @@ CHECKPOINTS = """ck AS (
   FROM orders),
 ckv AS (SELECT *, CASE WHEN sharded THEN st <> 'O' ELSE st <> 'O' AND checksum = actual_checksum END AS valid FROM ck)"""
 
-TELEMETRY_MEANS = """m AS (
-  SELECT 'i-' || user_id::VARCHAR AS instance_id, time_bucket(INTERVAL 5 MINUTE, ts::TIMESTAMP) AS window_start,
-         count(*) AS n, sum(CAST(CAST(value AS DECIMAL(12,2)) * 100 AS BIGINT))::BIGINT AS sum_cents
-  FROM events GROUP BY ALL)"""
+TELEMETRY_MEANS = """tl AS (
+  SELECT 'i-' || user_id::VARCHAR AS instance_id, make_timestamp(epoch_us(ts) // 120) AS ts,
+         CAST(CAST(value AS DECIMAL(12,2)) * 100 AS BIGINT) // 5 AS cents FROM events),
+m AS (SELECT instance_id, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n, sum(cents)::BIGINT AS sum_cents
+      FROM tl GROUP BY ALL)"""
 
 OPS = f"""ka AS (
   SELECT 'run-' || l_suppkey::VARCHAR AS run_name,
@@ -237,3 +239,81 @@ SELECT artifact, CASE WHEN s AND NOT c THEN 'raw_checkpoint' ELSE 'serveable' EN
 RUN_SQL["log_progress"] = """
 WITH n AS (SELECT 'run-' || user_id::VARCHAR AS run_name, count(*) AS steps FROM events GROUP BY user_id)
 SELECT run_name, (steps // 10 * 10)::BIGINT AS last_step, (steps // 10)::BIGINT AS n_logged FROM n WHERE steps >= 10"""
+
+
+REPORT_LABELS_SQL = """CASE metric WHEN 'gpu_hours' THEN 'GPU hours to passing checkpoint' WHEN 'tokens_per_sec' THEN 'Tokens/sec'
+  WHEN 'cost_usd' THEN 'Cost per trained model (USD)' WHEN 'perplexity' THEN 'Perplexity'
+  WHEN 'resumed_from_step' THEN 'Resumed from step' END"""
+
+_NUMBERED = f"""{STEPS},
+sn AS (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY ts_us, event_id) AS step FROM st)"""
+
+
+def _digits(c: str) -> str:
+    return f"coalesce(printf('%.2f', {c}), 'n/a')"
+
+
+RUN_SQL.update({
+    "report_lines": f"""
+SELECT run_name, metric, '| ' || {REPORT_LABELS_SQL} || ' | ' || {_digits('baseline')} || ' | ' || {_digits('"current"')}
+       || ' | ' || {_digits('delta')} || ' |' AS line
+FROM ({RUN_SQL['run_report']})""",
+    "token_cost": f"""
+WITH {RUNS}
+SELECT run_name, total_tokens, estimated_cost_usd / nullif(total_tokens::DOUBLE, 0) * 1000000.0::DOUBLE AS usd_per_million_tokens FROM summ""",
+    "loss_spikes": f"""
+WITH {_NUMBERED},
+x AS (SELECT run_name, step, CASE WHEN NOT isnan(loss) THEN CAST(round(loss * 10000) AS BIGINT) END AS x FROM sn),
+w AS (SELECT *, count(x) OVER v AS n, sum(x) OVER v AS s, sum(x * x) OVER v AS q FROM x
+      WINDOW v AS (PARTITION BY run_name ORDER BY step ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+SELECT run_name, step, x / 10000.0::DOUBLE AS loss, n AS n_before, s::DOUBLE / n / 10000.0::DOUBLE AS mean_before FROM w
+WHERE n >= 10 AND n * x > s AND (n * x - s)::DOUBLE * (n * x - s)::DOUBLE * (n - 1) > (n * q - s * s)::DOUBLE * n * 9""",
+    "stalls": f"""
+WITH {_NUMBERED},
+g AS (SELECT run_name, step, ts_us, lead(ts_us) OVER (PARTITION BY run_name ORDER BY step) - ts_us AS gap FROM sn)
+SELECT run_name, step, ts_us AS stall_start_us, gap::DOUBLE / 1000000.0::DOUBLE AS gap_sec FROM g WHERE gap > 86400000000""",
+    "lost_work": f"""
+WITH {_NUMBERED},
+c AS (SELECT run_name, step FROM sn WHERE isnan(loss)), k AS (SELECT run_name, step FROM sn WHERE saved)
+SELECT c.run_name, c.step AS crash_step, coalesce(k.step, 0) AS checkpoint_step, c.step - coalesce(k.step, 0) AS lost_steps
+FROM c ASOF LEFT JOIN k ON c.run_name = k.run_name AND c.step >= k.step""",
+    "step_timing": """
+WITH s AS (SELECT 'run-' || l_suppkey::VARCHAR AS run_name, CAST(l_quantity AS DECIMAL(12,2)) AS f,
+                  CAST(l_extendedprice AS DECIMAL(15,2)) AS b FROM lineitem)
+SELECT run_name, count(*) AS steps, sum(f)::DOUBLE / count(*) AS avg_forward_ms, sum(b)::DOUBLE / count(*) AS avg_backward_ms,
+       sum(f + b)::DOUBLE / count(*) AS avg_total_ms, sum(f + b)::DOUBLE AS total_ms
+FROM s GROUP BY run_name""",
+    "replay": f"""
+WITH {CHECKPOINTS}
+SELECT l.path, l.run_name, l.file_index, l.checksum AS listed_checksum, o.actual_checksum AS raw_checksum_sha256
+FROM (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY step) - 1 AS file_index FROM ck WHERE NOT sharded AND in_manifest) l
+LEFT JOIN (SELECT path, actual_checksum FROM ck WHERE NOT sharded AND st <> 'O') o ON l.path = o.path""",
+    "lineage": f"""
+WITH {RUNS}, {CHECKPOINTS},
+d AS (SELECT source AS dataset_version, count(*) AS n_docs FROM documents GROUP BY source),
+nw AS (SELECT run_name, arg_max(path, step) AS checkpoint_path FROM ckv WHERE valid GROUP BY run_name),
+ev AS (SELECT checkpoint_path, perplexity <= 90.0 AS passed FROM nw JOIN evals USING (run_name)),
+pb AS (SELECT checkpoint_path, 's3://models/' || run_name AS storage_location FROM nw JOIN exports USING (run_name)
+       JOIN ev USING (checkpoint_path) WHERE passed)
+SELECT d.dataset_version, n_docs, r.run_name AS run_id, nw.checkpoint_path, ev.passed, pb.storage_location
+FROM d LEFT JOIN (SELECT run_name, 'src' || (user_id % 25)::VARCHAR AS dv FROM runs) r ON r.dv = d.dataset_version
+LEFT JOIN nw ON nw.run_name = r.run_name LEFT JOIN ev ON ev.checkpoint_path = nw.checkpoint_path
+LEFT JOIN pb ON pb.checkpoint_path = nw.checkpoint_path""",
+    "artifact_digest": f"""
+WITH {LISTING}
+SELECT artifact, 'sha256:' || sha256(string_agg(rel_path || chr(9) || sha256(artifact || '/' || rel_path), chr(10) ORDER BY rel_path))
+       AS artifact_checksum, count(*) AS artifact_file_count, sum(strlen(artifact || '/' || rel_path))::BIGINT AS artifact_size_bytes
+FROM ls GROUP BY artifact""",
+    "log_metrics": f"""
+WITH {_NUMBERED}
+SELECT run_name, max(step) AS last_step, arg_max(round(loss, 4), step) AS last_loss, 1e-4::DOUBLE AS last_lr,
+       arg_max(tokens, step)::DOUBLE AS last_tokens_per_sec, 900.0::DOUBLE AS last_gpu_mem_mb, NULL::BIGINT AS resumed_from_step
+FROM sn WHERE step % 10 = 0 GROUP BY run_name""",
+})
+
+STREAM_SQL: dict[str, str] = {
+    "stream_gpu_means": f"""
+WITH {TELEMETRY_MEANS}
+SELECT instance_id, window_start, n, sum_cents, sum_cents::DOUBLE / n / 100.0 AS mean_value FROM m
+WHERE window_start + INTERVAL 5 MINUTE <= date_trunc('millisecond', (SELECT max(ts) FROM tl)) - INTERVAL 10 MINUTE""",
+}

@@ -8,12 +8,13 @@ written in SQL in ``plans/oracle_runs.py``:
 * requests: ``events`` row = one inference request of run ``run-<user_id>``; latency =
   ``value``/100 s (exact decimal), tokens = (``props.k`` + 1) x 16, ``event_type='error'`` = failed.
 * steps: ``events`` of a user in (ts, event_id) order = training steps; tokens = (k + 1) x 1024,
-  loss = ``value``/50, NaN for an 'error' event (a non-finite loss).
+  loss = ``value``/50, NaN for an 'error' event (a non-finite loss); a 'purchase' event saves a checkpoint.
 * runs / evals / exports: per user; instance type from the customer's market segment.
 * checkpoints: ``orders`` of customer c = checkpoints of ``run-<c>`` at step ``o_orderkey``.
 * rank reports: ``lineitem`` rows of an order = one report per rank of that checkpoint.
 * op events: ``lineitem`` rows = profiler events of ``run-<l_suppkey>``.
-* telemetry: ``events`` = GPU utilization readings of instance ``i-<user_id>``.
+* telemetry: ``events`` = GPU utilization readings of instance ``i-<user_id>``, on a clock 120 times as fast (so
+  that periods hold several readings and follow each other) and at a fifth of ``value`` (so that some are idle).
 * scaling: ``lineitem`` grouped by (returnflag, linenumber) = configurations of a benchmark suite.
 """
 
@@ -50,6 +51,7 @@ OP_NAMES = ["aten::mm", "ncclKernel_AllReduce", "aten::addmm", "ncclKernel_AllGa
 MODEL_PARAMS = 355_000_000  # gpt2-medium, the model of the reference's published runs
 
 CENT = Decimal("0.01")
+TELEMETRY_SPEED = 120
 
 
 def _map(col: str, mapping: dict) -> F.Column:
@@ -86,6 +88,7 @@ def step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).alias("ts_us"),
         ((F.get_json_object("props", "$.k").cast("long") + 1) * 1024).alias("tokens"),
         F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value") / 50.0).alias("loss"),
+        (F.col("event_type") == "purchase").alias("saved"),  # a checkpoint was finished at this step
     )
 
 
@@ -195,12 +198,21 @@ def op_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
+    return telemetry_of(read_table(spark, sf_dir, "events"))
+
+
+def telemetry_of(ev: DataFrame) -> DataFrame:
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    us = F.timestamp_diff("MICROSECOND", epoch, F.col("ts"))
+    fast = F.floor(us / F.lit(TELEMETRY_SPEED)).cast("decimal(18,0)") * F.lit(Decimal("0.000001"))
+    zero = F.lit(0)
+    cents = F.floor((F.col("value").cast("decimal(12,2)") * 100).cast("long") / F.lit(5))
     return ev.select(
-        F.col("ts"),  # naive timestamps: windows are computed on the wall clock, independent of time zones
+        # naive timestamps: windows are computed on the wall clock, independent of time zones
+        (epoch + F.make_dt_interval(zero, zero, zero, fast.cast("decimal(18,6)"))).alias("ts"),
         F.concat(F.lit("i-"), F.col("user_id").cast("string")).alias("instance_id"),
         F.lit("GPUUtilization").alias("metric"),
-        F.col("value").cast("decimal(12,2)").alias("value"),
+        (cents.cast("decimal(10,0)") * F.lit(CENT)).cast("decimal(12,2)").alias("value"),
         F.col("user_id"),
     )
 
@@ -239,3 +251,21 @@ def artifact_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex = exports(spark, sf_dir).select(F.col("storage_location").alias("artifact"),
                                        F.explode(F.array(*[F.lit(f) for f in EXPORT_FILES])).alias("rel_path"))
     return ck_files.unionByName(ex)
+
+
+def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing with contents: a file's bytes are its own full path."""
+    files = artifact_listing(spark, sf_dir)
+    return files.withColumn("content", F.concat_ws("/", "artifact", "rel_path").cast("binary"))
+
+
+def step_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward and backward seconds of profiled steps: ``lineitem`` of a supplier = steps of ``run-<l_suppkey>``."""
+    li = read_table(spark, sf_dir, "lineitem")
+    milli = F.lit(Decimal("0.001"))
+    return li.select(
+        _run("l_suppkey").alias("run_name"), F.col("l_orderkey").alias("step"),
+        (F.col("l_quantity").cast("decimal(12,2)") * milli).alias("forward_sec"),
+        (F.col("l_extendedprice").cast("decimal(15,2)") * milli).alias("backward_sec"),
+    )
+

@@ -72,7 +72,7 @@ RESUME_LINE = r"Resumed from step (\d+)"
 
 
 def training_log_progress(spark: SparkSession, path: str) -> DataFrame:
-    """Per log file, the last logged step (by line order), its loss and throughput, and the
+    """Per log file, the last logged step (by line order), its loss, learning rate, throughput and GPU memory, and the
     step the run resumed from (null when it never resumed)."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), "value"
@@ -83,12 +83,16 @@ def training_log_progress(spark: SparkSession, path: str) -> DataFrame:
         F.when(step.isNotNull(), step).alias("step"),
         F.when(step.isNotNull(), F.regexp_extract("value", STEP_LINE, 3).try_cast("double")).alias("loss"),
         F.when(step.isNotNull(), F.regexp_extract("value", STEP_LINE, 5).try_cast("double")).alias("tokens_per_sec"),
+        F.when(step.isNotNull(), F.regexp_extract("value", STEP_LINE, 4).try_cast("double")).alias("lr"),
+        F.when(step.isNotNull(), F.regexp_extract("value", STEP_LINE, 6).try_cast("double")).alias("gpu_mem_mb"),
         F.regexp_extract("value", RESUME_LINE, 1).try_cast("long").alias("resumed"),
     )
     return parsed.groupBy("file").agg(
         F.max_by("step", F.when(F.col("step").isNotNull(), F.col("line_no"))).alias("last_step"),
         F.max_by("loss", F.when(F.col("step").isNotNull(), F.col("line_no"))).alias("last_loss"),
         F.max_by("tokens_per_sec", F.when(F.col("step").isNotNull(), F.col("line_no"))).alias("last_tokens_per_sec"),
+        F.max_by("lr", F.when(F.col("step").isNotNull(), F.col("line_no"))).alias("last_lr"),
+        F.max_by("gpu_mem_mb", F.when(F.col("step").isNotNull(), F.col("line_no"))).alias("last_gpu_mem_mb"),
         F.max_by("resumed", F.when(F.col("resumed").isNotNull(), F.col("line_no"))).alias("resumed_from_step"),
     )
 

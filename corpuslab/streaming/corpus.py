@@ -4,8 +4,8 @@ New document files are classified and deduplicated against every hash kept so fa
 micro-batch writes its survivors to ``<kept>/batch_id=<id>`` with overwrite, so re-running a batch
 after a failure replaces its own output instead of appending twice; the anti join reads every
 earlier batch but never the current one. Progress lives in the stream's ``checkpointLocation``.
-A batch's candidate hashes are broadcast against the kept table only below a checked size; above
-it the anti join shuffles both sides.
+The kept table is first cut down to the hashes that the batch has too, then anti-joined; adaptive
+execution broadcasts the batch's side where its measured size is small.
 """
 
 from __future__ import annotations
@@ -19,15 +19,12 @@ from pyspark.sql import functions as F
 from corpuslab.operators import dedup, quality
 
 
-BROADCAST_MAX_HASHES = 2_000_000  # about 150 MB of hex digests: the size checked before broadcasting
-
-
 def _batch_writer(kept_path: str):
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cls = quality.classify(batch.select("doc_id", "text")).filter(F.col("reason") == "passed")
         firsts = dedup.keep_first(cls.select("doc_id", F.col("norm_text").alias("text"), "content_hash"))
-        firsts = firsts.persist(StorageLevel.MEMORY_AND_DISK)  # read by the size check and the write
+        firsts = firsts.persist(StorageLevel.MEMORY_AND_DISK)  # read by the semi join and the anti join
         try:
             try:
                 earlier = spark.read.parquet(kept_path).filter(F.col("batch_id") != batch_id).select("content_hash")
@@ -37,13 +34,9 @@ def _batch_writer(kept_path: str):
                 earlier = None
             if earlier is None:
                 new = firsts
-            elif firsts.count() <= BROADCAST_MAX_HASHES:
-                # the batch's hashes are few: broadcast them and scan only the hash column of the kept
-                # table, instead of shuffling the whole (ever growing) kept table every batch
-                seen = earlier.join(F.broadcast(firsts.select("content_hash")), on="content_hash", how="left_semi")
-                new = firsts.join(seen, on="content_hash", how="left_anti")
             else:
-                new = firsts.join(earlier, on="content_hash", how="left_anti")
+                seen = earlier.join(firsts.select("content_hash"), on="content_hash", how="left_semi")
+                new = firsts.join(seen, on="content_hash", how="left_anti")
             new.write.mode("overwrite").parquet(os.path.join(kept_path, f"batch_id={batch_id}"))
         finally:
             firsts.unpersist()
