@@ -32,6 +32,9 @@ def queries() -> dict[str, Query]:
         "dataset_manifest": gates.dataset_manifest,
         "dataset_digest": gates.dataset_digest,
         "wet_roundtrip": archives_q.wet_roundtrip,
+        "archive_inventory": archives_q.archive_inventory,
+        "archive_documents": archives_q.archive_documents,
+        "archive_stats": archives_q.archive_stats,
         "stream_gpu_means": streams_q.stream_gpu_means,
         "stream_dedup": streams_q.stream_dedup,
     }
@@ -46,6 +49,7 @@ def oracle_sql() -> dict[str, str]:
     sql.update(oracle.TOKEN_SQL)
     sql.update(oracle_runs.RUN_SQL)
     sql.update(oracle.GATE_SQL)
+    sql.update(oracle.ARCHIVE_SQL)
     sql.update(oracle_runs.STREAM_SQL)
     sql["stream_dedup"] = oracle.CORPUS_SQL["dedup_exact"]
     return sql

@@ -212,3 +212,31 @@ TOKEN_SQL["epoch_shards"] = f"""
 WITH {DEDUPED_CTE},
 p AS (SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id::VARCHAR || ':1'), doc_id) - 1 AS pos FROM dd)
 SELECT doc_id, 1 AS epoch, (pos % 8)::INTEGER AS shard, (pos // 8 // 4)::BIGINT AS batch FROM p"""
+
+_BOILERPLATE_BODY = "repeat(array_to_string([" + ", ".join(_q(x) for x in K.BOILERPLATE_LINES) + "], chr(10)) || chr(10), 2)"
+
+# Rules of plans/archives_q.py written in SQL: 250 ids an archive, the form by doc_id % 10, every fifth archive unreadable.
+ARCHIVES_CTE = f"""
+wraw AS (SELECT doc_id, lang, (doc_id // 250)::VARCHAR AS source, (doc_id // 250) % 5 = 3 AS bad,
+                CASE WHEN doc_id % 10 = 5 THEN '' ELSE 'doc://' || doc_id::VARCHAR END AS uri,
+                CASE doc_id % 10 WHEN 3 THEN 'About WARC/1.0 records. ' || text WHEN 7 THEN {_BOILERPLATE_BODY}
+                  WHEN 8 THEN repeat('ab', 40) || repeat(' ', 60) || repeat('ab', 40)
+                  WHEN 9 THEN 'e' || chr(769) || chr(9) || chr(9) || 'x' || repeat(chr(10), 4) || text ELSE text END AS text
+         FROM documents WHERE doc_id % 10 NOT IN (1, 6)),
+wdocs AS (SELECT * FROM wraw WHERE NOT bad AND {sql_strip('text')} <> ''),
+{CLASSIFIED_CTE.strip().replace('FROM documents', 'FROM wdocs')}"""
+
+ARCHIVE_SQL: dict[str, str] = {
+    "archive_inventory": """
+SELECT doc_id // 250 AS archive, (doc_id // 250) % 5 <> 3 AS readable, true AS has_checksum, true AS has_bytes
+FROM documents GROUP BY 1""",
+    "archive_documents": f"""
+WITH {ARCHIVES_CTE}
+SELECT uri, content_hash, strlen(norm_text)::BIGINT AS n_bytes FROM cls JOIN wdocs USING (doc_id) WHERE reason = 'passed'""",
+    "archive_stats": f"""
+WITH {ARCHIVES_CTE},
+k AS (SELECT source::BIGINT AS archive, CASE WHEN reason = 'passed' THEN reason ELSE 'rejected_' || reason END AS reason FROM cls)
+SELECT archive, reason, count(*) AS n FROM k GROUP BY ALL
+UNION ALL SELECT archive, 'total' AS reason, count(*) AS n FROM k GROUP BY archive
+UNION ALL SELECT DISTINCT doc_id // 250 AS archive, 'rejected_malformed' AS reason, 1 AS n FROM documents WHERE (doc_id // 250) % 5 = 3""",
+}
