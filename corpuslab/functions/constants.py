@@ -21,9 +21,6 @@ BOILERPLATE_LINES = [
     "skip to content",
     "skip to main content",
 ]
-# Reason names, in the order the rules are tried.
-REASONS = ["too_short", "non_alpha_ratio", "empty_after_strip", "boilerplate"]
-FILTERS_APPLIED = ["min_content_bytes", "max_non_alpha_ratio", "boilerplate_line_ratio", "nfc_normalization"]
 
 # --- Fixed values: instance prices (USD per hour), training cost report and fleet cost ----
 INSTANCE_HOURLY_PRICES = {

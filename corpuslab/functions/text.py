@@ -17,18 +17,14 @@ from pyspark.sql import types as ST
 
 from corpuslab.functions import constants as K
 
-# Characters that Python's ``str.strip()``/``isspace()`` treat as white space: Unicode White_Space
-# plus the ASCII separators U+001C..U+001F. Spelled out so Java and RE2 (DuckDB) agree.
-PY_SPACE_CLASS = r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-# Line boundaries of Python's ``str.splitlines()``.
-LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-NON_LETTER = r"[^\p{L}]"
+NON_LETTER = r"[^\p{L}]+"
 # Text whose code points are all below U+0300 is already NFC (no combining marks, no singletons,
 # no Hangul), so only rows with a later code point go through the UDF.
 MAY_CHANGE_UNDER_NFC = r"[^\x{0}-\x{2ff}]"
 
 
-# The same set as characters, for ``trim`` (a character-set trim, no regex).
+# Characters that Python's ``str.strip()``/``isspace()`` treat as white space: Unicode White_Space
+# plus the ASCII separators U+001C..U+001F, for ``trim`` (a character-set trim, no regex).
 PY_SPACE_CHARS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -37,11 +33,6 @@ def py_strip(c: Column) -> Column:
     return F.trim(c, F.lit(PY_SPACE_CHARS))
 
 
-def split_lines(c: Column) -> Column:
-    """Python ``str.splitlines()`` (empty pieces are possible; callers drop them)."""
-    return F.split(c, LINE_BREAK)
-
-
 def letter_count(c: Column) -> Column:
     """Number of code points in Unicode category L*."""
     return F.length(F.regexp_replace(c, NON_LETTER, ""))
@@ -81,18 +72,13 @@ def normalize_text(c: Column) -> Column:
     return py_strip(collapse_newlines(collapse_blanks(nfc(c))))
 
 
-def clean_lines(t: Column) -> Column:
-    """Non-blank lines, each stripped and lower-cased (array form, for callers that need the lines)."""
-    return F.filter(F.transform(split_lines(t), lambda x: F.lower(py_strip(x))), lambda x: x != F.lit(""))
-
-
-# Line terminators of ``splitlines`` as one class, and the white space that is not a terminator.
+# Line terminators of Python's ``str.splitlines()`` as one class, and the white space that is not a terminator.
 _TERM = r"[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-_NOT_TERM = r"[^\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _INLINE_SPACE = r"[\t \x1f\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 _NOT_SPACE = r"[^\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-# A line holding at least one non-space character.
-NONBLANK_LINE = _NOT_TERM + "*" + _NOT_SPACE + _NOT_TERM + "*"
+# The start of a line holding a non-space character. It is only tried where a line begins, so a long run of
+# spaces is scanned once.
+NONBLANK_LINE = rf"(?:\A|(?<={_TERM})){_INLINE_SPACE}*+{_NOT_SPACE}"
 
 
 def _boilerplate_line_pattern(lines: list[str]) -> str:

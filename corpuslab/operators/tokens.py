@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,12 +175,6 @@ def sequence_digest(tokens: Column) -> Column:
     return F.sha2(F.array_join(tokens.cast("array<string>"), " "), 256)
 
 
-@F.pandas_udf(ST.ArrayType(ST.IntegerType()))
-def bytes_to_ids(b: pd.Series) -> pd.Series:
-    """Binary -> array<int> of byte values, for the packed sinks (vectorized per row)."""
-    return b.map(lambda x: None if x is None else np.frombuffer(bytes(x), dtype=np.uint8).astype(np.int32))
-
-
 def external_tokenizer(loader):
     """X1 plug-in: ``loader()`` returns an ``encode(text) -> list[int]`` (e.g. a BPE tokenizer built
     from a local vocabulary file). It runs once per task; the iterator UDF then encodes Arrow batches."""

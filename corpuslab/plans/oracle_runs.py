@@ -4,7 +4,42 @@ written again in SQL."""
 from __future__ import annotations
 
 from corpuslab.functions import constants as K
-from corpuslab.sources import derived as D
+
+# The derivation rules, written out a second time.
+TRAINING_INSTANCE = {
+    "AUTOMOBILE": "g5.xlarge",
+    "BUILDING": "g5.12xlarge",
+    "FURNITURE": "p3.8xlarge",
+    "HOUSEHOLD": "p4d.24xlarge",
+    "MACHINERY": "trn1.2xlarge",
+}
+INFERENCE_INSTANCE = {
+    "AUTOMOBILE": "g5.xlarge",
+    "BUILDING": "g5.2xlarge",
+    "FURNITURE": "p3.2xlarge",
+    "HOUSEHOLD": "p3.8xlarge",
+    "MACHINERY": "p4d.24xlarge",
+}
+GPUS_PER_NODE = {"g5.xlarge": 1, "g5.12xlarge": 4, "p3.8xlarge": 4, "p4d.24xlarge": 8, "trn1.2xlarge": 1}
+GPU_MODEL = {
+    "p3.2xlarge": "V100",
+    "p3.8xlarge": "V100",
+    "p3.16xlarge": "V100",
+    "p4d.24xlarge": "A100",
+    "p4de.24xlarge": "A100",
+    "p5.48xlarge": "H100",
+}
+OP_NAMES = [
+    "aten::mm",
+    "ncclKernel_AllReduce",
+    "aten::addmm",
+    "ncclKernel_AllGather",
+    "aten::softmax",
+    "aten::layer_norm",
+    "aten::gelu",
+]
+MODEL_PARAMS = 355_000_000
+EXPORT_FILES = ["config.json", "model.safetensors", "tokenizer.json", "export_manifest.json"]
 
 
 def _q(s) -> str:
@@ -56,8 +91,8 @@ STEPS = """st AS (
   FROM events)"""
 
 CUSTOMERS = f"""cu AS (
-  SELECT c_custkey AS user_id, {_case('c_mktsegment', D.SEGMENT_TRAINING_INSTANCE)} AS instance_type,
-         {_case('c_mktsegment', D.SEGMENT_INFERENCE_INSTANCE)} AS inference_instance_type,
+  SELECT c_custkey AS user_id, {_case('c_mktsegment', TRAINING_INSTANCE)} AS instance_type,
+         {_case('c_mktsegment', INFERENCE_INSTANCE)} AS inference_instance_type,
          c_nationkey % 2 + 1 AS num_nodes
   FROM customer)"""
 
@@ -65,8 +100,8 @@ RUNS = f"""{STEPS}, {CUSTOMERS},
 pr AS (SELECT run_name, user_id, count(*) AS total_steps, sum(tokens)::BIGINT AS total_tokens,
               (max(ts_us) - min(ts_us))::DOUBLE / 1000000.0 AS total_time_sec FROM st GROUP BY run_name, user_id),
 runs AS (SELECT pr.run_name, pr.user_id, cu.instance_type,
-                coalesce({_case('cu.instance_type', D.GPUS_PER_NODE)}, 1) AS gpus_per_node,
-                coalesce({_case('cu.instance_type', D.GPUS_PER_NODE)}, 1) * coalesce(cu.num_nodes, 1) AS world_size,
+                coalesce({_case('cu.instance_type', GPUS_PER_NODE)}, 1) AS gpus_per_node,
+                coalesce({_case('cu.instance_type', GPUS_PER_NODE)}, 1) * coalesce(cu.num_nodes, 1) AS world_size,
                 total_time_sec, total_steps, total_tokens,
                 total_tokens::DOUBLE / nullif(total_time_sec, 0) AS final_tokens_per_sec, 0::BIGINT AS resumed_from_step
          FROM pr LEFT JOIN cu USING (user_id)),
@@ -95,7 +130,7 @@ m AS (SELECT instance_id, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, co
 
 OPS = f"""ka AS (
   SELECT 'run-' || l_suppkey::VARCHAR AS run_name,
-         {[x for x in D.OP_NAMES]}[l_linenumber] || '/' || l_returnflag || l_linestatus AS key,
+         {[x for x in OP_NAMES]}[l_linenumber] || '/' || l_returnflag || l_linestatus AS key,
          sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS cuda_time_us,
          sum(CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_discount AS DECIMAL(4,2))) AS cpu_time_us,
          count(*) AS calls
@@ -154,9 +189,9 @@ SELECT instance_type, n, n * {_case('instance_type', K.INSTANCE_HOURLY_PRICES, '
     "mfu": f"""
 WITH {RUNS},
 g AS (SELECT run_name, world_size, final_tokens_per_sec,
-             coalesce({_case('instance_type', D.INSTANCE_GPU_MODEL)}, {_q(K.DEFAULT_GPU_MODEL)}) AS gpu_model FROM runs),
+             coalesce({_case('instance_type', GPU_MODEL)}, {_q(K.DEFAULT_GPU_MODEL)}) AS gpu_model FROM runs),
 t AS (SELECT *, {_case('gpu_model', K.GPU_TFLOPS, '::DOUBLE')} * world_size AS theoretical_tflops,
-             final_tokens_per_sec * {6 * D.MODEL_PARAMS} / 1e12 AS achieved FROM g)
+             final_tokens_per_sec * {6 * MODEL_PARAMS} / 1e12 AS achieved FROM g)
 SELECT run_name, gpu_model, world_size AS gpu_count, theoretical_tflops, round(achieved, 1) AS achieved_tflops,
        round(achieved / theoretical_tflops * 100, 1) AS mfu_percent FROM t""",
     "profile_breakdown": f"""
@@ -217,7 +252,7 @@ FROM man FULL OUTER JOIN obs ON man.path = obs.path""",
 }
 
 
-_EXPORT_FILES = "[" + ", ".join(_q(f) for f in D.EXPORT_FILES) + "]"
+_EXPORT_FILES = "[" + ", ".join(_q(f) for f in EXPORT_FILES) + "]"
 LISTING = f"""{CHECKPOINTS},
 ls AS (SELECT path AS artifact, unnest(list_filter(['meta.json',
               CASE WHEN sharded AND st <> 'O' THEN 'model/__0_0.distcp' END,

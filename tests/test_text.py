@@ -57,3 +57,12 @@ def test_every_fixed_line_counts_as_boilerplate(spark):
     lines = list(K.BOILERPLATE_LINES)
     df = spark.createDataFrame([("\n".join(f" {x.upper()}\t" for x in lines),)], "t string")
     assert df.select(T.boilerplate_line_count(F.col("t"))).first()[0] == len(lines)
+
+
+def test_nonblank_lines_are_counted_from_their_start(spark):
+    cases = {"": 0, " \t ": 0, "a": 1, "  a b  \n\n \n c": 2, "a\r\nb\rc   d": 4, "\x1c\x1f\x1dx\x85": 1,
+             " " * 100_000: 0, (" " * 50_000 + "x\n") * 2: 2}
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, n int")
+    bad = rows.where(T.nonblank_line_count(F.col("t")) != F.col("n")).collect()
+    assert not bad, [r.t[:20] for r in bad]
+    assert rows.count() == len(cases)
