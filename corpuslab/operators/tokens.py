@@ -4,8 +4,9 @@ Tokenizers (X1):
 * ``byte``: UTF-8 byte = token id. Token arrays never need to exist: a packed sequence of bytes is
   a concatenation of binary slices, cut JVM-side with ``substring`` on ``encode(text)``.
 * ``word``: ``[\\p{L}\\p{N}]+`` matches; ids from a vocabulary fitted on the corpus (frequency desc,
-  word asc, ids from 1). The vocabulary grows with the corpus, so it is joined by a shuffle (AQE
-  splits a hot word's partition), never broadcast.
+  word asc, ids from 1). The vocabulary grows with the corpus and is never broadcast whole: its
+  ``FREQUENT`` first words, a bounded table, give nearly all tokens their ids where they are read;
+  only the tokens of other words are shuffled to the rest of the vocabulary.
 
 Packing (W3) follows the reference: documents in order, concatenated without separator, cut into
 sequences of exactly ``L`` tokens, the last partial sequence dropped. With ``off`` = tokens before a
@@ -33,6 +34,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), 0)
 
 
+def _words(docs: DataFrame, text_col: str) -> Column:
+    """The words of a column of texts, or the column itself if its texts were cut into words before."""
+    return F.col(text_col) if isinstance(docs.schema[text_col].dataType, ST.ArrayType) else words(F.col(text_col))
+
+
 def n_tokens(text: Column, tokenizer: str) -> Column:
     if tokenizer == "byte":
         return F.octet_length(text).cast("long")
@@ -44,17 +50,19 @@ def n_tokens(text: Column, tokenizer: str) -> Column:
 def fit_vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n, id): ids by frequency desc then word asc, from 1. Shuffles: partial+final count
     by word, then the range exchange of ``dense_positions`` over the distinct words."""
-    counts = docs.select(F.explode(words(F.col(text_col))).alias("word")).groupBy("word").agg(
+    counts = docs.select(F.explode(_words(docs, text_col)).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("n")
     )
     ranked = dense_positions(counts, [("n", True), "word"], "id", persist_input=True)
-    # staged: read by the hot-word broadcast and by the salted join
+    # staged: read by the frequent-word broadcast and by the join of the rest
     return stage(ranked.withColumn("id", (F.col("id") + 1).cast("int")), "vocab")
 
 
 def token_offsets(docs: DataFrame, tokenizer: str, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(order key, n_tokens, off) with ``off`` the exclusive running token count."""
-    counted = docs.select(order_col, n_tokens(F.col(text_col), tokenizer).alias("n_tokens"))
+    cut = tokenizer == "word" and isinstance(docs.schema[text_col].dataType, ST.ArrayType)
+    n = F.array_size(text_col).cast("long") if cut else n_tokens(F.col(text_col), tokenizer)
+    counted = docs.select(order_col, n.alias("n_tokens"))
     return running_offsets(counted, [order_col], "n_tokens", "off", persist_input=tokenizer != "byte")
 
 
@@ -95,19 +103,20 @@ def pack_bytes(docs: DataFrame, L: int, order_col: str = "doc_id", text_col: str
     return packed.filter(F.octet_length("packed") == L)
 
 
-SALTS = 32
+FREQUENT, FREQUENT_LENGTH = 1 << 16, 64  # words of the broadcast vocabulary and their code points: under 17 MB of text
 
 
 def join_word_ids(tokens: DataFrame, vocab: DataFrame, salt_cols: list[str], n_hot: int | None = None,
-                  salts: int = SALTS) -> DataFrame:
+                  salts: int | None = None) -> DataFrame:
     """Attach vocabulary ids to token rows (``word`` column), salting the hot words.
 
     Ids rank words by frequency, so any word holding more than 1/P of all tokens is among the top P
     ids: that set (at most P rows, a proven bound) is broadcast to tag the token side, whose hot
     tokens get a salt in [0, salts) from their own key; the hot vocabulary rows are replicated once
     per salt. The shuffle join on (word, salt) then spreads a word holding a third of all tokens
-    over ``salts`` tasks instead of one."""
-    n_hot = n_hot or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    over ``salts`` tasks instead of one. Both default to the number of shuffle partitions."""
+    n_parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_hot, salts = n_hot or n_parts, salts or n_parts
     hot = F.broadcast(vocab.filter(F.col("id") <= n_hot).select("word", F.lit(True).alias("_hot")))
     tagged = tokens.join(hot, on="word", how="left")
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts))).otherwise(F.lit(0))
@@ -117,41 +126,50 @@ def join_word_ids(tokens: DataFrame, vocab: DataFrame, salt_cols: list[str], n_h
     return tagged.join(v, on=["word", "_salt"]).drop("_salt")
 
 
-def word_ids(docs: DataFrame, vocab: DataFrame, order_col: str = "doc_id", text_col: str = "text",
-             max_pos: int | None = None) -> DataFrame:
-    """(order key, pos, id) for every word token (only ``pos < max_pos`` when truncating).
-    Shuffle: join on word."""
-    ws = words(F.col(text_col))
-    if max_pos is not None:  # truncation is the feature: only the first max_pos tokens are generated
-        ws = F.slice(ws, 1, max_pos)
-    exploded = docs.select(order_col, F.posexplode(ws).alias("pos", "word"))
-    return join_word_ids(exploded, vocab, [order_col, "pos"]).drop("word")
+def collect_word_ids(tokens: DataFrame, vocab: DataFrame, key: str, n_frequent: int = FREQUENT) -> DataFrame:
+    """(key, ids array<int> in ``k`` order) from token rows (key, k, word); ``k`` is unique in a key.
+
+    The ``n_frequent`` first words of at most ``FREQUENT_LENGTH`` code points are broadcast (a proven
+    bound) and their tokens never cross a shuffle as rows: each task gathers a key's tokens, as longs of
+    (k, id), before the exchange. Only the tokens of other words are shuffled to the rest of the
+    vocabulary, salted, since a word too long to be broadcast may still be hot."""
+    frequent = (F.col("id") <= n_frequent) & (F.length("word") <= FREQUENT_LENGTH)
+    near = F.broadcast(vocab.filter(frequent).select("word", "id"))
+    slot = F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("id").cast("long")).alias("_slot")
+    rest = join_word_ids(tokens.join(near, "word", "left_anti"), vocab.filter(~frequent), [key, "k"])
+    slots = tokens.join(near, "word").select(key, slot).unionByName(rest.select(key, slot))
+    gathered = slots.groupBy(key).agg(F.sort_array(F.collect_list("_slot")).alias("_slots"))
+    ids = F.transform("_slots", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    return gathered.select(key, ids.alias("ids"))
 
 
 def pack_word_ids(docs: DataFrame, vocab: DataFrame, L: int, order_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", n_frequent: int = FREQUENT) -> DataFrame:
     """W3 with word tokens: (seq_id, tokens array<int> of exactly L ids).
-    Shuffles: offsets (range), join offsets on the order key (one row per document), join on word,
-    group by sequence id (at most L tokens per group)."""
+    Shuffles: offsets (range), join offsets on the order key (one row per document), group by
+    sequence id (at most L tokens per group), join of the rare words' tokens."""
     offs = token_offsets(docs, "word", order_col, text_col).filter(F.col("n_tokens") > 0)
     docs_off = docs.select(order_col, text_col).join(offs.select(order_col, "off"), on=order_col)
-    exploded = docs_off.select("off", F.posexplode(words(F.col(text_col))).alias("pos", "word"))
-    ids = join_word_ids(exploded, vocab, ["off", "pos"])
-    g = F.col("off") + F.col("pos")
-    slots = ids.select(_idiv(g, L).alias("seq_id"), F.pmod(g, F.lit(L)).cast("int").alias("k"), "id")
-    grouped = slots.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("k", "id"))).alias("_s"))
-    return grouped.filter(F.size("_s") == L).select("seq_id", F.transform("_s", lambda x: x["id"]).alias("tokens"))
+    exploded = docs_off.select("off", F.posexplode(_words(docs, text_col)).alias("pos", "word"))
+    at = F.col("off") + F.col("pos")
+    tokens = exploded.select(_idiv(at, L).alias("seq_id"), F.pmod(at, F.lit(L)).alias("k"), "word")
+    ids = collect_word_ids(tokens, vocab, "seq_id", n_frequent)
+    return ids.filter(F.size("ids") == L).select("seq_id", F.col("ids").alias("tokens"))
 
 
 def doc_word_ids(docs: DataFrame, vocab: DataFrame, order_col: str = "doc_id", text_col: str = "text",
-                 max_pos: int | None = None) -> DataFrame:
-    """(order key, ids array<int>) per document, in token order; documents without words get []."""
-    ids = word_ids(docs, vocab, order_col, text_col, max_pos)
-    per_doc = ids.groupBy(order_col).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
+                 max_pos: int | None = None, n_frequent: int = FREQUENT) -> DataFrame:
+    """(order key, ids array<int>) per document, in token order; documents without words get [].
+    ``max_pos`` truncates: only the first so many tokens are generated."""
+    ws = _words(docs, text_col)
+    if max_pos is not None:
+        ws = F.slice(ws, 1, max_pos)
+    tokens = docs.select(order_col, F.posexplode(ws).alias("k", "word"))
+    ids = collect_word_ids(tokens, vocab, order_col, n_frequent)
     return (
         docs.select(order_col)
-        .join(per_doc, on=order_col, how="left")
-        .select(order_col, F.coalesce(F.transform("_s", lambda x: x["id"]), F.array().cast("array<int>")).alias("ids"))
+        .join(ids, on=order_col, how="left")
+        .select(order_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     )
 
 

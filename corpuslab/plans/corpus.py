@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.operators import dedup, quality
+from corpuslab.operators.tokens import n_tokens
 from corpuslab.session import read_table, spread, stage
 
 NARROW = ["doc_id", "lang", "source", "reason", "content_hash", "n_bytes", "norm_bytes"]
@@ -48,6 +49,16 @@ def deduped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.keep_first(passed.select("doc_id", F.col("norm_text").alias("text"), "content_hash"), "content_hash", "doc_id")
 
 
+def deduped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_words) of the kept documents. Tokens are counted in the classify pass, so the
+    first of each hash is found on counts and no text moves."""
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    passed = quality.classify(docs).filter(F.col("reason") == "passed")
+    counts = passed.select("doc_id", "content_hash", F.col("norm_bytes").cast("long").alias("n_bytes"),
+                           n_tokens(F.col("norm_text"), "word").alias("n_words"))
+    return dedup.keep_first(counts, "content_hash", "doc_id").drop("content_hash")
+
+
 def dedup_exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     passed = classified_documents(spark, sf_dir, materialize=False).filter(F.col("reason") == "passed")
     return dedup.first_per_hash(passed, "content_hash", "doc_id")

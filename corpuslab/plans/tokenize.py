@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.operators import tokens as TK
-from corpuslab.plans.corpus import deduped_documents
+from corpuslab.operators.ordering import running_offsets
+from corpuslab.plans.corpus import deduped_counts, deduped_documents
 from corpuslab.session import read_table, stage
 
 SEQ_LEN = 1024  # the reference's max_length for packing
@@ -17,18 +18,23 @@ EPOCH, WORLD_SIZE, BATCH_SIZE = 1, 8, 4
 
 
 def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deduplicated normalized documents (doc_id, text), staged: every token query reads it twice."""
+    """Deduplicated normalized documents (doc_id, text), staged for queries that read the text twice."""
     return stage(deduped_documents(spark, sf_dir).select("doc_id", "text"), "deduped")
 
 
+def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents cut into words once (doc_id, words), staged for the vocabulary and the ids."""
+    docs = deduped_documents(spark, sf_dir)
+    return stage(docs.select("doc_id", TK.words(F.col("text")).alias("words")), "deduped-words")
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus_docs(spark, sf_dir)
-    return docs.select("doc_id", TK.n_tokens(F.col("text"), "byte").alias("n_bytes"),
-                       TK.n_tokens(F.col("text"), "word").alias("n_words"))
+    return deduped_counts(spark, sf_dir)
 
 
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TK.token_offsets(corpus_docs(spark, sf_dir), "byte")
+    counts = deduped_counts(spark, sf_dir).select("doc_id", F.col("n_bytes").alias("n_tokens"))
+    return running_offsets(counts, ["doc_id"], "n_tokens", "off", persist_input=True)
 
 
 def pack_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,30 +43,29 @@ def pack_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TK.fit_vocabulary(corpus_docs(spark, sf_dir))
+    docs = deduped_documents(spark, sf_dir)  # read once, by the count of words
+    return TK.fit_vocabulary(docs)
 
 
 def pack_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus_docs(spark, sf_dir)
-    vocab = TK.fit_vocabulary(docs)  # read once, by the join on word
-    packed = TK.pack_word_ids(docs, vocab, SEQ_LEN)
+    docs = corpus_words(spark, sf_dir)
+    packed = TK.pack_word_ids(docs, TK.fit_vocabulary(docs, "words"), SEQ_LEN, text_col="words")
     return packed.select("seq_id", TK.sequence_digest(F.col("tokens")).alias("seq_digest"))
 
 
 def pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus_docs(spark, sf_dir).filter(F.length("text") > 0)
+    docs = stage(deduped_counts(spark, sf_dir).filter(F.col("n_bytes") > 0), "counts")
     out = None
     for tok in ("byte", "word"):
-        counts = docs.select(TK.n_tokens(F.col("text"), tok).alias("n_tokens"))
+        counts = docs.select(F.col(f"n_{tok}s").alias("n_tokens"))
         stats = TK.pack_stats(counts, SEQ_LEN).select(F.lit(tok).alias("tokenizer"), "*")
         out = stats if out is None else out.unionByName(stats)
     return out
 
 
 def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus_docs(spark, sf_dir)
-    vocab = TK.fit_vocabulary(docs)  # read once, by the join on word
-    ids = TK.doc_word_ids(docs, vocab, max_pos=PAD_LEN)
+    docs = corpus_words(spark, sf_dir)
+    ids = TK.doc_word_ids(docs, TK.fit_vocabulary(docs, "words"), text_col="words", max_pos=PAD_LEN)
     padded, mask = TK.pad_truncate(F.col("ids"), PAD_LEN, PAD_ID)
     return ids.select(
         "doc_id",
@@ -77,4 +82,4 @@ def synthetic_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epoch_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TK.epoch_shards(corpus_docs(spark, sf_dir), EPOCH, WORLD_SIZE, BATCH_SIZE)
+    return TK.epoch_shards(stage(deduped_counts(spark, sf_dir).select("doc_id"), "kept-ids"), EPOCH, WORLD_SIZE, BATCH_SIZE)

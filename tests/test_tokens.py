@@ -36,6 +36,27 @@ def test_pack_words_matches_serial(spark):
     assert all(len(r.tokens) == L for r in got)
 
 
+def test_word_ids_with_and_without_rare_words(spark):
+    long = "z" * 100
+    texts = ["the cat the dog", None, "", "the " * 30 + long, f"{long} {long} bird the", "... !"]
+    docs = _docs(spark, texts)
+    cut = docs.select("doc_id", TK.words(F.col("text")).alias("words"))
+    vocab = TK.fit_vocabulary(docs)
+    ids = {r.word: r.id for r in vocab.collect()}
+    assert ids == {"the": 1, long: 2, "bird": 3, "cat": 4, "dog": 5}
+    expected = [[1, 4, 1, 5], [], [], [1] * 30 + [2], [2, 2, 3, 1], []]
+    packed = [1, 4, 1, 5] + [1] * 30 + [2, 2, 2, 3, 1]
+    for n in (1, 3, 1 << 16):  # the broadcast part of the vocabulary must not change results
+        for table, col in ((docs, "text"), (cut, "words")):
+            got = TK.doc_word_ids(table, vocab, text_col=col, n_frequent=n).orderBy("doc_id").collect()
+            assert [list(r.ids) for r in got] == expected
+            short = TK.doc_word_ids(table, vocab, text_col=col, max_pos=2, n_frequent=n).orderBy("doc_id").collect()
+            assert [list(r.ids) for r in short] == [x[:2] for x in expected]
+            seqs = TK.pack_word_ids(table, vocab, 4, text_col=col, n_frequent=n).orderBy("seq_id").collect()
+            assert [x for r in seqs for x in r.tokens] == packed[: len(packed) // 4 * 4]
+            assert [r.seq_id for r in seqs] == list(range(len(packed) // 4))
+
+
 def test_vocabulary_order(spark):
     docs = _docs(spark, ["b a b c", "a b"])
     v = {r.word: r.id for r in TK.fit_vocabulary(docs).collect()}
