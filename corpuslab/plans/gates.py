@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions import constants as K
@@ -42,17 +42,29 @@ def evaluate_perplexity(samples: DataFrame, counts: DataFrame, log_norm: float,
     toks = toks.filter(F.size("_ws") >= 2).select(group, F.explode("_ws").alias("word"))
     used = toks.groupBy(group, "word").agg(F.count(F.lit(1)).alias("_c"))
     loss = F.lit(log_norm) - F.log(F.coalesce(F.col("n"), F.lit(0)) + 1)
-    scored = used.join(counts, on="word", how="left").groupBy(group).agg(
-        F.sum(loss * F.col("_c")).alias("_loss"), F.sum("_c").alias("tokens_evaluated")
+    scored = used.join(counts, on="word", how="left").groupBy(F.col(group).alias("_g")).agg(
+        F.sum(loss * F.col("_c")).alias("_loss"), F.sum("_c").alias("_n")
     )
     groups = samples.select(group).distinct()
-    out = groups.join(scored, on=group, how="left")
-    avg = F.when(F.col("tokens_evaluated") > 0, F.col("_loss") / F.col("tokens_evaluated")).otherwise(F.lit(float("inf")))
-    return out.select(group, F.coalesce("tokens_evaluated", F.lit(0)).alias("tokens_evaluated"), avg.alias("avg_loss"),
-                      F.exp(avg).alias("perplexity"))
+    out = groups.join(scored, F.col(group).eqNullSafe(F.col("_g")), "left")  # a null group is a group like any other
+    return out.select(group, *_perplexity(F.coalesce("_n", F.lit(0)), F.col("_loss")))
 
 
-def gate(results: DataFrame, max_perplexity: float | None, baseline: F.Column | None) -> DataFrame:
+def _perplexity(tokens: Column, loss: Column) -> list[Column]:
+    avg = F.when(tokens > 0, loss / tokens).otherwise(F.lit(float("inf")))
+    return [tokens.alias("tokens_evaluated"), avg.alias("avg_loss"), F.exp(avg).alias("perplexity")]
+
+
+def overall_perplexity(results: DataFrame, group: str = "source") -> DataFrame:
+    """The row ``*`` over all groups, from the groups' sums: the samples are not scored again."""
+    seen = F.col("tokens_evaluated") > 0
+    total = results.groupBy(F.lit("*").alias(group)).agg(
+        F.sum("tokens_evaluated").alias("_n"),
+        F.sum(F.when(seen, F.col("avg_loss") * F.col("tokens_evaluated"))).alias("_loss"))
+    return total.select(group, *_perplexity(F.col("_n"), F.col("_loss")))
+
+
+def gate(results: DataFrame, max_perplexity: float | None, baseline: Column | None) -> DataFrame:
     """one reason per failed rule; a null threshold disables its rule."""
     ppl = F.col("perplexity")
     r1 = F.when(ppl > F.lit(max_perplexity), F.lit("exceeds_threshold")) if max_perplexity is not None else F.lit(None)
@@ -65,13 +77,12 @@ def perplexity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts, log_norm = unigram_loss_table(corpus_docs(spark, sf_dir))
     labeled = read_table(spark, sf_dir, "labels").select("doc_id")
     samples = read_table(spark, sf_dir, "documents").join(labeled, on="doc_id", how="left_semi")
-    per_source = evaluate_perplexity(samples, counts, log_norm, "source")
-    overall = evaluate_perplexity(samples.withColumn("source", F.lit("*")), counts, log_norm, "source")
-    # one row per source: staged so the baseline read below does not recompute it
-    results = stage(per_source.unionByName(overall), "perplexity")
+    # one row per source: staged, so the overall row and the baseline do not score the samples again
+    per_source = stage(evaluate_perplexity(samples, counts, log_norm, "source"), "perplexity")
+    overall = overall_perplexity(per_source)
     # one-row baseline: join on a literal true would be a cross join, so carry it as a scalar
-    base_val = results.filter(F.col("source") == "*").first()["perplexity"]
-    res = gate(results, MAX_PERPLEXITY, F.lit(base_val))
+    base = overall.first()
+    res = gate(per_source.unionByName(overall), MAX_PERPLEXITY, F.lit(base["perplexity"] if base else None).cast("double"))
     return res.select("source", "tokens_evaluated", F.round("perplexity", 4).alias("perplexity"), "passed",
                       F.size("reasons").alias("n_reasons"))
 
