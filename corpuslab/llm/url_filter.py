@@ -23,8 +23,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DAMPING, ERROR = 0.6, 0.01  # ranks differ from their limit by less than ERROR in all
-RATIO = 1.0  # a host is blocked if its distrust exceeds RATIO times its trust
+DAMPING, ERROR = 0.6, 1e-6  # each host's rank differs from its limit by less than ERROR of itself
+RATIO = 1.0  # a host is blocked if its distrust exceeds RATIO times its trust, by more than twice ERROR of it
+STEPS = 4  # between two staged ranks
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
 
@@ -64,19 +65,39 @@ def personalised_pagerank(links: DataFrame, seeds: DataFrame, damping: float = D
     """(host, rank) of hosts reached from ``seeds`` (host, mass; masses add up to 1). Each step passes
     ``damping`` of a host's rank along its links by their number; what does not pass returns to the seeds.
 
-    The steps needed for ``error`` follow from the damping alone. Messages are added up per host before
-    the shuffle, and the ranks are written to the shared folder every third step.
+    The ranks x(t) of walks of up to t links only grow, and x(2t) - x(t) is what t more links make of
+    x(t). So if no host's rank grows by more than ``grown`` of itself from t to 2t, the rest of each is
+    at most ``grown``² / (1 - ``grown``) of it, however small the rank and however far the seed: the walk
+    stops there, with that share below ``error``. It also stops where ``damping`` ** t leaves the range of
+    a double. Messages are added up per host before the shuffle, and the ranks are written to the shared
+    folder every ``STEPS`` steps.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("all"))
     share = stage(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "links")
-    rank = seeds.select("host", F.col("mass").alias("rank"))
-    for step in range(1, math.ceil(math.log(error) / math.log(damping)) + 1):
-        sent = share.join(rank, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        kept = seeds.select("host", (F.col("mass") * (1 - damping)).alias("rank"))
-        rank = sent.union(kept).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if step % 3 == 0:
-            rank = stage(rank, "rank")
-    return rank
+    kept = seeds.select("host", (F.col("mass") * (1 - damping)).alias("rank"))
+    grown = math.sqrt(error) * (1 - math.sqrt(error))
+    last = math.ceil(math.log(5e-324) / math.log(damping))
+    rank, step, staged = kept, 0, {}
+    while True:
+        for _ in range(STEPS):
+            sent = share.join(rank, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+            rank = sent.union(kept).groupBy("host").agg(F.sum("rank").alias("rank"))
+        step += STEPS
+        staged[step] = rank = stage(rank, "rank")
+        half = staged.pop(step // 2, None)
+        if step > last or half is not None and _settled(half, rank, grown):
+            return rank
+
+
+def _settled(half: DataFrame, rank: DataFrame, grown: float) -> bool:
+    before = half.select("host", F.col("rank").alias("before"))
+    moved = rank.join(before, "host", "left").where(F.col("before").isNull() | (F.col("rank") > F.col("before") * (1 + grown)))
+    return moved.isEmpty()
+
+
+def significant(c: Column) -> Column:
+    """To nine significant digits, so that the order of additions does not show."""
+    return F.format_string("%.8e", c).cast("double")
 
 
 def host_verdicts(links: DataFrame, seeds: DataFrame, ratio: float = RATIO) -> DataFrame:
@@ -89,8 +110,9 @@ def host_verdicts(links: DataFrame, seeds: DataFrame, ratio: float = RATIO) -> D
 
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     both = spread("trusted", links, "trust").join(spread("blocked", back, "distrust"), "host", "full")
-    both = both.select("host", *(F.coalesce(F.round(c, 12), F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
-    return both.withColumn("verdict", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
+    both = both.select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
+    verdict = F.when(F.col("distrust") > ratio * (1 + 2 * ERROR) * F.col("trust"), "block").otherwise("allow")
+    return both.select("host", significant(F.col("trust")).alias("trust"), significant(F.col("distrust")).alias("distrust"), verdict.alias("verdict"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -305,6 +305,27 @@ def test_pagerank_reaches_its_limit(spark):
     assert np.abs(np.array([got.get(n, 0) for n in names]) - want).sum() < url_filter.ERROR
 
 
+def test_verdicts_hold_for_far_and_faint_hosts(spark):
+    """The same neighbourhood is judged alike beside few or many seed pages, and at any distance."""
+    chain = [f"c{i}" for i in range(26)]
+    links = [*((a, b, 1) for a, b in zip(chain, chain[1:])), ("faint", "mid", 1), ("other", "mid", 999), ("mid", "bad", 1), ("more", "bad", 999),
+             ("tie", "p", 1), ("p", "tie", 1)]
+    names = sorted({h for a, b, _ in links for h in (a, b)})
+    m = np.zeros((len(names), len(names)))
+    for s, d, n in links:  # against the links
+        m[names.index(s), names.index(d)] = n / sum(x for _, y, x in links if y == d)
+    for many in (1, 10**12):
+        blocked = {chain[-1]: 1, "bad": 1, "p": 1, "lone": many}
+        seeds = [(h, 0, n) for h, n in blocked.items() if h != "p"] + [("p", 1, 1), ("lone2", sum(blocked.values()) - 1, 0)]
+        got = {r.host: r for r in url_filter.host_verdicts(spark.createDataFrame(links, "src string, dst string, n long"),
+                                                           spark.createDataFrame(seeds, "host string, trusted long, blocked long")).collect()}
+        assert {got[h].verdict for h in (*chain, "faint", "mid", "bad")} == {"block"} and got["tie"].verdict == got["p"].verdict == "allow"
+        d = url_filter.DAMPING
+        mass = np.array([blocked.get(h, 0) / sum(blocked.values()) for h in names])
+        want = np.linalg.solve(np.eye(len(names)) - d * m, (1 - d) * mass)
+        assert all(abs(got[h].distrust - w) <= 2 * url_filter.ERROR * w for h, w in zip(names, want) if w > 0)
+
+
 def test_quality(spark, empty):
     rnd = random.Random(4)
     good = [" ".join(rnd.choices(EN, k=30)).capitalize() + "." for _ in range(150)]
