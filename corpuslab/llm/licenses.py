@@ -2,12 +2,13 @@
 
 The automaton holds the words of notice templates and of short phrases that name a licence. A text is
 streamed through it once. Matching statistics give the places of whole phrases, and the long matches
-of templates; matches that follow each other in the text and in a template are chained, and a chain
-that covers enough of its template is a licence span.
+of templates; matches that follow each other in the text and in a template, at any of their places in
+it, are chained, and the best chains that cover enough of their template are licence spans.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 from functools import lru_cache
 
@@ -74,6 +75,17 @@ class Licences:
             up = a.link[v]
             own = [i for i, end in a.ends[v].items() if self.phrase[i] and end == self.sizes[i] - 1 and a.length[up] < self.sizes[i] <= a.length[v]]
             self.whole[v] = self.whole[up] + own
+        self.places: list[dict[int, list[int]]] = [{} for _ in a.length]  # by state and template: ends of all places of its runs
+        for item, (_, w) in enumerate(items):
+            v = 0
+            for end, word in enumerate([] if self.phrase[item] else w, 1):
+                v = a.step[v][a.vocab[word]]
+                self.places[v].setdefault(item, []).append(end)
+        for v in sorted(range(1, len(a.length)), key=a.length.__getitem__, reverse=True):
+            up = a.link[v]
+            if a.length[up] >= LEAST_MATCH:
+                for item, ends in self.places[v].items():
+                    self.places[up][item] = sorted({*self.places[up].get(item, ()), *ends})
 
     def scan(self, text: bytes | None) -> dict:
         w = words(text)
@@ -95,29 +107,68 @@ class Licences:
                 "score": 1.0 if found else max((s["covered"] for s in spans), default=0.0), "spans": spans}
 
     def _chains(self, ended: list[tuple[int, int, int]]) -> list[dict]:
-        """Per template, matches in text order are chained while both ends move on and gaps stay short."""
+        """Per template, the best chains of matches whose starts and ends all move on, with short gaps."""
         parts = defaultdict(list)
         for i, v, n in ended:
-            for item, end in self.auto.ends[v].items():
-                if not self.phrase[item]:
-                    parts[item].append((i + 1 - n, i + 1, end + 1 - n, end + 1))
+            for item, ends in self.places[v].items():
+                parts[item].append((i + 1 - n, i + 1, ends))
         out = []
         for item, matches in parts.items():
-            chain: list[tuple[int, int, int, int]] = []
-            for m in [*matches, None]:
-                if chain and (m is None or m[0] > chain[-1][1] + GAP or m[3] <= chain[-1][3]):
-                    reach = covered = 0
-                    for _, _, a, b in chain:
-                        covered += max(0, b - max(a, reach))
-                        reach = max(reach, b)
-                    if covered >= COVERED * self.sizes[item]:
-                        out.append({"label": self.labels[item], "start": chain[0][0], "end": chain[-1][1], "covered": covered / self.sizes[item]})
-                    chain = []
-                if m:
-                    chain.append(m)
+            for start, end, covered in best_chains(matches, COVERED * self.sizes[item]):
+                out.append({"label": self.labels[item], "start": start, "end": end, "covered": covered / self.sizes[item]})
         return sorted(out, key=lambda s: (s["start"], s["label"]))
 
 
+Match = tuple[int, int, list[int]]  # start and end in the text, ends of all its places in the template
+
+
+def best_chains(matches: list[Match], least: float) -> list[tuple[int, int, int]]:
+    """Disjoint (start, end, covered) of matches in text order, those that cover most of the template first.
+
+    In a chain, starts and ends move on both in the text and in the template, so what a match adds to
+    the covered words depends only on the one before it. What lies between the chains taken is searched again.
+    """
+    out, todo = [], [matches]
+    while todo:
+        part = todo.pop()
+        taken: list[tuple[int, int, int]] = []
+        for covered, start, end in sorted(_ending_chains(part, least), key=lambda c: (-c[0], c[2] - c[1], c[1])):
+            k = bisect(taken, (start,))
+            if (not k or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                taken.insert(k, (start, end, covered))
+        out += taken
+        if taken:
+            free: list[list[Match]] = [[] for _ in range(len(taken) + 1)]
+            for m in part:
+                k = bisect(taken, (m[0] + 1,))
+                if (not k or taken[k - 1][1] <= m[0]) and (k == len(taken) or m[1] <= taken[k][0]):
+                    free[k].append(m)
+            todo += filter(None, free)
+    return out
+
+
+def _ending_chains(matches: list[Match], least: float) -> list[tuple[int, int, int]]:
+    """(covered, start, end) of the best chain that ends with each place of a match, if it covers ``least``."""
+    best: list[list[tuple[int, int, int, int]]] = []  # per match and place: start and end in the template, covered, start of the chain
+    out = []
+    for j, (start, end, places) in enumerate(matches):
+        here = []
+        for b in places:
+            a = b - (end - start)
+            top = (b - a, start)
+            for k in range(j - 1, -1, -1):
+                if matches[k][1] + GAP < start:
+                    break
+                for a0, b0, covered, first in best[k]:
+                    if a0 < a and b0 < b:
+                        top = max(top, (covered + b - max(a, b0), first))
+            here.append((a, b, *top))
+            if top[0] >= least:
+                out.append((*top, end))
+        best.append(here)
+    return out
+
+
 @lru_cache(maxsize=1)
 def licences() -> Licences:
     return Licences()

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small table with nulls, empty, long and repeated texts."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -422,6 +423,41 @@ def test_licences(docs, rows, empty):
     assert out.count() == len(rows) and licenses.scan_licences(empty)[0].count() == 0
 
 
+def test_licence_fragments_do_not_hide_a_notice():
+    """A late fragment before a whole notice leaves the notice as it is; a run that stands twice counts at both places."""
+    got = licenses.licences()
+    for label, text in licenses.TEMPLATES.items():
+        w = text.split()
+        for cut in range(1, len(w) - licenses.LEAST_MATCH):
+            for fragment in (w[cut:], w[cut : cut + licenses.LEAST_MATCH + 3]):
+                for gap in ("", "x y z"):
+                    found = got.scan(" ".join([*fragment, gap, text]).encode())
+                    assert label in found["labels"].split(",") and any(s["label"] == label and s["covered"] == 1 for s in found["spans"])
+    twice = "one two three four five six A B C D E F one two three four five six G H I J K L"
+    own = licenses.Licences({}, {"t": twice})
+    for text, spans in ((twice, [(0, 24, 1.0)]), ("A B C D E F x one two three four five six x G H I J K L", [(0, 20, 18 / 24)]),
+                        (f"{twice} {twice}", [(0, 24, 1.0), (24, 48, 1.0)]), (f"A B C D E F x {twice}", [(7, 31, 1.0)])):
+        assert [(s["start"], s["end"], s["covered"]) for s in own.scan(text.encode())["spans"]] == spans
+
+
+def test_best_chains_cover_most():
+    rnd = random.Random(6)
+    for _ in range(400):
+        starts = sorted(rnd.sample(range(60), rnd.randint(1, 6)))
+        matches, end = [], 0
+        for s in starts:
+            end = max(end + 1, s + rnd.randint(5, 9))
+            matches.append((s, end, sorted({(end - s) + rnd.randint(0, 30) for _ in range(rnd.randint(1, 2))})))
+        most = 0
+        placed = [[(s, e, b - (e - s), b) for b in ends] for s, e, ends in matches]
+        for pick in itertools.product(*([None, *p] for p in placed)):
+            chain = [p for p in pick if p]
+            if all(x[2] < y[2] and x[3] < y[3] and y[0] <= x[1] + licenses.GAP for x, y in zip(chain, chain[1:])):
+                most = max(most, len({i for _, _, a, b in chain for i in range(a, b)}))
+        spans = sorted(licenses.best_chains(matches, 1))
+        assert max(c for _, _, c in spans) == most and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
 def test_language_likelihood_sums_all_segmentations():
     grid = langid.lattice(langid.default_vocabulary())
     prob = langid._smooth(np.random.default_rng(1).random(grid.size), grid)
