@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 
 from pyspark.sql import DataFrame
@@ -69,14 +70,10 @@ def detect(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-# Letters of other scripts that look like Latin ones.
-LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝмткнвАВЕКМНОРСТХІЈЅαορνικτΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwmtkhbABEKMHOPCTXIJSaopviktABEZHIKMNOPTYX"))
+# Letters that look like Latin ones, of other scripts and with or without a dot.
+LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝмткнвАВЕКМНОРСТХІЈЅαορνικτΑΒΕΖΗΙΚΜΝΟΡΤΥΧıİ", "aeopcyxijshdqwmtkhbABEKMHOPCTXIJSaopviktABEZHIKMNOPTYXiI"))
 DIGITS = dict(zip("zero one two three four five six seven eight nine".split(), "0123456789"))
 UNSEEN = frozenset("­​‌‍⁠﻿")
-#: Codes that a disguise is made of; é, ß and the like stay as they are.
-STRANGE = re.compile("[­Α-ϿЀ-ԯ٠-٩​-‍‐-―․⁠。﹒﹕﹫！-～﻿\U0001d400-\U0001d7ff]")
-
-
 class Rewritten:
     """Text whose character i stands for source characters [start[i], end[i])."""
 
@@ -117,6 +114,21 @@ def plain_char(c: str) -> str:
     return str(unicodedata.digit(c, c))
 
 
+def _ranges(codes: list[int]) -> str:
+    """The codes as the inside of a regular expression's character class."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+#: Codes beyond ASCII that stand for an ASCII character or can't be seen; é, ß and the like stay as they are.
+STRANGE = re.compile(f"[{_ranges([i for i in range(128, sys.maxunicode + 1) if plain_char(chr(i)).isascii()])}]")
+
+
 def homoglyphs(r: Rewritten) -> Rewritten:
     return r.replace([(m.start(), m.end(), plain_char(m[0])) for m in STRANGE.finditer(r.text)])
 
@@ -161,8 +173,8 @@ def at_dot(r: Rewritten) -> Rewritten:
     return r.replace([(*m.span(), ".") for m in SAID_DOT.finditer(r.text)])
 
 
-#: A text without any of these holds no disguise.
-HINT = re.compile(rf"{OPEN} ?(?:at|dot|[@.]) ?{CLOSE}|(?<![A-Za-z0-9])dot(?![A-Za-z0-9])| @ |(?<![A-Za-z0-9])(?:{_WORD})[ -](?:{_WORD}|[0-9])(?![A-Za-z0-9])|(?<![A-Za-z0-9])plus (?:{_WORD}|[0-9])", re.I)
+#: What each transducer needs, in a text without strange characters: one without any of these holds no disguise.
+HINT = re.compile(rf"{OPEN} ?(?:at|dot|[@.]) ?{CLOSE}|(?<![A-Za-z0-9])dot(?![A-Za-z0-9])| @ |(?<![A-Za-z0-9])(?:{_WORD})[ -](?:{_WORD}|[0-9])(?![A-Za-z0-9])|(?<![A-Za-z0-9])plus (?:{_WORD}|[0-9])|[0-9] (?:dot|point) [0-9]", re.I)
 
 
 def rewrite(text: str) -> Rewritten | None:

@@ -269,6 +269,38 @@ def test_pii_disguises(text, kind, span):
     assert (kind, span) in [(s["kind"], text[s["start"] : s["end"]]) for s in found]
 
 
+def _strange(text, zero):
+    return "".join(chr(zero + int(c)) if c.isdigit() else c for c in text)
+
+
+@pytest.mark.parametrize("text,kind", [
+    ("192 point 168 point 0 point 1", "ip"), ("10 POINT 0 dot 0 point 7", "ip"), ("jane@sıte.com", "email"),
+    *((_strange("4242 4242 4242 4242", zero), "card") for zero in (0x6F0, 0x660, 0x966, 0x9E6, 0xE50, 0xFF10, 0x1D7D8)),
+    *((_strange("+49 151 2345678", zero), "phone") for zero in (0x6F0, 0x966)),
+    ("".join("⁰¹²³⁴⁵⁶⁷⁸⁹"[int(c)] for c in "4242424242424242"), "card"), ("".join("⓪①②③④⑤⑥⑦⑧⑨"[int(c)] for c in "4242424242424242"), "card"),
+    ("ℐane@ℋost.com", "email"), ("jane﹫host.com", "email"), ("4242\u00a04242\u00a04242\u00a04242", "card"),
+])
+def test_pii_plain_disguises_without_other_hints(text, kind):
+    assert [(s["kind"], s["start"], s["end"]) for s in pii.find(text)["spans"]] == [(kind, 0, len(text))]
+
+
+def test_pii_prefilter_drops_nothing(monkeypatch):
+    """find() finds the same if every text goes through all transducers."""
+    rnd = random.Random(12)
+    parts = ["one", "two", "Five", "sıx", "ſeven", "fİve", "4242424242424242", "1", "25", "0", " ", " ", " ", "-", ".", "@", " @ ", " at ", " dot ", " point ", "[at]", "(dot)", "{ . }",
+             "plus ", "+", "a", "host", "com", "٣", "۴", "४", "²", "①", "ℋ", "é", "ß", "中", "\u00a0", "\u200b", "‐", "。", "＠", "а"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(30_000)]
+    texts += [f"4242 4242 4242 424{chr(c)}" for c in range(128, 0x20000) if not 0xD800 <= c < 0xE000]
+    found = [pii.find(t) for t in texts]
+    monkeypatch.setattr(pii, "rewrite", lambda text: pii.at_dot(pii.spelled_digits(every(pii.Rewritten.of(text)))))
+
+    def every(r):
+        return r.replace([(i, i + 1, pii.plain_char(c)) for i, c in enumerate(r.text) if not c.isascii()])
+
+    for text, got in zip(texts, found):
+        assert got == pii.find(text), text
+
+
 def test_pii_leaves_clean_texts_alone(spark, docs, rows, empty):
     for text in ("We met at noon; look at the dot.", "Москва и Ελλάδα", "one two three", "the one at example.com", "v1.2.3 of 10 - 20"):
         assert pii.find(text)["spans"] == []
