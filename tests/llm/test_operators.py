@@ -423,6 +423,28 @@ def test_decontamination(spark, docs, rows, empty, block_words):
     assert none.count() == len(rows) and none.columns == docs.columns
 
 
+def test_decontamination_blocks_are_bounded(spark, tmp_path, monkeypatch):
+    """However long an item, no worker holds more than a block's words, and nothing is broadcast."""
+    rnd = random.Random(11)
+    long = [f"w{i}" for i in rnd.choices(range(300), k=400)]
+    items = [("long", " ".join(long)), ("a", " ".join(long[50:70])), ("b", "short one"), (None, " ".join(long[:13]))]
+    texts = [" ".join(["x", *long[i : i + n], "y"]) for i, n in ((0, 400), (37, 13), (38, 12), (200, 30), (387, 13), (45, 30))] + ["a short one", None, ""]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+
+    def refuse(*_):
+        raise AssertionError("broadcast")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    for block_words in (20, 100_000):
+        path, blocks = decontaminate.write_blocks(bench, 13, block_words)
+        sizes = [sum(decontaminate.held(path, b, 13).auto.sizes) for b in blocks]
+        assert len(decontaminate._held) == 1 and max(sizes) <= block_words + 12 and (len(blocks) > 10) == (block_words == 20)
+        docs = spark.createDataFrame(list(enumerate(texts)), "_row long, hit string")
+        out, c = decontaminate.mark(docs, bench, text_col="hit", columns=["_row"], block_words=block_words)
+        got = out.select("_row", f"{c}.n_words", f"{c}.n_hit", f"{c}.n_items", f"{c}.items_sha256", f"{c}.contaminated").collect()
+        assert _sorted(got) == _sorted([(i, *_windows(items, t)) for i, t in enumerate(texts)])
+
+
 def test_windows_of_random_texts():
     rnd = random.Random(9)
     for _ in range(300):
