@@ -6,10 +6,11 @@ back as the next stage's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import decontaminate, langid, mixing, simhash
+from corpuslab.llm.common import free_name
 from corpuslab.llm.queries import WEIGHTS, _fold, domain, token_output
 from corpuslab.session import read_table, stage
 
@@ -23,14 +24,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.where(sure).select(*docs.columns)
 
 
+def _digest(docs: DataFrame) -> Column:
+    """Of all columns of a row, so only rows that are the same throughout share it."""
+    return F.sha2(F.to_json(F.struct(*docs.columns)), 256)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component; rows of one doc_id share its fate."""
-    found = simhash.near_duplicates(docs)
-    name = "keep_id"
-    while name in docs.columns:
-        name += "_"
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[name]), "left_semi")
+    """Keeps one row of each component: that with the smallest doc_id, null last, then the smallest digest.
+    Of rows that are the same throughout, one stays."""
+    name = free_name(docs, "_row")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), _digest(docs).alias("digest"))
+    found = simhash.near_duplicates(docs.withColumn(name, key), id_col=name)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = stage(first.groupBy(F.col("doc_id")["digest"].alias(name)).agg(F.count(F.lit(1)).alias("n")), "kept")
+    rows = docs.withColumn(name, _digest(docs))
+    alone = rows.join(kept.where("n = 1"), name, "left_semi")
+    copies = rows.join(kept.where("n > 1"), name, "left_semi").dropDuplicates([name])
+    return alone.select(*docs.columns).union(copies.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +49,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as came in, shared out by the weights; a document may come up to four times, and the
-    one across a leaf's budget is cut there."""
-    return mixing.mix(docs, mixing.plan_mixture(docs, domain(), WEIGHTS))
+    one across a leaf's budget is cut there. Rows find their plan by the digest of all their columns."""
+    name = free_name(docs, "_row")
+    rows = docs.withColumn(name, _digest(docs))
+    return mixing.mix(rows, mixing.plan_mixture(rows, domain(), WEIGHTS, keep=(name,)), key=name).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

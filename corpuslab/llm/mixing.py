@@ -76,8 +76,9 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, int], budget: int | None,
 
 
 def plan_mixture(df: DataFrame, domain: Column, weights: dict[str, int] | None = None, budget: int | None = None,
-                 max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per input row: doc_id, domain, lang, source, n_tokens, full_epochs, part_tokens, taken_tokens.
+                 max_epochs: int = MAX_EPOCHS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, domain, lang, source, n_tokens, full_epochs, part_tokens, taken_tokens,
+    and the columns ``keep``, by which rows of one doc_id and n_tokens are ordered.
 
     ``weights`` maps paths (``web``, ``web/en``, ``web/en/src0``) to whole numbers, 1 if not given;
     ``budget`` is in tokens (words; default: as many as there are). A document is taken ``full_epochs``
@@ -91,7 +92,7 @@ def plan_mixture(df: DataFrame, domain: Column, weights: dict[str, int] | None =
     as rows per bucket, so a leaf with a third of all rows is spread over many tasks.
     """
     named = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for c, n in zip((domain, F.col("lang"), F.col("source")), LEVELS)]
-    docs = stage(df.select(F.col("doc_id"), *named, count_words(F.col("text")).alias("n_tokens")), "mixing")
+    docs = stage(df.select(F.col("doc_id"), *keep, *named, count_words(F.col("text")).alias("n_tokens")), "mixing")
     rows = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     leaves = stage(leaf_budgets(rows, weights or {}, budget, max_epochs)
                    .withColumn("full", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(1)))
@@ -106,12 +107,12 @@ def plan_mixture(df: DataFrame, domain: Column, weights: dict[str, int] | None =
     parts = keyed.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
     ahead = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("bucket_tokens").over(ahead), F.lit(0))).drop("bucket_tokens")
-    inside = Window.partitionBy(*LEVELS, "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*LEVELS, "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     placed = keyed.join(parts, [*LEVELS, "bucket"]).withColumn("start", start)
     part = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("part") - F.col("start")))
     return placed.select("doc_id", *LEVELS, "n_tokens", F.col("full").cast("long").alias("full_epochs"), part.cast("long").alias("part_tokens"),
-                         (F.col("full") * F.col("n_tokens") + part).cast("long").alias("taken_tokens"))
+                         (F.col("full") * F.col("n_tokens") + part).cast("long").alias("taken_tokens"), *keep)
 
 
 MAX_BROADCAST_LEAVES = 10_000
@@ -121,19 +122,19 @@ def _few(leaves: DataFrame) -> bool:
     return leaves.count() <= MAX_BROADCAST_LEAVES
 
 
-def mix(df: DataFrame, plan: DataFrame) -> DataFrame:
+def mix(df: DataFrame, plan: DataFrame, key: str = "doc_id") -> DataFrame:
     """``df`` as often as ``plan`` takes each document, the last copy cut after its ``part_tokens``.
 
     Columns and their names are those of ``df``; ``n_chars``, if there is one, follows the cut text.
-    A doc_id that ``plan`` has more than once is taken as its first row says.
+    Rows find their plan by ``key``; one that ``plan`` has more than once is taken as its first row says.
     """
-    key, take, cut = (free_name(df, n) for n in ("_id", "_take", "_cut"))
-    takes = plan.where("full_epochs > 0 or part_tokens > 0").groupBy(F.col("doc_id").alias(key)).agg(
+    own, take, cut = (free_name(df, n) for n in ("_id", "_take", "_cut"))
+    takes = plan.where("full_epochs > 0 or part_tokens > 0").groupBy(F.col(key).alias(own)).agg(
         F.min(F.struct("n_tokens", "full_epochs", "part_tokens")).alias(take))
     n, full, part = (F.col(take)[c] for c in ("n_tokens", "full_epochs", "part_tokens"))
     whole = F.lit(-1).cast("long")
     last = F.when(part > 0, F.array(F.when(part < n, part).otherwise(whole))).otherwise(F.array().cast("array<bigint>"))
-    out = df.join(takes, F.col("doc_id").eqNullSafe(F.col(key)))
+    out = df.join(takes, F.col(key).eqNullSafe(F.col(own)))
     out = out.withColumn(cut, F.explode(F.concat(F.array_repeat(whole, full.cast("int")), last)))
     words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
     head = F.array_join(F.slice(words, 1, F.greatest(F.col(cut), F.lit(0)).cast("int")), "")

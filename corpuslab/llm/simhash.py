@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpuslab.llm.common import join_hot, small_batches, text_bytes
 from corpuslab.llm.components import components
@@ -45,15 +46,17 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
+    """(doc_id, fp): the fingerprint's 64 bits as a signed long. A doc_id is a long, or a struct as it is."""
+    kind = df.schema[id_col].dataType
+    kind = kind if isinstance(kind, StructType) else LongType()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             fp = np.fromiter((fingerprint(t, shingle) for t in text_bytes(b, "text")), np.uint64, b.num_rows)
             yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    docs = df.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.mapInArrow(run, StructType([StructField("doc_id", kind), StructField("fp", LongType())]))
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:

@@ -568,6 +568,26 @@ def test_pipeline_stages(spark, docs, rows, empty, tmp_path):
         assert step(spark, empty.select(base), str(tmp_path)).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    rnd = random.Random(13)
+    a, b, c, d = (" ".join(rnd.choices([f"{x}{i}" for i in range(99)], k=60)) for x in "abcd")
+    rows = [(1, a, "s"), (None, a, "s"), (None, b, "s"), (None, b, "t"), (None, b, "s"), (2, c, "s"), (2, c, "s"), (2, c, "t"), (2, d, "s"), (None, None, "s"), (None, "", "s")]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, a), (0, b), (2, c), (2, d), (0, "")])
+
+
+def test_pipeline_mixes_rows_without_ids_by_their_own_plan(spark):
+    docs = spark.createDataFrame([(None, f"x{i} " * n, "en", f"src{i % 2}") for i, n in enumerate((3, 50, 70, 200, 9, 30))] + [(7, "y " * 40, "de", "src0"), (7, "z " * 90, "de", "src1")],
+                                 "doc_id long, text string, lang string, source string")
+    plan = mixing.plan_mixture(docs.withColumn("d", F.col("text")), corpus_pipeline.domain(), corpus_pipeline.WEIGHTS, keep=("d",)).collect()
+    got = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    tokens = {}
+    for r in got:
+        tokens[r.text.split()[0]] = tokens.get(r.text.split()[0], 0) + len(r.text.split())
+    assert tokens == {r.d.split()[0]: r.taken_tokens for r in plan if r.taken_tokens}
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
