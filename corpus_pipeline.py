@@ -14,14 +14,15 @@ from corpuslab.llm.common import free_name
 from corpuslab.llm.queries import WEIGHTS, _fold, domain, token_output
 from corpuslab.session import read_table, stage
 
-LEAST_SCORE = 0.5  # posterior of the predicted language
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language stays unsure. Learns as the operator's query does."""
-    judged, c = langid.train_and_identify(docs, ~_fold(3, 1), langid.default_vocabulary())
-    sure = (F.col(c)["lang_pred"] != "und") & (F.col(c)["score"] >= LEAST_SCORE)
-    return judged.where(sure).select(*docs.columns)
+    """Drops documents without a letter, however sure the language of the others is; none if nothing was
+    learned. Learns as the operator's query does."""
+    model = langid.train(docs.where(~_fold(3, 1)), langid.default_vocabulary())
+    if not model.languages:
+        return docs
+    judged, c = langid.identify(docs, model)
+    return judged.where(F.col(c)["lang_pred"] != "und").select(*docs.columns)
 
 
 def _digest(docs: DataFrame) -> Column:

@@ -568,6 +568,15 @@ def test_pipeline_stages(spark, docs, rows, empty, tmp_path):
         assert step(spark, empty.select(base), str(tmp_path)).count() == 0
 
 
+def test_pipeline_language_stage_drops_only_letterless_texts(spark):
+    """Eight languages with the same words leave each at 1/8; a corpus without labels stays whole."""
+    rows = [(i, "same words here", f"l{i % 8}") for i in range(64)] + [(100, "Anna", None), (101, "12 ?", None), (102, None, None), (None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted([*map(str, range(64)), "100", "None"])
+    assert corpus_pipeline.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").count() == len(rows)
+
+
 def test_pipeline_keeps_one_row_of_each_component(spark):
     rnd = random.Random(13)
     a, b, c, d = (" ".join(rnd.choices([f"{x}{i}" for i in range(99)], k=60)) for x in "abcd")
