@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontaminate, exact_dedup, langid, licenses, mixing, pii, quality, simhash, token_files, url_filter
+from corpuslab.llm import (chosen_path, conversations, decontaminate, exact_dedup, langid, licenses, mixing, periodic, pii, quality, simhash,
+                           token_files, url_filter)
 from corpuslab.llm.common import LOWER, UPPER
 from corpuslab.session import read_table
 
@@ -92,6 +93,50 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.coalesce(_fold(3, 1), F.lit(False)).alias("held_out"), F.col(c)["lang_pred"].alias("lang_pred"), F.col(c)["score"].alias("score"))
 
 
+def op11_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def turned(df: DataFrame) -> Column:
+    """The text whose words from the a-th on repeat p of them, where crc32(doc_id) is divisible by 10; a null doc_id leaves it as it is."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g, n = F.floor(h / 10), F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    made = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), again), F.lit(1), n), " ")
+    return F.when((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), made).otherwise(F.col("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found, c = periodic.periodic_runs(docs.select("doc_id", turned(docs).alias("text")), columns=["doc_id"])
+    runs = F.col(c)["runs"]
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", *(r[x].cast("string") for x in ("start", "length", "period"))), F.lit("\n")))
+    keys = F.transform(runs, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("p")))
+    best = F.array_max(keys)
+    return found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), (-best["before"]).alias("start"), best["length"].alias("length"), (-best["p"]).alias("period"),
+        F.floor(1000 * best["length"] / -best["p"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2(F.col(c)["collapsed"], 256).alias("collapsed_sha256"))
+
+
+def damaged(df: DataFrame) -> DataFrame:
+    """Conversation rows with faults put in, by crc32(conv_id:turn); nulls are one space."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    h = F.crc32(F.concat_ws(":", *told[:2])) % 20
+    role = F.when(h == 4, "user").otherwise(told[2])
+    text = F.when(h == 1, "").when(h == 2, F.translate(told[3], ".!?", "")).otherwise(told[3])
+    copies = F.when(h == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return df.where(h != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read_table(spark, sf_dir, "conversations")
+    return conversations.Repair(damaged(given)).report(given.select("conv_id"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +145,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     ops = (op1_exact_dedup, op2_simhash, op3_mixing, op4_token_files, op5_pii, op6_url_filter, op7_quality, op8_decontaminate,
-           op9_licences, op10_language_id, pipeline)
+           op9_licences, op10_language_id, op11_chosen_path, op12_periodic, op13_conversations, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -170,6 +215,19 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP11 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p : p + 2], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS t(p) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, low) AS (SELECT a, a FROM l UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node WHERE r.low < l.b),
+k AS (SELECT node, min(low) AS low FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, doc_id) AS component_id, coalesce(low, doc_id) = doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k ON node = doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1, "op3_mixing": _OP3, "op8_decontaminate": _OP8}
+    return {"op1_exact_dedup": _OP1, "op3_mixing": _OP3, "op8_decontaminate": _OP8, "op11_chosen_path": _OP11}
