@@ -45,8 +45,9 @@ _KNOWN: dict[bytes, int] = {}
 def _hashed(words: list[bytes]) -> np.ndarray:
     if len(_KNOWN) > WORDS_KEPT:
         _KNOWN.clear()
-    for w in set(words) - _KNOWN.keys():
-        _KNOWN[w] = xxhash.xxh64_intdigest(w, 42)
+    for w in set(words):
+        if w not in _KNOWN:
+            _KNOWN[w] = xxhash.xxh64_intdigest(w, 42)
     return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
 
 
