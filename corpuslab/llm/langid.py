@@ -22,12 +22,11 @@ from pyspark.sql import functions as F
 from corpuslab.llm.common import small_batches, with_judgement
 from corpuslab.session import stage
 
-LONGEST_WORD = 48  # longer runs of letters are cut into words of so many
-LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST_WORD}}}")
-LONGEST_PIECE = 12
-ROUNDS, SMOOTHING = 2, 0.05
+LETTERS = re.compile(r"[^\W\d_]+")
+ROUNDS = 2
+SMOOTHING = 1e-4  # of each language's probability is spread evenly over all pieces, so none favours what it has not met
 MAX_LANGUAGES = 1000
-SCALE = 8.0  # a piece of n characters counts SCALE ** n times, so that long words stay in range
+RESCALE = 8  # forward and backward sums are brought back to 1 after so many characters
 WORDS_KEPT = 400_000  # words a worker remembers
 FLUSH = 200_000
 
@@ -53,7 +52,8 @@ class Lattice:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = sorted({p.lower() for p in (model.id_to_piece(i) for i in range(model.get_piece_size()))
-                         if LETTERS.fullmatch(p.removeprefix("▁")) and len(p) <= LONGEST_PIECE})
+                         if LETTERS.fullmatch(p.removeprefix("▁"))})
+        self.longest = max(map(len, pieces))
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.unknown, self.none = len(pieces), len(pieces) + 1
         self.size = len(pieces) + 2
@@ -95,7 +95,7 @@ class Lattice:
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).T.astype(np.uint64)
         out: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]
         h = np.zeros_like(chars)
-        for size in range(1, min(n, LONGEST_PIECE) + 1):
+        for size in range(1, min(n, self.longest) + 1):
             h = self._longer(h[: n - size + 1], chars[size - 1 :])
             found = self._find(h.ravel()).reshape(h.shape)
             if size == 1:
@@ -125,21 +125,56 @@ def by_length(words: list[str]) -> Iterator[list[int]]:
             yield at[i : i + 4096]
 
 
-def forward(prob: np.ndarray, arcs: list, words: int) -> list[np.ndarray]:
-    """Per end: total probability, by [word, language], of all segmentations so far, times SCALE ** length."""
-    alpha = [np.ones((words, prob.shape[1]))]
+class Sums:
+    """Sums of segmentations by position, each as ``value * exp(log)``: every ``RESCALE`` positions, those that
+    the next ones can reach are divided by the newest, so that words of any length stay in range."""
+
+    def __init__(self, first: np.ndarray, reach: int):
+        self.reach, self.values, self.logs = reach, [first], [np.zeros_like(first)]
+        self.shift = np.zeros_like(first)
+
+    def append(self, value: np.ndarray) -> None:
+        self.values.append(value)
+        self.logs.append(self.shift)
+        if len(self.values) % RESCALE == 0:
+            self.shift = self.shift + np.log(value)
+            for t in range(max(0, len(self.values) - self.reach), len(self.values)):
+                self.values[t] = self.values[t] / value
+                self.logs[t] = self.shift
+
+
+def forward(prob: np.ndarray, arcs: list, words: int, reach: int) -> Sums:
+    """Per end: total probability, by [word, language], of all segmentations so far."""
+    alpha = Sums(np.ones((words, prob.shape[1])), reach)
     for j in range(1, len(arcs)):
-        alpha.append(np.zeros_like(alpha[0]))
+        total = np.zeros_like(alpha.values[0])
         for i, at, piece in arcs[j]:
-            alpha[j][at] += alpha[i][at] * prob[piece] * SCALE ** (j - i)
+            total[at] += alpha.values[i][at] * prob[piece]
+        alpha.append(total)
     return alpha
 
 
+def backward(prob: np.ndarray, arcs: list, words: int, reach: int) -> Sums:
+    """Per start, from the last one on: total probability of all segmentations from there."""
+    n = len(arcs) - 1
+    leaving: list[list] = [[] for _ in range(n + 1)]
+    for j in range(1, n + 1):
+        for i, at, piece in arcs[j]:
+            leaving[i].append((j, at, piece))
+    beta = Sums(np.ones((words, prob.shape[1])), reach)
+    for i in range(n - 1, -1, -1):
+        total = np.zeros_like(beta.values[0])
+        for j, at, piece in leaving[i]:
+            total[at] += beta.values[n - j][at] * prob[piece]
+        beta.append(total)
+    return beta
+
+
 def log_likelihood(prob: np.ndarray, grid: Lattice, words: list[str]) -> np.ndarray:
     out = np.empty((len(words), prob.shape[1]))
     for at in by_length(words):
-        marked = ["▁" + words[k] for k in at]
-        out[at] = np.log(forward(prob, grid.arcs(marked), len(at))[-1]) - len(marked[0]) * np.log(SCALE)
+        alpha = forward(prob, grid.arcs(["▁" + words[k] for k in at]), len(at), grid.longest)
+        out[at] = np.log(alpha.values[-1]) + alpha.logs[-1]
     return out
 
 
@@ -149,20 +184,26 @@ def expected_counts(prob: np.ndarray, grid: Lattice, words: list[str], counts: n
     for group in by_length(words):
         arcs = grid.arcs(["▁" + words[k] for k in group])
         n, weight = len(arcs) - 1, counts[group]
-        alpha = [a[:, 0] for a in forward(prob[:, None], arcs, len(group))]
-        beta = [np.zeros(len(group)) for _ in range(n)] + [np.ones(len(group))]
-        for j in range(n, 0, -1):
+        alpha = forward(prob[:, None], arcs, len(group), grid.longest)
+        beta = backward(prob[:, None], arcs, len(group), grid.longest)
+        whole, base = alpha.values[n][:, 0], alpha.logs[n][:, 0]
+        for j in range(1, n + 1):
+            ahead, log = beta.values[n - j][:, 0], beta.logs[n - j][:, 0] - base
             for i, at, piece in arcs[j]:
-                flow = prob[piece] * SCALE ** (j - i) * beta[j][at]
-                np.add.at(total, piece, alpha[i][at] * flow / alpha[n][at] * weight[at])
-                beta[i][at] += flow
+                flow = alpha.values[i][at, 0] * prob[piece] * ahead[at] / whole[at]
+                if n + 1 >= RESCALE:
+                    flow *= np.exp(alpha.logs[i][at, 0] + log[at])
+                total += np.bincount(piece, flow * weight[at], grid.size)
     return total
 
 
 def _smooth(counts: np.ndarray, grid: Lattice) -> np.ndarray:
-    p = counts + SMOOTHING
-    p[grid.none] = 0
-    return p / p.sum()
+    """The unknown piece has the evenly spread part only: as much in every language, however much text each has."""
+    even = np.ones(grid.size)
+    even[grid.none] = 0
+    p = np.array(counts, float)
+    p[[grid.none, grid.unknown]] = 0
+    return (1 - SMOOTHING) * p / p.sum() + SMOOTHING * even / even.sum() if p.sum() else even / even.sum()
 
 
 class Model:
