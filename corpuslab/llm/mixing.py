@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import free_name
+from corpuslab.llm.common import free_name, join_hot
 from corpuslab.session import stage
 
 LEVELS = ("domain", "lang", "source")
@@ -26,11 +26,13 @@ def count_words(text: Column) -> Column:
 
 
 def _weight(levels: tuple[str, ...], weights: dict[str, int]) -> Column:
-    """Weight of a node by its path ``domain/lang/source`` or any head of it; 1 if not given."""
+    """Weight of a node by its path ``domain/lang/source`` or any head of it; 1 if not given. In a path, ``/`` and
+    ``\\`` inside a name are written ``\\/`` and ``\\\\``."""
     if not weights:
         return F.lit(1).cast("decimal(12,0)")
     table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, F.concat_ws("/", *levels)), F.lit(1)).cast("decimal(12,0)")
+    path = F.concat_ws("/", *(F.replace(F.replace(F.col(x), F.lit("\\"), F.lit("\\\\")), F.lit("/"), F.lit("\\/")) for x in levels))
+    return F.coalesce(F.try_element_at(table, path), F.lit(1)).cast("decimal(12,0)")
 
 
 def _split(nodes: DataFrame, parent: tuple[str, ...], level: str) -> DataFrame:
@@ -56,23 +58,22 @@ def _split(nodes: DataFrame, parent: tuple[str, ...], level: str) -> DataFrame:
 
 
 def leaf_budgets(leaves: DataFrame, weights: dict[str, int], budget: int | None, max_epochs: int) -> DataFrame:
-    """``leaves`` (levels, tokens) with each leaf's budget. The tree has as many nodes as the corpus has
+    """``leaves`` (levels, tokens, n) with each leaf's budget. The tree has as many nodes as the corpus has
     sources, languages and domains; it stays in Spark."""
     tree = leaves.withColumn("capacity", (F.col("tokens") * max_epochs).cast("decimal(20,0)"))
-    total = tree.agg(F.sum("tokens").alias("all"), F.sum("capacity").alias("most"))
-    want = F.col("all") if budget is None else F.lit(budget)
-    above = total.select(F.lit("").alias("_up"), F.least(want, F.col("most")).cast("decimal(20,0)").alias("budget"))
+    for i in range(len(LEVELS)):
+        tree = tree.withColumn(f"weight_{i}", _weight(LEVELS[: i + 1], weights))
     for i, level in enumerate(LEVELS):
         here, parent = LEVELS[: i + 1], LEVELS[:i]
-        nodes = tree.groupBy(*here).agg(F.sum("capacity").cast("decimal(20,0)").alias("capacity"), F.sum("tokens").alias("tokens"))
-        nodes = nodes.withColumn("weight", _weight(here, weights)).withColumn("_up", F.concat_ws("/", F.lit(""), *parent))
-        if i == 0:
-            nodes = nodes.withColumn("_up", F.lit(""))
-        nodes = nodes.join(above, "_up")
-        above = _split(nodes, ("_up",), level).drop("_up")
-        leaf = above
-        above = above.select(F.concat_ws("/", F.lit(""), *here).alias("_up"), "budget")
-    return leaf.select(*LEVELS, "tokens", F.col("budget").cast("long").alias("budget"))
+        nodes = tree.groupBy(*here).agg(F.sum("capacity").cast("decimal(20,0)").alias("capacity"), F.sum("tokens").alias("tokens"),
+                                        F.first(f"weight_{i}").alias("weight"))
+        if parent:
+            nodes = nodes.join(leaf.select(*parent, "budget"), list(parent))
+        else:
+            want = F.sum("tokens").over(Window.partitionBy()) if budget is None else F.lit(budget)
+            nodes = nodes.withColumn("budget", F.least(want, F.sum("capacity").over(Window.partitionBy())).cast("decimal(20,0)"))
+        leaf = _split(nodes, parent, level)
+    return leaf.join(leaves.select(*LEVELS, "n"), list(LEVELS)).select(*LEVELS, "n", "tokens", F.col("budget").cast("long").alias("budget"))
 
 
 def plan_mixture(df: DataFrame, domain: Column, weights: dict[str, int] | None = None, budget: int | None = None,
@@ -97,12 +98,12 @@ def plan_mixture(df: DataFrame, domain: Column, weights: dict[str, int] | None =
     leaves = stage(leaf_budgets(rows, weights or {}, budget, max_epochs)
                    .withColumn("full", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(1)))
                    .withColumn("part", F.when(F.col("tokens") > 0, F.col("budget") - F.col("full") * F.col("tokens")).otherwise(F.lit(0)))
-                   .select(*LEVELS, "full", "part"), "leaves")
+                   .select(F.struct(*LEVELS).alias("leaf"), "n", "full", "part"), "leaves")
     n, digits = docs.count(), 1
     while 256**digits < n:  # 16 ** digits buckets: about the square root of the rows
         digits += 1
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    keyed = docs.join(F.broadcast(leaves), list(LEVELS)) if _few(leaves) else docs.join(leaves, list(LEVELS))
+    keyed = join_hot(docs.withColumn("leaf", F.struct(*LEVELS)), leaves, "leaf", "n", "doc_id").drop("leaf")
     keyed = keyed.withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
     parts = keyed.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
     ahead = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,13 +116,6 @@ def plan_mixture(df: DataFrame, domain: Column, weights: dict[str, int] | None =
                          (F.col("full") * F.col("n_tokens") + part).cast("long").alias("taken_tokens"), *keep)
 
 
-MAX_BROADCAST_LEAVES = 10_000
-
-
-def _few(leaves: DataFrame) -> bool:
-    return leaves.count() <= MAX_BROADCAST_LEAVES
-
-
 def mix(df: DataFrame, plan: DataFrame, key: str = "doc_id") -> DataFrame:
     """``df`` as often as ``plan`` takes each document, the last copy cut after its ``part_tokens``.
 
