@@ -157,7 +157,7 @@ OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
 AT = re.compile(rf" ?{OPEN} ?(?:at|@) ?{CLOSE} ?", re.I)
 DOT = re.compile(rf" ?{OPEN} ?(?:dot|\.) ?{CLOSE} ?", re.I)
 SAID = re.compile(r"(?<=[A-Za-z0-9])( at |@| @ )([A-Za-z0-9-]+)((?: dot [A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+)(?![A-Za-z0-9])", re.I)
-SAID_DOT = re.compile(r"(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9._-]+@)", re.I)
+SAID_DOT = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]+(?: dot [A-Za-z0-9._-]+)+(?=@)", re.I)
 
 
 def at_dot(r: Rewritten) -> Rewritten:
@@ -170,7 +170,7 @@ def at_dot(r: Rewritten) -> Rewritten:
             if dots or m[1] == " @ ":  # " at " alone is ordinary prose
                 edits += [(*m.span(1), "@"), *dots]
     r = r.replace(edits)
-    return r.replace([(*m.span(), ".") for m in SAID_DOT.finditer(r.text)])
+    return r.replace([(m.start() + d.start(), m.start() + d.end(), ".") for m in SAID_DOT.finditer(r.text) for d in re.finditer(" dot ", m[0], re.I)])
 
 
 #: What each transducer needs, in a text without strange characters: one without any of these holds no disguise.
@@ -186,6 +186,18 @@ def rewrite(text: str) -> Rewritten | None:
     return at_dot(spelled_digits(homoglyphs(r) if strange else r))
 
 
+def _merged(base: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``base`` and those of ``more`` that overlap none before them; both lists are sorted, and ``base`` is disjoint."""
+    out, last, k = list(base), -1, 0
+    for start, end in more:
+        while k < len(base) and base[k][1] <= start:
+            k += 1
+        if start >= last and (k == len(base) or end <= base[k][0]):
+            out.append((start, end))
+            last = end
+    return out
+
+
 def find(text: str | None) -> dict:
     """``base`` and ``spans``: lists of (kind, start, end) in code points of ``text``."""
     text = text or ""
@@ -193,10 +205,7 @@ def find(text: str | None) -> dict:
     spans = {k: list(v) for k, v in base.items()}
     if r := rewrite(text):
         for kind, found in detect(r.text).items():
-            for a, b in found:
-                start, end = r.span(a, b)
-                if not any(start < y and x < end for x, y in spans[kind]):
-                    spans[kind].append((start, end))
+            spans[kind] = _merged(base[kind], [r.span(a, b) for a, b in found])
     return {name: [{"kind": k, "start": a, "end": b} for k in KINDS for a, b in sorted(s[k])] for name, s in (("base", base), ("spans", spans))}
 
 
