@@ -176,6 +176,19 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.plan_mixture(empty, domain, weights).count() == 0
 
 
+def test_mixing_names_with_slashes(spark):
+    """Names that give the same path when joined are nodes of their own; weights name them with ``\\/``."""
+    leaves = [("a", "b/c", "s"), ("a/b", "c", "s"), ("a", "b", "c/s"), ("a/b/c", "s", ""), ("a\\", "/b", "s")]
+    rows = [(i, "w " * (10 + i), lang, source, domain) for i, (domain, lang, source) in enumerate(leaves * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, d string")
+    got = mixing.plan_mixture(docs, F.col("d"), {"a\\/b": 5, "a": 1}, budget=500, max_epochs=3).collect()
+    assert len(got) == len(rows) and len({r.doc_id for r in got}) == len(rows)
+    taken = {}
+    for r in got:
+        taken[r.domain] = taken.get(r.domain, 0) + r.taken_tokens
+    assert 490 <= sum(taken.values()) <= 500 and taken["a/b"] > 4 * taken["a"]
+
+
 def test_mixing_copies_and_cuts(spark):
     docs = spark.createDataFrame([(i, " a  b\nc d " * 5, "en", "s", 50, "k") for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long, _mix string")
     plan = mixing.plan_mixture(docs, F.lit("d"), budget=250)
@@ -301,6 +314,21 @@ def test_pii_prefilter_drops_nothing(monkeypatch):
         assert got == pii.find(text), text
 
 
+def test_pii_in_long_texts_takes_linear_time():
+    import time
+
+    began = time.time()
+    for text, n in (("a@b.co " * 150_000 + "x(at)y.org", 150_001), ("x at y dot org " * 70_000, 70_000), ("x dot " * 150_000 + "y at z dot org", 1)):
+        assert sum(s["kind"] == "email" for s in pii.find(text)["spans"]) == n
+    assert time.time() - began < 60
+
+
+def test_pii_whole_name_of_many_parts():
+    for name in ("john dot paul dot smith", "a dot b", "j.p dot smith"):
+        text = f"mail {name} at example dot com now"
+        assert [(s["start"], s["end"]) for s in pii.find(text)["spans"]] == [(5, 5 + len(name) + len(" at example dot com"))]
+
+
 def test_pii_leaves_clean_texts_alone(spark, docs, rows, empty):
     for text in ("We met at noon; look at the dot.", "Москва и Ελλάδα", "one two three", "the one at example.com", "v1.2.3 of 10 - 20"):
         assert pii.find(text)["spans"] == []
@@ -519,12 +547,13 @@ def test_language_likelihood_sums_all_segmentations():
     def ways(w, i=0):
         if i == len(w):
             yield []
-        for j in range(i + 1, min(len(w), i + langid.LONGEST_PIECE) + 1):
+        for j in range(i + 1, len(w) + 1):
             piece = grid.ids.get(w[i:j], grid.unknown if j == i + 1 else None)
             if piece is not None:
                 yield from ([piece, *rest] for rest in ways(w, j))
 
-    words = ["the", "straße", "étre", "中文", "x", "thethe"]
+    words = ["the", "straße", "étre", "中文", "x", "thethe", "professional", "technologies"]
+    assert {"▁professional", "▁technologies"} <= set(grid.ids)
     sums = [sum(np.prod(prob[s]) for s in ways("▁" + w)) for w in words]
     assert np.allclose(langid.log_likelihood(prob[:, None], grid, words)[:, 0], np.log(sums))
     want = np.zeros(grid.size)
@@ -534,6 +563,23 @@ def test_language_likelihood_sums_all_segmentations():
     assert np.allclose(langid.expected_counts(prob, grid, words, np.ones(len(words))), want)
 
 
+def test_long_words_of_an_unlearned_script():
+    """Sums stay in range at any length and any amount of learned text, and no language wins by its size."""
+    grid = langid.lattice(langid.default_vocabulary())
+    rnd = np.random.default_rng(3)
+    counts = np.column_stack([rnd.random(grid.size) * n / grid.size for n in (1e3, 1e9, 1e9)])
+    model = langid.Model(langid.default_vocabulary(), ["a", "b", "c"], np.column_stack([langid._smooth(counts[:, k], grid) for k in range(3)]))
+    texts = ["\U00010400" * 5000, "\U00010400" * 48, "the" * 4000]
+    judged = langid.Scorer(model).judge(texts)
+    assert all(0 <= x["score"] <= 1 for x in judged)
+    assert np.isclose(judged[0]["score"], judged[1]["score"]) or judged[0]["score"] >= 1 / 3
+    likely = langid.log_likelihood(model.prob, grid, texts)
+    assert np.isfinite(likely).all()
+    assert np.ptp(model.prob[grid.unknown]) == 0
+    long = langid.expected_counts(model.prob[:, 1], grid, ["the" * 300, "x"], np.ones(2))
+    assert np.isfinite(long).all() and 100 < long.sum() < 1000
+
+
 def test_language_id(docs, rows, empty):
     learn = F.col("doc_id") % 3 != 1
     out, c = langid.train_and_identify(docs, learn, langid.default_vocabulary())
