@@ -78,7 +78,9 @@ def verdict_counts(classified: DataFrame, group_col: str = "lang", order_col: st
                                                                      F.sum("f.b").alias("_fb"))
     kept = first_counts.select(group_col, F.lit("passed").alias("verdict"), F.col("_fn").alias("n"),
                                F.col("_fb").cast("long").alias("n_bytes"))
-    dups = all_passed.join(first_counts, on=group_col, how="left").select(
+    # a null group is a group like any other
+    both = all_passed.join(first_counts.withColumnRenamed(group_col, "_g"), F.col(group_col).eqNullSafe(F.col("_g")), "left")
+    dups = both.select(
         group_col, F.lit("duplicate").alias("verdict"),
         (F.col("_n") - F.coalesce(F.col("_fn"), F.lit(0))).alias("n"),
         (F.col("_b") - F.coalesce(F.col("_fb"), F.lit(0))).cast("long").alias("n_bytes"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.plans import analytics, archives_q, corpus, gates, oracle, oracle_runs, streams_q, tokenize
+from corpuslab.plans import analytics, archives_q, builds_q, corpus, gates, oracle, oracle_runs, streams_q, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +30,12 @@ def queries() -> dict[str, Query]:
         "perplexity_gate": gates.perplexity_gate,
         "perplexity_gate_first500": gates.perplexity_gate_first500,
         "dataset_manifest": gates.dataset_manifest,
+        "verdicts_null_groups": gates.verdicts_null_groups,
+        "manifest_null_groups": gates.manifest_null_groups,
         "dataset_digest": gates.dataset_digest,
+        "build_diff": builds_q.build_diff,
+        "packed_shards": builds_q.packed_shards,
+        "published_versions": builds_q.published_versions,
         "wet_roundtrip": archives_q.wet_roundtrip,
         "archive_inventory": archives_q.archive_inventory,
         "archive_documents": archives_q.archive_documents,

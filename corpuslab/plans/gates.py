@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import constants as K
 from corpuslab.operators import tokens as TK
 from corpuslab.operators.ordering import dense_positions
+from corpuslab.operators.dedup import verdict_counts
 from corpuslab.plans.corpus import classified_documents
 from corpuslab.plans.tokenize import SEQ_LEN, corpus_docs
 from corpuslab.session import read_table, stage
@@ -100,7 +101,11 @@ def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per corpus run (a source), the raw, normalize, dedup and tokenize phase summaries joined
     left on the run, with the reference's defaults for a missing phase and the list of missing
     phases (our addition). Tokens: byte tokenizer, sequence length 1024."""
-    cls = classified_documents(spark, sf_dir)
+    return manifest_of(classified_documents(spark, sf_dir))
+
+
+def manifest_of(cls: DataFrame) -> DataFrame:
+    """The manifest of classified documents; those without a source are a run of their own (null)."""
     passed = F.col("reason") == "passed"
     raw = cls.groupBy("source").agg(F.count(F.lit(1)).alias("source_file_count"),
                                     F.sum("n_bytes").cast("long").alias("source_total_bytes"))
@@ -118,7 +123,9 @@ def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("token_count") > 0,
                            F.round(F.floor(F.col("token_count") / SEQ_LEN) * SEQ_LEN / F.col("token_count"), 4))
                     .otherwise(F.lit(0.0)).alias("pack_efficiency")).filter(F.col("token_count") > 0)
-    m = raw.join(norm, "source", "left").join(dd.drop("token_count"), "source", "left").join(tok.withColumn("_t", F.lit(1)), "source", "left")
+    m = raw
+    for i, phase in enumerate((norm, dd.drop("token_count"), tok.withColumn("_t", F.lit(1)))):
+        m = m.join(phase.withColumnRenamed("source", f"_s{i}"), F.col("source").eqNullSafe(F.col(f"_s{i}")), "left")
     missing = F.concat_ws(",", F.when(F.col("surviving").isNull(), F.lit("dedup")), F.when(F.col("_t").isNull(), F.lit("tokenize")))
     return m.select(
         F.col("source").alias("run_name"), "source_file_count", "source_total_bytes",
@@ -135,6 +142,22 @@ def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _null_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classified documents, every fourth without a language and every third without a source."""
+    cls = classified_documents(spark, sf_dir)
+    return cls.withColumns({"lang": F.when(F.col("doc_id") % 4 != 0, F.col("lang")), "source": F.when(F.col("doc_id") % 3 != 0, F.col("source"))})
+
+
+def verdicts_null_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's counts where documents lack a language."""
+    return verdict_counts(_null_groups(spark, sf_dir), "lang")
+
+
+def manifest_null_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 where documents lack a source."""
+    return manifest_of(_null_groups(spark, sf_dir))
+
+
 def dataset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 over the deduplicated corpus (doc_id, text)."""
     from corpuslab.operators.manifests import dataset_digest as digest

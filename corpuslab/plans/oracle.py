@@ -69,7 +69,8 @@ GROUP BY ALL""",
     "filter_stats_rollup": f"""
 WITH {CLASSIFIED_CTE},
 k AS (SELECT source, CASE WHEN reason = 'passed' THEN 'passed' ELSE 'rejected_' || reason END AS key FROM cls)
-SELECT coalesce(source, '*') AS source, coalesce(key, 'total') AS reason, count(*)::BIGINT AS n
+SELECT CASE WHEN grouping(source) = 1 THEN '*' ELSE source END AS source, CASE WHEN grouping(key) = 1 THEN 'total' ELSE key END AS reason,
+       count(*)::BIGINT AS n
 FROM k GROUP BY ROLLUP (source, key)""",
     "normalize_text": f"""
 WITH {CLASSIFIED_CTE}
@@ -198,9 +199,21 @@ SELECT raw.source AS run_name, source_file_count, source_total_bytes,
        coalesce(CASE WHEN token_count > 0 THEN round((token_count // 1024 * 1024)::DOUBLE / token_count, 4) END, 0.0) AS pack_efficiency,
        concat_ws(',', CASE WHEN surviving IS NULL THEN 'dedup' END,
                       CASE WHEN coalesce(token_count, 0) = 0 THEN 'tokenize' END) AS missing_phases
-FROM raw LEFT JOIN norm USING (source) LEFT JOIN d USING (source)""",
+FROM raw LEFT JOIN norm ON raw.source IS NOT DISTINCT FROM norm.source LEFT JOIN d ON raw.source IS NOT DISTINCT FROM d.source""",
 }
 
+_NULLS = "nulls AS (SELECT * REPLACE (CASE WHEN doc_id % 4 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 3 <> 0 THEN source END AS source) FROM cls)"
+GATE_SQL["verdicts_null_groups"] = CORPUS_SQL["corpus_verdicts"].replace(CLASSIFIED_CTE, f"{CLASSIFIED_CTE}, {_NULLS}").replace("FROM cls LEFT", "FROM nulls cls LEFT")
+GATE_SQL["manifest_null_groups"] = f"WITH {CLASSIFIED_CTE}, {_NULLS}" + GATE_SQL["dataset_manifest"].split(CLASSIFIED_CTE)[1].replace("FROM cls", "FROM nulls")
+GATE_SQL["build_diff"] = f"""
+WITH {DEDUPED_CTE},
+other AS (SELECT doc_id, CASE WHEN doc_id % 89 = 7 THEN text || ' ' ELSE text END AS text FROM dd WHERE doc_id % 97 <> 5
+          UNION ALL SELECT doc_id + 1000000000, text FROM dd WHERE doc_id % 211 = 3),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, coalesce(a.doc_id, b.doc_id) AS k, a.text AS x, b.text AS y FROM dd a FULL JOIN other b ON a.doc_id = b.doc_id)
+SELECT k // 64 * 64 AS low, k // 64 * 64 + 63 AS high, count(a) AS n_left, count(b) AS n_right,
+       count(*) FILTER (WHERE b IS NULL) AS missing, count(*) FILTER (WHERE a IS NULL) AS added, count(*) FILTER (WHERE x <> y) AS changed
+FROM j GROUP BY ALL HAVING count(*) FILTER (WHERE a IS NULL OR b IS NULL OR x <> y) > 0"""
+
 GATE_SQL["dataset_digest"] = f"""
 WITH {DEDUPED_CTE},
 h AS (SELECT sha256(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(text) || ':' || text, '-')) AS rh FROM dd)
@@ -212,6 +225,14 @@ WITH {CLASSIFIED_CTE}
 SELECT 'doc://' || source || '/' || doc_id::VARCHAR AS uri, content_hash, strlen(norm_text)::BIGINT AS n_bytes
 FROM cls WHERE reason = 'passed'"""
 
+TOKEN_SQL["packed_shards"] = TOKEN_SQL["pack_bytes"]
+
+GATE_SQL["published_versions"] = f"""
+WITH {DEDUPED_CTE},
+n AS (SELECT count(*) AS n_rows, count(*) FILTER (WHERE doc_id % 2 = 0) AS n_even FROM dd)
+SELECT step::INTEGER AS step, kind, v AS version, CASE WHEN v = 'v1' THEN n_even ELSE n_rows END AS n_rows
+FROM n, (VALUES (1, 'datasets', 'v1'), (2, 'datasets', 'v2'), (2, 'models', 'v1'), (3, 'datasets', 'v1')) AS t(step, kind, v)"""
+
 TOKEN_SQL["epoch_shards"] = f"""
 WITH {DEDUPED_CTE},
 p AS (SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id::VARCHAR || ':1'), doc_id) - 1 AS pos FROM dd)

@@ -6,6 +6,10 @@ manifests.
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -55,17 +59,50 @@ def newest_artifact(spark: SparkSession, root: str, glob: str = "*.json") -> Dat
                                 F.max("modificationTime").alias("modified_at"))
 
 
-def publish_versioned(df: DataFrame, root: str, version: str, pointer_root: str | None = None) -> str:
-    """Write ``root/datasets/<version>`` once (fails if it exists), then overwrite the one-row
-    ``latest`` pointer last, so a reader never sees a pointer to a partial dataset."""
-    target = f"{root.rstrip('/')}/datasets/{version}"
+def publish_versioned(df: DataFrame, root: str, version: str, pointer_root: str | None = None, kind: str = "datasets") -> str:
+    """Write ``root/<kind>/<version>`` once (fails if it exists), then point ``latest`` at it, so a
+    reader never sees a pointer to a partial version. ``kind`` is ``datasets`` or ``models``."""
+    target = f"{root.rstrip('/')}/{kind}/{version}"
     df.write.mode("errorifexists").parquet(target)
-    spark = df.sparkSession
-    pointer = spark.createDataFrame([(version, target)], "version string, location string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{(pointer_root or root).rstrip('/')}/latest")
+    point_latest(df.sparkSession, pointer_root or root, kind, version, target)
     return target
 
 
+def _pointer(root: str, kind: str) -> str:
+    return f"{root.rstrip('/')}/latest" if kind == "datasets" else f"{root.rstrip('/')}/{kind}/latest"
+
+
+def point_latest(spark: SparkSession, root: str, kind: str, version: str, location: str | None = None) -> None:
+    """Replaces the pointer ``latest`` in one step: the new one is written beside it and renamed over it, so a reader
+    at any time finds the old one or the new one. A local or mounted folder renames by POSIX, other
+    stores by Hadoop's rename with overwrite, which HDFS does in one step."""
+    jvm, pointer = spark._jvm, _pointer(root, kind)
+    content = json.dumps({"version": version, "location": location or f"{root.rstrip('/')}/{kind}/{version}"}).encode()
+    hadoop = jvm.org.apache.hadoop.fs
+    done = hadoop.Path(pointer)
+    store = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = store.makeQualified(done)
+    store.mkdirs(done.getParent())
+    new = hadoop.Path(done.getParent(), f".latest-{uuid.uuid4().hex}")
+    if store.getScheme() == "file":
+        with open(new.toUri().getPath(), "wb") as out:
+            out.write(content)
+        os.replace(new.toUri().getPath(), done.toUri().getPath())
+        return
+    out = store.create(new, True)
+    out.write(bytearray(content))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(done.toUri(), spark._jsc.hadoopConfiguration()).rename(new, done, over)
+
+
+def read_latest(spark: SparkSession, root: str, kind: str = "datasets") -> tuple[DataFrame, str]:
+    """The rows and the version that ``latest`` names now. The pointer is read once, so a publish meanwhile changes nothing."""
+    found = spark.read.schema("version string, location string").json(_pointer(root, kind)).first()
+    return spark.read.parquet(found.location), found.version
+
+
 STEP_LINE = (r"Step (\d+)/(\d+) \| Loss: ([0-9.eE+-]+|(?i:nan|-?inf(?:inity)?)) \| LR: ([0-9.eE+-]+) \| "
              r"Tokens/sec: ([0-9.]+) \| GPU Mem: ([0-9.]+)MB")
 RESUME_LINE = r"Resumed from step (\d+)"
