@@ -6,23 +6,24 @@ one each class chooses ``BRANCH`` further minwise tokens, which the node's path
 Two sets of similarity J part at the root with probability 1 - J, so ``TREES`` independent trees miss a
 pair with (1 - J) ** TREES: under 3e-7 at 0.85.
 
-What a node compares are sketches of 64 minwise bytes and set sizes; only pairs that may be links go on, and all of them
-are confirmed on the full sets. Copies with small changes would never part however deep a tree is, and
-all their pairs would be links. So a node first compares its classes with a pivot; those near one pivot are a
-group, whose pairs are left out. Where a pair with a pivot is then not confirmed, the group is searched
-again, with the components that the confirmed links make as groups, so that no pair between two of them is left out.
+What a node compares are sketches of 64 minwise bytes and set sizes: they tell which pairs may be links. Copies with
+small changes would never part however deep a tree is, and all their pairs may be links, so a node gives on
+only a spanning forest of those pairs, and a large one compares its classes with a pivot before it branches: those
+near one pivot are a group, whose pairs need no more comparing there. The forests of all nodes make clusters, and every link
+lies inside one. Links are then found on the full sets, which each task holds for a bounded part of a
+cluster: again only a forest of them leaves a task. A cluster beyond one part is first compared with its
+middle class; only the classes that it does not link are compared with all others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from corpuslab.llm.common import join_hot, small_batches, text_bytes
 from corpuslab.llm.components import components
@@ -33,6 +34,8 @@ TREES, BRANCH, DEPTH = 8, 3, 8
 TOKENS, SKETCH = 32, 64  # minwise tokens kept whole, for paths; minwise bytes, for comparing
 LEAST_EQUAL = 38  # of 64 bytes: at similarity 0.85 fewer agree with a probability of about 1e-6
 SMALL = 256
+PART = 512  # classes whose full sets a task compares with as many others
+COLUMNS = 4096  # shingles counted at a time
 WORDS_KEPT = 1_000_000
 
 _SEEDS = np.random.default_rng(11)
@@ -100,47 +103,103 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, cell, c, n, sketch, grp, out) sorted by node and cell; a cell holds a bounded number of them.
-    Pairs (a, b, star): b is the pivot of a star, else a and b are of different groups and one of them is ``out``."""
+def _forest(near: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of ``near`` that join all that it connects, beyond what equal labels say."""
+    for p in range(len(near)):
+        row = np.flatnonzero(near[p])
+        for r in np.setdiff1d(label[row], label[p]):
+            yield int(row[label[row] == r][0]), p
+            label[label == r] = label[p]
 
-    def pairs(table: pa.Table) -> Iterator[tuple[bytes, bytes, bool]]:
-        c, grp = table.column("c").to_pylist(), table.column("grp").to_pylist()
-        n, out = table.column("n").to_numpy(), table.column("out").to_numpy(zero_copy_only=False)
-        sketch = _sketches(table.column("sketch").combine_chunks())
-        near = np.concatenate([_near(n, sketch, slice(i, i + 64), percent) for i in range(0, len(c), 64)])
-        near &= out[:, None] | out
-        np.fill_diagonal(near, False)
-        if not near.any():
-            return
-        for p in range(len(c)):
-            if grp[p] is None:
-                grp[p] = c[p]
-                for x in np.flatnonzero(near[p]).tolist():
-                    if grp[x] is None:
-                        grp[x] = c[p]
-                        yield c[x], c[p], True
-        ids = np.unique(np.array([g.hex() for g in grp]), return_inverse=True)[1]
-        for x, y in zip(*np.nonzero(np.triu(near & (ids[:, None] != ids)))):
-            yield c[x], c[y], False
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first two columns, by which they come sorted."""
     rest: pa.Table | None = None
     for b in batches:
         t = pa.Table.from_batches([b])
         t = pa.concat_tables([rest, t]) if rest is not None else t
-        node, cell = t.column("node").to_numpy(), t.column("cell").to_numpy()
-        cuts = np.flatnonzero((node[1:] != node[:-1]) | (cell[1:] != cell[:-1])) + 1
-        edges = [0, *cuts.tolist()]
-        found = [x for lo, hi in zip(edges, edges[1:]) if hi - lo > 1 for x in pairs(t.slice(lo, hi - lo))]
+        x, y = (t.column(i).combine_chunks() for i in (0, 1))
+        x, y = ((c.to_numpy(zero_copy_only=False)) for c in (x, y))
+        edges = [0, *(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist()]
+        for lo, hi in zip(edges, edges[1:]):
+            yield t.slice(lo, hi - lo)
         rest = t.slice(edges[-1])
-        yield _pairs(found)
-    if rest is not None and rest.num_rows > 1:
-        yield _pairs(list(pairs(rest)))
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _pairs(groups: Iterator[pa.Table], of: Callable[[pa.Table], Iterator[tuple[bytes, bytes]]]) -> Iterator[pa.RecordBatch]:
+    found: list[tuple[bytes, bytes]] = []
+
+    def batch() -> pa.RecordBatch:
+        made = pa.record_batch([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        found.clear()
+        return made
 
+    for t in groups:
+        if t.num_rows > 1:
+            found += of(t)
+        if len(found) > 4096:
+            yield batch()
+    yield batch()
 
-def _pairs(found: list[tuple[bytes, bytes, bool]]) -> pa.RecordBatch:
-    types = [pa.binary(), pa.binary(), pa.bool_()]
-    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*found) if found else [()] * 3, types)], names=["a", "b", "star"])
+
+def _labels(column: pa.ChunkedArray, names: list[bytes]) -> np.ndarray:
+    return np.unique(np.array([(g or c).hex() for g, c in zip(column.to_pylist(), names)]), return_inverse=True)[1]
+
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, cell, c, n, sketch, grp, out) sorted by node and cell; a cell holds a bounded number of them.
+    Pairs (a, b) that may be links, of different groups, one of them ``out``: a forest of them."""
+
+    def pairs(t: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+        c = t.column("c").to_pylist()
+        n, out = t.column("n").to_numpy(), t.column("out").to_numpy(zero_copy_only=False)
+        sketch = _sketches(t.column("sketch").combine_chunks())
+        near = np.concatenate([_near(n, sketch, slice(i, i + 64), percent) for i in range(0, len(c), 64)])
+        near &= out[:, None] | out
+        yield from ((c[x], c[y]) for x, y in _forest(near, _labels(t.column("grp"), c)))
+
+    yield from _pairs(_groups(batches), pairs)
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share."""
+    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    often = np.bincount(at, minlength=len(tokens)) > 1
+    place = np.cumsum(often) - 1
+    row, at = row[often[at]], place[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers, exact up to 2 ** 24 a block of columns
+    total = np.zeros(both.shape, np.int64)
+    for first in range(0, int(often.sum()), COLUMNS):
+        lo, hi = np.searchsorted(at, (first, first + COLUMNS))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[row[lo:hi], at[lo:hi] - first] = 1
+        np.matmul(has, has.T, out=both)
+        total += both.astype(np.int64)
+    return total
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (root, cell, c, label, out, found) sorted by root and cell. Links (a, b) of different labels, one of them
+    ``out``, by the full sets: a forest of them."""
+
+    def links(t: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+        names = t.column("c").to_pylist()
+        first = np.unique(np.array([x.hex() for x in names]), return_index=True)[1]  # a class may be on both sides
+        t, names = t.take(first), [names[i] for i in first]
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("found").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        out = t.column("out").to_numpy(zero_copy_only=False)
+        both = _shared(sets)
+        near = 100 * both >= percent * (size[:, None] + size - both)
+        near &= out[:, None] | out
+        yield from ((names[x], names[y]) for x, y in _forest(near, _labels(t.column("label"), names)))
+
+    yield from _pairs(_groups(batches), links)
 
 
 def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -151,23 +210,23 @@ def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         near = ((s == ps).sum(axis=1) >= LEAST_EQUAL) & (100 * np.minimum(n, pn) >= percent * np.maximum(n, pn))
         grp, pc = (b.column(b.schema.get_field_index(x)).to_pylist() for x in ("grp", "pc"))
         new = [p if g is None and x else g for g, p, x in zip(grp, pc, near.tolist())]
-        star = [g is None and x for g, x in zip(grp, near.tolist())]
+        star = [bool(g is None and x) for g, x in zip(grp, near.tolist())]
         yield pa.record_batch([b.column(0), b.column(1), pa.array(new, pa.binary()), pa.array(star)], names=["node", "c", "grp", "star"])
 
 
-def search(classes: DataFrame, percent: int, small: int, stars: bool) -> DataFrame:
-    """Pairs (a, b, star) of classes (c, n, tokens, sketch, grp) that may be links, over all trees.
+def search(classes: DataFrame, percent: int, small: int) -> DataFrame:
+    """Pairs (a, b) of classes (c, n, tokens, sketch) that may be links: all that may are connected by them, over all trees.
 
     A node is done where all its classes are of one group. It is small if at most ``small`` of its classes
     are outside its largest group: those are compared with each other and with the rest, in cells of about
-    ``small`` of the rest each. Others get a pivot (if ``stars``) and then branch. What is still large after ``DEPTH``
+    ``small`` of the rest each. Others get a pivot and then branch. What is still large after ``DEPTH``
     branches is compared exhaustively, in cells for each pair of parts.
     """
     looks = classes.select("c", "n", "sketch")
     paths = F.transform(F.slice("tokens", 1, TREES), lambda t, i: F.xxhash64(i, t))
-    rows = classes.select(F.explode(paths).alias("node"), "c", "grp")
+    rows = classes.select(F.explode(paths).alias("node"), "c", F.lit(None).cast("binary").alias("grp"))
     found: list[DataFrame] = []
-    for turn in range((1 + stars) * DEPTH + 1):
+    for turn in range(2 * DEPTH + 1):
         by_group = rows.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("m"))
         top = F.max(F.when(F.col("grp").isNotNull(), F.struct("m", "grp"))).alias("top")
         nodes = by_group.groupBy("node").agg(F.sum("m").alias("m"), top)
@@ -175,7 +234,7 @@ def search(classes: DataFrame, percent: int, small: int, stars: bool) -> DataFra
         nodes = nodes.where("m > 1 and outside > 0")
         open_rows = stage(rows.join(nodes, "node"), "open")
         is_small = (F.col("m") <= small) | (F.col("outside") <= small)
-        last = turn == (1 + stars) * DEPTH
+        last = turn == 2 * DEPTH
         found.append(_cells(open_rows.where(is_small), looks, percent, small))
         if last:
             found.append(_parts(open_rows.where(~is_small), looks, percent, small))
@@ -183,7 +242,7 @@ def search(classes: DataFrame, percent: int, small: int, stars: bool) -> DataFra
         large = open_rows.where(~is_small)
         if large.isEmpty():
             break
-        if stars and turn % 2 == 0:
+        if turn % 2 == 0:
             seen = large.join(looks, "c")
             pivot = F.min(F.when(F.col("grp").isNull(), F.struct(F.xxhash64("c").alias("h"), "c", "n", "sketch"))).alias("p")
             pivots = seen.groupBy("node").agg(pivot)
@@ -192,7 +251,7 @@ def search(classes: DataFrame, percent: int, small: int, stars: bool) -> DataFra
             starred = stage(told.mapInArrow(lambda b: _stars(b, percent), "node long, c binary, grp binary, star boolean"), "starred")
             without = large.join(pivots.where("p is null"), "node", "left_semi").select("node", "c", "grp")
             rows = starred.select("node", "c", "grp").union(without)
-            found.append(starred.where("star and c <> grp").select(F.col("c").alias("a"), F.col("grp").alias("b"), "star"))
+            found.append(starred.where("star and c <> grp").select(F.col("c").alias("a"), F.col("grp").alias("b")))
         else:
             tokens = classes.select("c", "tokens")
             places = F.array_distinct(F.array(*(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(TOKENS - TREES)) + TREES + 1 for k in range(BRANCH))))
@@ -228,35 +287,71 @@ def _parts(rows: DataFrame, looks: DataFrame, percent: int, small: int) -> DataF
 def _run_cells(dealt: DataFrame, looks: DataFrame, percent: int) -> DataFrame:
     full = dealt.join(looks, "c").select("node", F.col("cell").cast("long").alias("cell"), "c", "n", "sketch", "grp", "out")
     ordered = full.repartition("node", "cell").sortWithinPartitions("node", "cell", F.xxhash64("c"))
-    return ordered.mapInArrow(lambda b: _compare(b, percent), "a binary, b binary, star boolean")
+    return ordered.mapInArrow(lambda b: _compare(b, percent), "a binary, b binary")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in small_batches(batches):
         made = [shingle_set(t, shingle).tobytes() for t in text_bytes(b, "text")]
-        yield pa.record_batch([b.column(0), pa.array(made, pa.large_binary()).cast(pa.binary())], names=["c", "found"])
+        yield pa.record_batch([*b.columns[:3], pa.array(made, pa.binary())], names=["c", "root", "sketch", "found"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _star_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(c, root, found, pivot, pfound) to (c, root, found, label): the pivot where it is a link."""
     for b in small_batches(batches):
-        ok = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+        label = []
+        for c, x, p, y in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            at = np.searchsorted(x, y)
-            both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            ok.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.record_batch([*b.columns[:2], pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            label.append(p if 100 * both >= percent * (len(x) + len(y) - both) else c)
+        yield pa.record_batch([*b.columns[:3], pa.array(label, pa.binary())], names=["c", "root", "found", "label"])
+
 
+def _pivots(members: DataFrame) -> DataFrame:
+    """(root, pivot, pfound): of each cluster the class whose sketch agrees most with the commonest bytes. Any class
+    gives the same components; this one leaves the fewest to be compared."""
+    byte = [F.substring("sketch", i + 1, 1) for i in range(SKETCH)]
+    middle = members.groupBy("root").agg(F.array(*(F.mode(x) for x in byte)).alias("middle"))
+    agree = sum((F.when(x == F.col("middle")[i], 1).otherwise(0) for i, x in enumerate(byte)), F.lit(0))
+    scored = members.join(middle, "root").select("root", "c", agree.alias("agree"))
+    best = scored.groupBy("root").agg(F.max(F.struct("agree", "c")).alias("best")).select("root", F.col("best.c").alias("pivot"))
+    return best.join(members.select(F.col("c").alias("pivot"), F.col("found").alias("pfound")), "pivot")
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ok) by the full sets."""
-    left = pairs.join(sets.select(F.col("c").alias("a"), F.col("found").alias("x")), "a")
-    both = left.join(sets.select(F.col("c").alias("b"), F.col("found").alias("y")), "b").select("a", "b", "x", "y")
-    return stage(both.mapInArrow(lambda b: _confirm(b, percent), "a binary, b binary, ok boolean"), "confirmed")
+
+def confirm(members: DataFrame, percent: int, part: int) -> DataFrame:
+    """Links (a, b), by the full sets, that connect each cluster's (c, root, sketch, found) classes as all its links do.
+
+    A cluster of at most ``part`` classes is one cell. In a larger one the classes that the pivot does not link
+    are dealt into parts, all classes into parts too, and each two parts are a cell.
+    """
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    small = members.join(sizes.where(F.col("m") <= part), "root").select(
+        "root", F.lit(0).cast("long").alias("cell"), "c", F.col("c").alias("label"), F.lit(True).alias("out"), "found")
+    large = stage(members.join(sizes.where(F.col("m") > part), "root").select("c", "root", "sketch", "found"), "large")
+    cells = small
+    stars = None
+    if not large.isEmpty():
+        told = large.select("c", "root", "found").join(stage(_pivots(large), "pivots"), "root").select("c", "root", "found", "pivot", "pfound")
+        told = stage(told.mapInArrow(lambda b: _star_links(b, percent), "c binary, root binary, found binary, label binary"), "stars")
+        stars = told.where("c <> label").select(F.col("c").alias("a"), F.col("label").alias("b"))
+        by = told.groupBy("root", "label").agg(F.count(F.lit(1)).alias("k"))
+        counts = by.groupBy("root").agg(F.sum("k").alias("m"), F.count_if(F.col("k") == 1).alias("o"))
+        parts, outs = F.ceil(F.col("m") / part).cast("int"), F.ceil(F.col("o") / part).cast("int")
+        put = told.join(counts.where("o > 0"), "root").withColumns({"parts": parts, "outs": outs}).withColumns(
+            {"mine": F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"), "mine_out": F.pmod(F.xxhash64("c", F.lit(1)), F.col("outs")).cast("int")})
+        alone = F.col("c") == F.col("label")
+        as_out = put.where(alone).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        as_any = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)))
+        cell = lambda out, any_: (out * F.col("parts") + any_).cast("long").alias("cell")
+        cells = cells.union(as_out.select("root", cell(F.col("mine_out"), F.col("other")), "c", "label", F.lit(True), "found"))
+        cells = cells.union(as_any.select("root", cell(F.col("other"), F.col("mine")), "c", "label", alone, "found"))
+    ordered = cells.repartition("root", "cell").sortWithinPartitions("root", "cell")
+    links = ordered.mapInArrow(lambda b: _confirm(b, percent), "a binary, b binary")
+    return links if stars is None else links.union(stars)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    percent: int = PERCENT, small: int = SMALL) -> DataFrame:
+                    percent: int = PERCENT, small: int = SMALL, part: int = PART) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
     component_id is the smallest doc_id reachable over links, itself included; sets link if
@@ -274,25 +369,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("key"),
         F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "classes")
 
-    nodes = classes.select("c", "n", "tokens", "sketch", F.lit(None).cast("binary").alias("grp"))
-    met = stage(search(nodes, percent, small, stars=True), "met")
-    pairs = stage(met.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("c")).join(classes.select("c", "key"), "c")
-    texts = docs.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("c", "text")
-    sets = stage(texts.mapInArrow(lambda b: _sets(b, shingle), StructType([StructField("c", BinaryType()), StructField("found", BinaryType())])), "sets")
-    confirmed = _confirmed(pairs.select("a", "b"), sets, percent)
-    links = confirmed.where("ok").select("a", "b")
-    refused = pairs.where("star").join(confirmed.where("not ok"), ["a", "b"], "left_semi")
-    roots = components(links)
-    if not refused.isEmpty():
-        pivots = refused.select("b").distinct()
-        again = pairs.where("star").join(pivots, "b", "left_semi").select("a").union(pivots).distinct().select(F.col("a").alias("c"))
-        labelled = again.join(roots.select(F.col("node").alias("c"), "root"), "c", "left")
-        members = stage(labelled.join(classes, "c").select("c", "n", "tokens", "sketch", F.coalesce("root", "c").alias("grp")), "again")
-        more = search(members, percent, small, stars=False).select("a", "b").distinct()
-        known = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        second = _confirmed(stage(more.join(known, ["a", "b"], "left_anti"), "second"), sets, percent)
-        roots = components(links.union(second.where("ok").select("a", "b")))
+    clusters = components(search(classes.select("c", "n", "tokens", "sketch"), percent, small))
+    wanted = clusters.select(F.col("node").alias("c"), "root").join(classes.select("c", "key", "sketch"), "c")
+    texts = docs.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("c", "root", "sketch", "text")
+    members = stage(texts.mapInArrow(lambda b: _sets(b, shingle), "c binary, root binary, sketch binary, found binary"), "members")
+    roots = components(confirm(members, percent, part))
 
     rooted = classes.join(roots, F.col("c") == F.col("node"), "left").select("c", "rows", "least_id", F.coalesce("root", "c").alias("root"))
     rooted = stage(rooted, "rooted")

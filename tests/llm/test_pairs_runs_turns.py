@@ -77,11 +77,11 @@ def _near_rows():
     return rows + [rows[3], (None, texts[1]), (None, texts[70]), (None, "lonely text without an id at all"), (None, None)]
 
 
-@pytest.mark.parametrize("small", [256, 6])
-def test_chosen_path_join(spark, small):
+@pytest.mark.parametrize("small,part", [(256, 512), (6, 5)])
+def test_chosen_path_join(spark, small, part):
     rows = _near_rows()
     df = spark.createDataFrame([(*r, 1, "x", 2, "k", 3, 4) for r in rows], DOCS).repartition(3)
-    assert _sorted(chosen_path.near_duplicates(df, small=small).collect()) == _sorted(_components(rows))
+    assert _sorted(chosen_path.near_duplicates(df, small=small, part=part).collect()) == _sorted(_components(rows))
 
 
 def test_chosen_path_join_of_nothing(spark):
@@ -110,6 +110,18 @@ def test_all_parts_are_compared(spark):
     assert len(set(label.values())) == 7
 
 
+def test_shared_shingles_are_counted(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(chosen_path, "COLUMNS", 8)
+    rnd = random.Random(3)
+    sets = [np.unique(np.array(rnd.choices(range(60), k=rnd.randint(1, 40)), np.uint64)) for _ in range(30)]
+    got = chosen_path._shared(sets)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert i == j or got[i][j] == len(set(x.tolist()) & set(y.tolist()))
+
+
 # ---- periodic runs
 
 
