@@ -9,7 +9,7 @@ pair with (1 - J) ** TREES: under 3e-7 at 0.85.
 What a node compares are sketches of 64 minwise bytes and set sizes: they tell which pairs may be links. Copies with
 small changes would never part however deep a tree is, and all their pairs may be links, so a node gives on
 only a spanning forest of those pairs, and a large one compares its classes with a pivot before it branches: those
-near one pivot are a group, whose pairs need no more comparing there. The forests of all nodes make clusters, and every link
+near one pivot are a group, whose pairs need no more comparing, and groups that share a class in any node are one. The forests of all nodes make clusters, and every link
 lies inside one. Links are then found on the full sets, which each task holds for a bounded part of a
 cluster: again only a forest of them leaves a task. A cluster beyond one part is first compared with its
 middle class; only the classes that it does not link are compared with all others.
@@ -226,6 +226,7 @@ def search(classes: DataFrame, percent: int, small: int) -> DataFrame:
     paths = F.transform(F.slice("tokens", 1, TREES), lambda t, i: F.xxhash64(i, t))
     rows = classes.select(F.explode(paths).alias("node"), "c", F.lit(None).cast("binary").alias("grp"))
     found: list[DataFrame] = []
+    stars: DataFrame | None = None
     for turn in range(2 * DEPTH + 1):
         by_group = rows.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("m"))
         top = F.max(F.when(F.col("grp").isNotNull(), F.struct("m", "grp"))).alias("top")
@@ -250,8 +251,12 @@ def search(classes: DataFrame, percent: int, small: int) -> DataFrame:
             told = told.select("node", "c", "grp", "n", "sketch", "pc", "pn", "psketch")
             starred = stage(told.mapInArrow(lambda b: _stars(b, percent), "node long, c binary, grp binary, star boolean"), "starred")
             without = large.join(pivots.where("p is null"), "node", "left_semi").select("node", "c", "grp")
-            rows = starred.select("node", "c", "grp").union(without)
             found.append(starred.where("star and c <> grp").select(F.col("c").alias("a"), F.col("grp").alias("b")))
+            stars = stars.union(found[-1]) if stars is not None else found[-1]
+            # groups that stars of any node connect are one group in all nodes
+            roots = components(stars).select(F.col("node").alias("x"), "root")
+            merged = starred.select("node", "c", "grp").union(without).join(roots, F.col("c") == F.col("x"), "left")
+            rows = stage(merged.select("node", "c", F.coalesce("root", "grp").alias("grp")), "merged")
         else:
             tokens = classes.select("c", "tokens")
             places = F.array_distinct(F.array(*(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(TOKENS - TREES)) + TREES + 1 for k in range(BRANCH))))
