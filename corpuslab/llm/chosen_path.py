@@ -34,6 +34,7 @@ TREES, BRANCH, DEPTH = 8, 3, 8
 TOKENS, SKETCH = 32, 64  # minwise tokens kept whole, for paths; minwise bytes, for comparing
 LEAST_EQUAL = 38  # of 64 bytes: at similarity 0.85 fewer agree with a probability of about 1e-6
 SMALL = 256
+WHOLE = 16  # a node of up to so many parts of SMALL classes is compared in pairs of parts, without branching
 PART = 512  # classes whose full sets a task compares with as many others
 COLUMNS = 4096  # shingles counted at a time
 WORDS_KEPT = 1_000_000
@@ -219,8 +220,8 @@ def search(classes: DataFrame, percent: int, small: int) -> DataFrame:
 
     A node is done where all its classes are of one group. It is small if at most ``small`` of its classes
     are outside its largest group: those are compared with each other and with the rest, in cells of about
-    ``small`` of the rest each. Others get a pivot and then branch. What is still large after ``DEPTH``
-    branches is compared exhaustively, in cells for each pair of parts.
+    ``small`` of the rest each. One of at most ``WHOLE * small`` classes is compared in cells for each pair of parts.
+    Others get a pivot and then branch; what is still larger after ``DEPTH`` branches is compared in pairs of parts too.
     """
     looks = classes.select("c", "n", "sketch")
     paths = F.transform(F.slice("tokens", 1, TREES), lambda t, i: F.xxhash64(i, t))
@@ -235,12 +236,9 @@ def search(classes: DataFrame, percent: int, small: int) -> DataFrame:
         nodes = nodes.where("m > 1 and outside > 0")
         open_rows = stage(rows.join(nodes, "node"), "open")
         is_small = (F.col("m") <= small) | (F.col("outside") <= small)
-        last = turn == 2 * DEPTH
-        found.append(_cells(open_rows.where(is_small), looks, percent, small))
-        if last:
-            found.append(_parts(open_rows.where(~is_small), looks, percent, small))
-            break
-        large = open_rows.where(~is_small)
+        is_whole = ~is_small & ((F.col("m") <= WHOLE * small) | F.lit(turn == 2 * DEPTH))
+        found += [_cells(open_rows.where(is_small), looks, percent, small), _parts(open_rows.where(is_whole), looks, percent, small)]
+        large = open_rows.where(~is_small & ~is_whole)
         if large.isEmpty():
             break
         if turn % 2 == 0:
