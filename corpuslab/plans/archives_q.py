@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import constants as K
 from corpuslab.sources import archives
-from corpuslab.session import checkpoint_root, read_table, spread
+from corpuslab.session import checkpoint_root, read_table, spread, stage
 
 
 def write_wet_archives(spark: SparkSession, sf_dir: str) -> str:
@@ -87,6 +87,17 @@ def archive_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("size_bytes") > 0).alias("has_bytes"))
 
 
+def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw-input manifest: each archive's address, licence and checksum, and the totals of all."""
+    found = archives.probe_archives(spark, write_mixed_archives(spark, sf_dir))
+    found = stage(found.withColumn("rel_path", F.concat(F.lit("archive-"), F.regexp_extract("path", r"archive=(\d+)/", 1), F.lit(".wet.gz"))), "inventory")
+    rows = archives.raw_inventory(found, "CL-2026-01", "https://archives.example/")
+    key = ["source_name", "crawl_id", "license"]
+    files = rows.select(*key, "source_url", F.lit(1).cast("long").alias("file_count"), (F.length("raw_checksum_sha256") == 64).alias("complete"))
+    total = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("file_count"), F.bool_and(F.col("size_bytes") > 0).alias("complete"))
+    return files.unionByName(total.withColumn("source_url", F.lit("*")))
+
+
 def archive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passed records of the readable archives."""
     passed, _stats = archives.normalize_archives(spark, write_mixed_archives(spark, sf_dir))

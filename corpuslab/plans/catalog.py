@@ -38,6 +38,7 @@ def queries() -> dict[str, Query]:
         "published_versions": builds_q.published_versions,
         "wet_roundtrip": archives_q.wet_roundtrip,
         "archive_inventory": archives_q.archive_inventory,
+        "raw_inventory": archives_q.raw_inventory,
         "archive_documents": archives_q.archive_documents,
         "archive_stats": archives_q.archive_stats,
         "stream_gpu_means": streams_q.stream_gpu_means,

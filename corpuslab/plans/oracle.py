@@ -255,6 +255,12 @@ ARCHIVE_SQL: dict[str, str] = {
     "archive_inventory": """
 SELECT doc_id // 250 AS archive, (doc_id // 250) % 5 <> 3 AS readable, true AS has_checksum, true AS has_bytes
 FROM documents GROUP BY 1""",
+    "raw_inventory": """
+WITH a AS (SELECT DISTINCT doc_id // 250 AS archive FROM documents),
+r AS (SELECT 'https://archives.example/archive-' || archive || '.wet.gz' AS source_url, 1 AS file_count FROM a
+      UNION ALL SELECT '*' AS source_url, count(*) AS file_count FROM a HAVING count(*) > 0)
+SELECT 'common_crawl' AS source_name, 'CL-2026-01' AS crawl_id, 'https://commoncrawl.org/terms-of-use/' AS license, source_url,
+       file_count::BIGINT AS file_count, true AS complete FROM r""",
     "archive_documents": f"""
 WITH {ARCHIVES_CTE}
 SELECT uri, content_hash, strlen(norm_text)::BIGINT AS n_bytes FROM cls JOIN wdocs USING (doc_id) WHERE reason = 'passed'""",

@@ -1,72 +1,140 @@
 """Crawl-archive sources.
 
-* ``archive_paths``: a gzipped path list, trimmed, blank lines dropped, in file order (S1).
+* ``archive_paths``: a gzipped path list, trimmed, blank lines dropped, numbered in file order (S1).
 * ``probe_archives``: per file size, SHA-256 and gzip readability (S2, S4). A truncated or corrupt
   archive is rejected whole and counted once, as in the reference; Spark's ``ignoreCorruptFiles``
   would keep the readable prefix instead.
-* ``read_wet``: records of readable archives (S3). Spark splits on the ``WARC/1.0`` separator itself
-  (``lineSep``; gzip is decoded natively, one task per file). A separator ends its line: the rest of
-  the line (``\\r\\n`` or ``\\n``) is dropped, so CRLF and LF archives read alike, and a piece that
-  does not begin with a line end is text that goes on after a ``WARC/1.0`` of its own.
-  Invalid UTF-8 is repaired right after the scan (C10). Order key: (file_index, record_no).
+* ``raw_inventory``: the raw-input manifest's rows: where each archive came from, under which licence (S2).
+* ``read_wet``: records of readable archives (S3), split where ``WARC/1.0`` ends its line. Invalid UTF-8 is
+  replaced (C10). Order key: (file_index, record_no).
+
+Spark lists the files; tasks stream them, a chunk of ``CHUNK`` bytes at a time, so that an archive may have any size and
+only one record is held whole. An archive is read by one task (gzip can't be split), twice: once by the probe, which
+decides about it as a whole, and once for its records. Paths are opened by ``pyarrow.fs``: local-style mounts, ``s3://``,
+``gs://`` or ``hdfs://``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
+from corpuslab.operators.ordering import dense_positions
 from corpuslab.session import stage
 
-SEPARATOR = "WARC/1.0"
+BREAK = re.compile(rb"WARC/1\.0\r?\n")
+LONGEST_BREAK = 10
+CHUNK = 1 << 18
+BATCH_BYTES = 1 << 23  # text of an Arrow batch, but for its last record
+READ_BYTES = 128 << 20  # archive bytes that a task reads, on average
+LICENSE = "https://commoncrawl.org/terms-of-use/"
 
 
 def archive_paths(spark: SparkSession, path: str) -> DataFrame:
-    """(path_index, path) from a (gzipped) text list of archive paths."""
+    """(path_index, path) from a (gzipped) text list of archive paths, in file order."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_i"), F.trim("value").alias("path"))
-    lines = lines.filter(F.col("path") != "")
-    # ids grow along the file; a list file is one split (gzip), so the order is the file order
-    return lines.select(F.row_number().over(Window.orderBy("_i")).alias("path_index"), "path")
-
-
-def _readable(data: bytes) -> bool:
-    """Whole gzip members up to the last byte, decoded a chunk at a time. Zero padding after the last
-    member counts as unreadable, since Spark's gzip decoder refuses it."""
-    at = 0
-    try:
-        while at < len(data):
-            member = zlib.decompressobj(wbits=31)
-            while not member.eof:
-                chunk = data[at : at + (1 << 16)]
-                if not chunk:
-                    return False
-                member.decompress(chunk)
-                at += len(chunk) - len(member.unused_data)
-    except zlib.error:
-        return False
-    return True
-
-
-def _probe(batches):
-    for pdf in batches:
-        ok = []
-        for b in pdf["content"]:
-            ok.append(_readable(b))
-        yield pd.DataFrame({"path": pdf["path"], "readable": ok})
+    # ids grow along the file
+    numbered = dense_positions(lines.filter(F.col("path") != ""), ["_i"], "_n", persist_input=True)
+    return numbered.select((F.col("_n") + 1).alias("path_index"), "path").orderBy("path_index")
+
+
+def _stream(path: str):
+    from pyarrow import fs
+
+    if path.startswith(("file:", "/")):
+        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"), compression=None)
+    files, where = fs.FileSystem.from_uri(path)
+    return files.open_input_stream(where, compression=None)
+
+
+def _raw(stream) -> Iterator[bytes]:
+    while chunk := stream.read(CHUNK):
+        yield chunk
+
+
+def decoded(raw: Iterable[bytes]) -> Iterator[bytes]:
+    """Content of whole gzip members up to the last byte, in pieces of at most ``CHUNK`` bytes; ``zlib.error`` if there
+    is anything else. Zero padding after the last member is refused too."""
+    member = None
+    for chunk in raw:
+        while chunk:
+            member = member or zlib.decompressobj(wbits=31)
+            more = True
+            while more:  # output may be left when the input is used up
+                out = member.decompress(chunk, CHUNK)
+                chunk = member.unconsumed_tail
+                if out:
+                    yield out
+                more = bool(out) and not member.eof
+            if member.eof:  # its tail is in unused_data, whatever unconsumed_tail holds
+                chunk, member = member.unused_data, None
+    if member is not None:
+        raise zlib.error("the last gzip member is cut short")
+
+
+def blocks(pieces: Iterable[bytes]) -> Iterator[str]:
+    """The texts between separators, blank ones left out."""
+    held, searched = bytearray(), 0
+    for piece in pieces:
+        held += piece
+        at = 0
+        for m in BREAK.finditer(held, max(0, searched - LONGEST_BREAK + 1)):
+            yield held[at : m.start()].decode("utf-8", "replace")
+            at = m.end()
+        held = held[at:] if at else held
+        searched = len(held)
+    yield held.decode("utf-8", "replace")
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        digests, readable = [], []
+        for path in b.column(0).to_pylist():
+            digest = hashlib.sha256()
+            with _stream(path) as stream:
+
+                def hashed():
+                    for chunk in _raw(stream):
+                        digest.update(chunk)
+                        yield chunk
+
+                raw = hashed()
+                try:
+                    for _ in decoded(raw):
+                        pass
+                    readable.append(True)
+                except zlib.error:
+                    readable.append(False)
+                for chunk in _raw(stream):  # what a damaged archive has left
+                    digest.update(chunk)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests), pa.array(readable)],
+                                         names=[*b.schema.names, "raw_checksum_sha256", "readable"])
 
 
 def probe_archives(spark: SparkSession, path_glob: str) -> DataFrame:
-    """S2 + S4: (path, size_bytes, raw_checksum_sha256, modified_at, readable). The checksum is
-    computed JVM-side; only the gzip check runs in Python, once per file."""
-    bf = spark.read.format("binaryFile").load(path_glob)
-    meta = bf.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("raw_checksum_sha256"),
-                     F.col("modificationTime").alias("modified_at"))
-    ok = bf.select("path", "content").mapInPandas(_probe, "path string, readable boolean")
-    return meta.join(ok, on="path")
+    """S2 + S4: (path, size_bytes, modified_at, raw_checksum_sha256, readable), each file read once, whatever its size."""
+    listed = spark.read.format("binaryFile").load(path_glob).select(  # without content: names and sizes only
+        "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
+    return listed.mapInArrow(_probe, "path string, size_bytes long, modified_at timestamp, raw_checksum_sha256 string, readable boolean")
+
+
+def raw_inventory(files: DataFrame, crawl_id: str, base_url: str, source_name: str = "common_crawl", license: str = LICENSE) -> DataFrame:
+    """The raw-input manifest's rows of probed ``files``: source_name, crawl_id, source_url (``base_url`` and the
+    ``rel_path`` that the path list names; null where ``files`` has none), retrieved_at, license, raw_checksum_sha256,
+    artifact_location, size_bytes."""
+    rel = F.col("rel_path") if "rel_path" in files.columns else F.lit(None).cast("string")
+    return files.select(
+        F.lit(source_name).alias("source_name"), F.lit(crawl_id).alias("crawl_id"), F.concat(F.lit(base_url), rel).alias("source_url"),
+        F.col("modified_at").alias("retrieved_at"), F.lit(license).alias("license"), "raw_checksum_sha256",
+        F.col("path").alias("artifact_location"), "size_bytes")
 
 
 def _header(lines, key: str):
@@ -99,30 +167,33 @@ def parse_records(raw: DataFrame) -> DataFrame:
     return parsed.filter((F.col("warc_type") == "conversion") & (F.length("content") > 0)).drop("warc_type")
 
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                                           pa.array([r[2] for r in rows], pa.string())], names=["file_index", "record_no", "block"])
+
+    rows, size = [], 0
+    for b in batches:
+        for path, file_index in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            with _stream(path) as stream:
+                for i, block in enumerate(x for x in blocks(decoded(_raw(stream))) if x.strip()):
+                    rows.append((file_index, i, block))
+                    size += len(block)
+                    if size >= BATCH_BYTES:
+                        yield batch(rows)
+                        rows, size = [], 0
+    if rows:
+        yield batch(rows)
+
+
 def read_wet(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """S3: records of the readable files of ``files`` (path, readable, file_index)."""
-    good = [r.path for r in files.filter("readable").select("path").orderBy("path").collect()]  # file names only
-    if not good:
-        return spark.createDataFrame([], "file_index long, record_no long, uri string, content string")
-    raw = (
-        spark.read.option("lineSep", SEPARATOR).text(good)
-        .select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("record_no"),
-                T.valid_utf8(F.col("value")).alias("value"))
-    )
-    # an archive is one task in the scan already, and one partition here
-    begins = F.col("value").rlike(r"^\r?\n")
-    order = Window.partitionBy("_file").orderBy("record_no")
-    parts = raw.withColumn("_block", F.sum(F.when(begins, 1).otherwise(0)).over(order))
-    whole = parts.groupBy("_file", "_block").agg(
-        F.min("record_no").alias("record_no"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_no", "value"))), lambda x: x["value"]), SEPARATOR).alias("value"))
-    idx = files.select(F.col("path").alias("_file"), "file_index")
-    blocks = whole.join(idx, on="_file").select(
-        "file_index", "record_no", F.regexp_replace("value", r"^\r?\n", "").alias("block")
-    ).filter(F.col("block") != "")
-    # the reference skips blocks that are blank after stripping
-    blocks = blocks.filter(T.py_strip(F.col("block")) != "")
-    return parse_records(blocks)
+    """S3: (file_index, record_no, uri, content) of the readable files of ``files`` (path, size_bytes, readable,
+    file_index). ``record_no`` counts a file's blocks that are not blank, from 0."""
+    good = files.filter("readable").select("path", F.col("file_index").cast("long").alias("file_index"), "size_bytes")
+    size = good.agg(F.sum("size_bytes")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))  # by number: rows of a few bytes would be coalesced
+    dealt = good.select("path", "file_index").repartition(tasks, "path")
+    return parse_records(dealt.mapInArrow(_records, "file_index long, record_no long, block string"))
 
 
 def normalize_archives(spark: SparkSession, path_glob: str) -> tuple[DataFrame, DataFrame]:
@@ -130,9 +201,9 @@ def normalize_archives(spark: SparkSession, path_glob: str) -> tuple[DataFrame,
     ``rejected_malformed`` count of unreadable files)."""
     from corpuslab.operators import quality
 
-    files = stage(probe_archives(spark, path_glob), "archives")  # one row per file, read by all branches below
-    w = Window.orderBy("path")
-    files = files.withColumn("file_index", F.row_number().over(w))  # one row per file: small
+    # one row per file, read by all branches below
+    numbered = dense_positions(probe_archives(spark, path_glob), ["path"], "_n", persist_input=True)
+    files = stage(numbered.withColumn("file_index", F.col("_n") + 1).drop("_n"), "archives")
     recs = read_wet(spark, files)
     cls = quality.classify(recs, "content")
     passed = cls.filter(F.col("reason") == "passed").select("file_index", "record_no", "uri",

@@ -69,6 +69,52 @@ def test_separator_ends_its_line(spark):
     assert sorted((r.file_index, r.uri, r.content) for r in recs) == [(i, u, body + e) for i in (1, 2) for u, e in (("a", " end"), ("b", "!"))]
 
 
+def test_streams_equal_whole_reads(monkeypatch):
+    """Pieces of any size give what decompressing and splitting whole contents gives."""
+    import random
+    import re
+    import zlib
+
+    rng = random.Random(5)
+    words = [b"WARC/1.0\r\n", b"WARC/1.0\n", b"WARC/1.0", b"\r\n", b"\n", b"text ", b"\xff", "\u00e9".encode(), b"WARC/1", b"\xe2\x82"]
+    for size in (1, 2, 3, 7, 50, 1 << 18):
+        monkeypatch.setattr(archives, "CHUNK", size)
+        for _ in range(60):
+            members = [b"".join(rng.choices(words, k=rng.randrange(30))) for _ in range(rng.randrange(4))]
+            data = b"".join(map(gzip.compress, members))
+            pieces = [data[i : i + size] for i in range(0, len(data), size)]
+            assert all(len(x) <= size for x in archives.decoded(pieces))
+            want = [x for x in re.split(r"WARC/1\.0\r?\n", b"".join(members).decode("utf-8", "replace"))]
+            assert list(archives.blocks(archives.decoded(pieces))) == want
+            if members:
+                for bad in (data[:-1], data + b"\0", data + b"x", b"x" + data, data[:5]):
+                    try:
+                        list(archives.decoded(bad[i : i + size] for i in range(0, len(bad), size)))
+                        raise AssertionError(bad)
+                    except zlib.error:
+                        pass
+
+
+def test_inventory(spark):
+    import hashlib
+
+    d = tempfile.mkdtemp(prefix="inv-")
+    bomb = gzip.compress(b"\0" * 50_000_000)  # far more content than bytes
+    cut = gzip.compress(ARCH_LF.encode())[:-3] + b"?" * 1_000_000
+    sums = {"a.gz": bomb, "b c.gz": cut}
+    for name, data in sums.items():
+        _write(d, name, data, compress=False)
+    probe = archives.probe_archives(spark, os.path.join(d, "*.gz")).withColumn("rel_path", F.element_at(F.split("path", "/"), -1))
+    rows = archives.raw_inventory(probe, "CRAWL-1", "https://host.example/").collect()
+    got = {r.source_url: (r.source_name, r.crawl_id, r.license, r.raw_checksum_sha256, r.size_bytes) for r in rows}
+    assert got == {f"https://host.example/{n}": ("common_crawl", "CRAWL-1", archives.LICENSE, hashlib.sha256(x).hexdigest(), len(x))
+                   for n, x in sums.items()}
+    assert {r.readable for r in probe.where(F.col("path").endswith("b c.gz")).collect()} == {False}
+    assert archives.raw_inventory(probe.drop("rel_path"), "c", "u").where("source_url is null").count() == 2
+    empty = archives.read_wet(spark, probe.where("false").withColumn("file_index", F.lit(1)))
+    assert empty.columns == ["file_index", "record_no", "uri", "content"] and empty.count() == 0
+
+
 def test_json_keeps_nulls(spark):
     d = tempfile.mkdtemp(prefix="json-")
     df = spark.createDataFrame([("a", None)], "x string, y string")
