@@ -20,6 +20,8 @@ from corpuslab.llm.common import with_judgement
 from corpuslab.session import stage
 
 SAMPLE = 20_000  # most labelled rows used for the fit, the first by hash of the document's id
+HASH_BITS = 16
+HASH_RANGES = 1 << HASH_BITS
 TREES, DEPTH, BINS, RATE, RIDGE = 80, 4, 32, 0.15, 5.0
 THRESHOLD = 0.3
 PACKED = 1 << 16  # a text is compressed in parts of so many bytes to see how repetitive it is
@@ -120,9 +122,22 @@ def document_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def train(stats: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Trees:
     """Fits on at most ``sample`` of the rows where ``learn`` (over doc_id) holds and quality is not null,
-    in order of a hash of doc_id. ``labels``: (doc_id, quality)."""
+    in order of a hash of doc_id. ``labels``: (doc_id, quality).
+
+    Counts by the hash's leading bits, at most ``HASH_RANGES``, tell up to which range rows are needed, so that only
+    those are joined to their statistics and sorted. They are staged, and the driver gets ``sample`` rows at most."""
     given = labels.select("doc_id", F.col("quality").cast("double").alias("y")).where(F.col("y").isNotNull() & learn)
-    rows = stats.join(given, "doc_id").orderBy(F.xxhash64("doc_id"), "y").limit(sample).select("x", "y").collect()
+    place = (F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - HASH_BITS).bitwiseXOR(F.lit(HASH_RANGES // 2))).cast("int")  # in order of the signed hash
+    counts = stats.select("doc_id").join(given, "doc_id").groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()
+    last, found = -1, 0
+    for r in sorted(counts):
+        if found >= sample:
+            break
+        last, found = r.place, found + r.n
+    needed = place <= last
+    rows = stats.where(needed).join(given.where(needed), "doc_id").orderBy(F.xxhash64("doc_id"), "y", "x").limit(sample).select("x", "y")
+    rows = stage(rows, "labelled").collect()
+    rows.sort(key=lambda r: (r.y, r.x))  # files may be read in any order
     return fit(np.array([r.x for r in rows], float).reshape(-1, len(STATISTICS)), np.array([r.y for r in rows], float))
 
 

@@ -387,6 +387,21 @@ def test_verdicts_hold_for_far_and_faint_hosts(spark):
         assert all(abs(got[h].distrust - w) <= 2 * url_filter.ERROR * w for h, w in zip(names, want) if w > 0)
 
 
+def test_quality_sample(spark, monkeypatch):
+    """The rows learned from are the first by hash, repeated ones included, whatever the sample's size."""
+    width = len(quality.STATISTICS)
+    rows = [(i % 700 if i % 3 else 7, [float(i)] * width) for i in range(2000)]
+    stats = spark.createDataFrame(rows, "doc_id long, x array<double>").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 700, 2)] + [(7, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(sorted(zip(y.tolist(), x[:, 0].tolist()))))
+    joined = stats.join(labels, "doc_id").select(F.xxhash64("doc_id").alias("h"), F.col("quality").cast("double").alias("y"), F.col("x")[0].alias("x0")).collect()
+    ordered = sorted((r.h, r.y, r.x0) for r in joined)
+    for sample in (0, 1, 40, 900, 10_000):
+        quality.train(stats, labels, F.lit(True), sample)
+        assert seen.pop() == sorted((y, x) for _, y, x in ordered[:sample])
+
+
 def test_quality(spark, empty):
     rnd = random.Random(4)
     good = [" ".join(rnd.choices(EN, k=30)).capitalize() + "." for _ in range(150)]
