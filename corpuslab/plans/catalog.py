@@ -43,6 +43,9 @@ def queries() -> dict[str, Query]:
         "archive_stats": archives_q.archive_stats,
         "stream_gpu_means": streams_q.stream_gpu_means,
         "stream_dedup": streams_q.stream_dedup,
+        "stream_dedup_arrivals": streams_q.stream_dedup_arrivals,
+        "stream_idle_alarm": streams_q.stream_idle_alarm,
+        "stream_step_metrics": streams_q.stream_step_metrics,
     }
     for name in oracle_runs.RUN_SQL:
         q[name] = getattr(analytics, name)
@@ -57,5 +60,5 @@ def oracle_sql() -> dict[str, str]:
     sql.update(oracle.GATE_SQL)
     sql.update(oracle.ARCHIVE_SQL)
     sql.update(oracle_runs.STREAM_SQL)
-    sql["stream_dedup"] = oracle.CORPUS_SQL["dedup_exact"]
+    sql["stream_dedup"] = sql["stream_dedup_arrivals"] = oracle.CORPUS_SQL["dedup_exact"]
     return sql

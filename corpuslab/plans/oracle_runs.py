@@ -351,4 +351,24 @@ STREAM_SQL: dict[str, str] = {
 WITH {TELEMETRY_MEANS}
 SELECT instance_id, window_start, n, sum_cents, sum_cents::DOUBLE / n / 100.0 AS mean_value FROM m
 WHERE window_start + INTERVAL 5 MINUTE <= date_trunc('millisecond', (SELECT max(ts) FROM tl)) - INTERVAL 10 MINUTE""",
+    "stream_idle_alarm": f"""
+WITH r AS (SELECT 'i-' || user_id::VARCHAR AS instance_id, epoch_us(ts) // 120 AS us, event_id,
+                  CAST(CAST(value AS DECIMAL(12,2)) * 100 AS BIGINT) // 5 AS cents FROM events),
+a AS (SELECT *, us + event_id % 4 * 150000000 AS due FROM r),
+d AS (SELECT *, (due - (SELECT min(due) FROM a)) * 6 // (SELECT max(due) - min(due) + 1 FROM a) AS part FROM a),
+c AS (SELECT instance_id, make_timestamp(us) AS ts, cents FROM d WHERE NOT (event_id % 53 = 7 AND part < 2)),
+m AS (SELECT instance_id, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n, sum(cents) AS sum_cents FROM c GROUP BY ALL),
+l AS (SELECT instance_id, window_start, sum_cents < n * {int(round(K.ALARM_THRESHOLD * 100))} AS low FROM m
+      WHERE window_start + INTERVAL 5 MINUTE <= date_trunc('millisecond', (SELECT max(ts) FROM c)) - INTERVAL 10 MINUTE),
+x AS (SELECT *, lag(low, 1) OVER w AS l1, lag(low, 2) OVER w AS l2, lag(window_start, 1) OVER w AS s1, lag(window_start, 2) OVER w AS s2
+      FROM l WINDOW w AS (PARTITION BY instance_id ORDER BY window_start))
+SELECT instance_id, window_start FROM x
+WHERE low AND l1 AND l2 AND epoch(window_start) - epoch(s1) = 300 AND epoch(window_start) - epoch(s2) = 600""",
+    "stream_step_metrics": f"""
+WITH {STEPS},
+x AS (SELECT run_name, loss, row_number() OVER w AS step, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS tokens_processed,
+             (ts_us - min(ts_us) OVER (PARTITION BY run_name))::DOUBLE / 1000000.0 AS elapsed_sec
+      FROM st WINDOW w AS (PARTITION BY run_name ORDER BY ts_us, event_id))
+SELECT run_name, step, tokens_processed, elapsed_sec, tokens_processed::DOUBLE / nullif(elapsed_sec, 0) AS tokens_per_sec,
+       step % 10 = 0 AS logged, CASE WHEN isnan(loss) OR isinf(loss) THEN 'quarantine' ELSE 'steps' END AS sink FROM x""",
 }

@@ -211,6 +211,7 @@ def telemetry_of(ev: DataFrame) -> DataFrame:
         # naive timestamps: windows are computed on the wall clock, independent of time zones
         (epoch + F.make_dt_interval(zero, zero, zero, fast.cast("decimal(18,6)"))).alias("ts"),
         F.concat(F.lit("i-"), F.col("user_id").cast("string")).alias("instance_id"),
+        "event_id",
         F.lit("GPUUtilization").alias("metric"),
         (cents.cast("decimal(10,0)") * F.lit(CENT)).cast("decimal(12,2)").alias("value"),
         F.col("user_id"),

@@ -134,3 +134,41 @@ def test_late_rows_beyond_watermark_are_dropped(spark):
     _run(ST.window_means_stream(_stream(spark, d, "instance_id string, ts_us long, value double")), out, ck)
     rows = spark.read.parquet(out).collect()
     assert len(rows) == 4 and {r.n for r in rows} == {1}  # the late reading was dropped, not counted
+
+
+def test_step_metrics_batches(spark):
+    """Steps go on from batch to batch, bad losses and null runs included; a batch run again replaces its rows."""
+    from corpuslab.streaming import steps
+
+    folder = tempfile.mkdtemp(prefix="steps-")
+    schema = "run_name string, event_id long, ts_us long, tokens long, loss double, extra string"
+    first = [("a", 1, 1_000_000, 10, 1.0, "x"), ("a", 2, 3_000_000, None, float("nan"), "x"), (None, 3, 5_000_000, 7, 2.0, None)]
+    second = [("a", 4, 4_000_000, 5, float("-inf"), "x"), ("b", 5, 4_000_000, 1, None, "x"), (None, 6, 6_000_000, 1, 0.5, "x")]
+    for rows, i in ((first, 0), (second, 1), (second, 1), ([], 2), ([("a", 9, 5_000_000, 1, 3.0, "x")], 3)):
+        steps.write_batch(spark.createDataFrame(rows, schema), i, folder, log_every=2)
+    got = {name: sorted((r.run_name or "", r.step, r.tokens_processed, r.elapsed_sec, r.tokens_per_sec, r.logged)
+                        for r in spark.read.parquet(f"{folder}/{name}").collect()) for name in ("steps", "quarantine")}
+    assert got == {
+        "steps": [("", 1, 7, 0.0, None, False), ("", 2, 8, 1.0, 8.0, True), ("a", 1, 10, 0.0, None, False), ("a", 4, 16, 4.0, 4.0, True)],
+        "quarantine": [("a", 2, 10, 2.0, 5.0, True), ("a", 3, 15, 3.0, 5.0, False), ("b", 1, 1, 0.0, None, False)]}
+    totals = spark.read.parquet(f"{folder}/totals/batch_id=3").collect()
+    assert sorted((r.run_name or "", r.t0, r.tokens, r.steps) for r in totals) == [("", 5_000_000, 8, 2), ("a", 1_000_000, 16, 4), ("b", 4_000_000, 1, 1)]
+
+
+def test_arrivals(spark):
+    """Slices are equal parts of the range; a query started anew for each gets every row once."""
+    from corpuslab.streaming import runner
+
+    df = spark.createDataFrame([(i,) for i in (0, 1, 4, 5, 9)] + [(None,)], "k long")
+    parts = df.withColumn("part", runner.slice_of(df, "k", 2))
+    assert sorted((r.part, r.k) for r in parts.where("k is not null").collect()) == [(0, 0), (0, 1), (0, 4), (1, 5), (1, 9)]
+    seen = []
+
+    def start(stream, root):
+        return stream.writeStream.foreachBatch(lambda b, i: seen.append(sorted(r.k if r.k is not None else -1 for r in b.collect()))) \
+            .option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+
+    runner.run_as_arrived(parts, "part", 3, "arrivals", start)
+    assert [x for x in seen if x] == [[-1, 0, 1, 4], [5, 9]]
+    none = df.where("false")
+    assert none.withColumn("part", runner.slice_of(none, "k", 2)).count() == 0
