@@ -93,11 +93,12 @@ def _signatures(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
         ], names=["doc_id", "key", "c", "n", "tokens", "sketch"])
 
 
-def _near(n: np.ndarray, sketch: np.ndarray, i: slice | int, percent: int) -> np.ndarray:
-    """Whether row i (or each of a slice) may be a link of each row."""
-    low, high = np.minimum(n[i, None], n), np.maximum(n[i, None], n)
-    equal = (sketch[i, None] == sketch).sum(axis=-1)
-    return (equal >= LEAST_EQUAL) & (100 * low >= percent * high)
+def _near(n: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each two rows may be a link."""
+    equal = np.zeros((len(n), len(n)), np.uint8)
+    for byte in np.ascontiguousarray(sketch.T):
+        equal += byte[:, None] == byte
+    return (equal >= LEAST_EQUAL) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -106,11 +107,13 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 def _forest(near: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pairs of ``near`` that join all that it connects, beyond what equal labels say."""
-    for p in range(len(near)):
-        row = np.flatnonzero(near[p])
-        for r in np.setdiff1d(label[row], label[p]):
-            yield int(row[label[row] == r][0]), p
-            label[label == r] = label[p]
+    for p in np.flatnonzero((near & (label[:, None] != label)).any(axis=1)):
+        other = near[p] & (label != label[p])
+        while other.any():
+            q = int(other.argmax())
+            yield q, int(p)
+            label[label == label[q]] = label[p]
+            other &= label != label[p]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -157,7 +160,7 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         c = t.column("c").to_pylist()
         n, out = t.column("n").to_numpy(), t.column("out").to_numpy(zero_copy_only=False)
         sketch = _sketches(t.column("sketch").combine_chunks())
-        near = np.concatenate([_near(n, sketch, slice(i, i + 64), percent) for i in range(0, len(c), 64)])
+        near = _near(n, sketch, percent)
         near &= out[:, None] | out
         yield from ((c[x], c[y]) for x, y in _forest(near, _labels(t.column("grp"), c)))
 
