@@ -1,15 +1,17 @@
 """Licence scans with a generalised suffix automaton of licence words.
 
 The automaton holds the words of notice templates and of short phrases that name a licence. A text is
-streamed through it once. Matching statistics give the places of whole phrases, and the long matches
-of templates; matches that follow each other in the text and in a template, at any of their places in
-it, are chained, and the best chains that cover enough of their template are licence spans.
+streamed through it once. Matching statistics give the places of whole phrases, and, by the suffix links of
+the state reached, how long a match ends at each place of every template, however long another one's match is. Long
+matches that follow each other in the text and in a template are chained, and the best chains that cover
+enough of their template are licence spans.
 """
 
 from __future__ import annotations
 
 from bisect import bisect
 from collections import defaultdict
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -61,6 +63,9 @@ COVERED = 0.5  # of a template's words, for a label
 GAP = 32  # words between two matches of one chain
 
 
+Match = tuple[int, int, list[int]]  # start and end in the text, ends of its places in the template
+
+
 class Licences:
     def __init__(self, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES):
         items = [(("phrase", label), words(text.encode())) for text, label in phrases.items()]
@@ -90,28 +95,42 @@ class Licences:
     def scan(self, text: bytes | None) -> dict:
         w = words(text)
         found: list[tuple[int, str]] = []
-        ended: list[tuple[int, int, int]] = []  # longest matches: end in the text, state, words
-        before: tuple[int, int, int] | None = None
+        parts: dict[int, list[Match]] = defaultdict(list)
+        live: dict[tuple[int, int], int] = {}  # start in the text of each match, by template and place less position
+        at = -1
+
+        def end(gone: Iterable[tuple[int, int]]) -> None:
+            for item, shift in gone:
+                parts[item].append((live.pop((item, shift)), at + 1, [at + 1 + shift]))
+
         for i, v, n in self.auto.matches(w, self.least):
             found += ((i + 1 - self.sizes[p], self.labels[p]) for p in self.whole[v] if self.sizes[p] <= n)
-            if before and before[2] >= LEAST_MATCH and (i > before[0] + 1 or n <= before[2]):
-                ended.append(before)
-            before = (i, v, n)
-        if before and before[2] >= LEAST_MATCH:
-            ended.append(before)
-        spans = self._chains(ended)
+            now = self._places(v, n, i)
+            end(list(live) if i > at + 1 else [m for m in live if m not in now])
+            for m, size in now.items():
+                live.setdefault(m, i + 1 - size)
+            at = i
+        end(list(live))
+        spans = self._chains(parts)
         starts = [s for s, _ in found]
         base = sorted({label for _, label in found})
         return {"n_words": len(w), "n_base": len(found), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
                 "base_labels": ",".join(base), "labels": ",".join(sorted({*base, *(s["label"] for s in spans)})),
                 "score": 1.0 if found else max((s["covered"] for s in spans), default=0.0), "spans": spans}
 
-    def _chains(self, ended: list[tuple[int, int, int]]) -> list[dict]:
-        """Per template, the best chains of matches whose starts and ends all move on, with short gaps."""
-        parts = defaultdict(list)
-        for i, v, n in ended:
+    def _places(self, v: int, n: int, i: int) -> dict[tuple[int, int], int]:
+        """How many words match up to position i, ``LEAST_MATCH`` or more, by template and place less position."""
+        out: dict[tuple[int, int], int] = {}
+        while n >= LEAST_MATCH:
             for item, ends in self.places[v].items():
-                parts[item].append((i + 1 - n, i + 1, ends))
+                for e in ends:
+                    out.setdefault((item, e - i - 1), n)
+            v = self.auto.link[v]
+            n = self.auto.length[v]
+        return out
+
+    def _chains(self, parts: dict[int, list[Match]]) -> list[dict]:
+        """Per template, the best chains of matches whose starts and ends all move on, with short gaps."""
         out = []
         for item, matches in parts.items():
             for start, end, covered in best_chains(matches, COVERED * self.sizes[item]):
@@ -119,11 +138,8 @@ class Licences:
         return sorted(out, key=lambda s: (s["start"], s["label"]))
 
 
-Match = tuple[int, int, list[int]]  # start and end in the text, ends of all its places in the template
-
-
 def best_chains(matches: list[Match], least: float) -> list[tuple[int, int, int]]:
-    """Disjoint (start, end, covered) of matches in text order, those that cover most of the template first.
+    """Disjoint (start, end, covered) of matches in order of their ends in the text, those that cover most of the template first.
 
     In a chain, starts and ends move on both in the text and in the template, so what a match adds to
     the covered words depends only on the one before it. What lies between the chains taken is searched again.
@@ -159,6 +175,8 @@ def _ending_chains(matches: list[Match], least: float) -> list[tuple[int, int, i
             for k in range(j - 1, -1, -1):
                 if matches[k][1] + GAP < start:
                     break
+                if matches[k][0] >= start or matches[k][1] >= end:
+                    continue
                 for a0, b0, covered, first in best[k]:
                     if a0 < a and b0 < b:
                         top = max(top, (covered + b - max(a, b0), first))

@@ -537,6 +537,29 @@ def test_licence_fragments_do_not_hide_a_notice():
         assert [(s["start"], s["end"], s["covered"]) for s in own.scan(text.encode())["spans"]] == spans
 
 
+def test_licence_matches_of_each_template_alone(monkeypatch):
+    """Every longest match of a template, at every place, as a comparison word by word finds it: none hides another."""
+    rnd, least = random.Random(12), licenses.LEAST_MATCH
+    for size in (1, 2, 4):
+        for _ in range(60):
+            templates = {str(i): " ".join(rnd.choices("abc", [6, 3, 1], k=rnd.randint(1, 30))) for i in range(size)}
+            w = rnd.choices("abcx", [6, 3, 1, 0.3], k=rnd.randint(0, 60))
+            own, got = licenses.Licences({"c a": "phrase"}, templates), []
+            monkeypatch.setattr(own, "_chains", lambda parts: got.extend((str(k - 1), s, e, p) for k, ms in parts.items() for s, e, (p,) in ms) or [])
+            own.scan(" ".join(w).encode())
+            want = []
+            for label, text in templates.items():
+                t = text.split()
+                for i, j in itertools.product(range(len(w)), range(len(t))):
+                    if w[i] == t[j] and not (i and j and w[i - 1] == t[j - 1]):
+                        n = next((k for k in range(len(w)) if i + k == len(w) or j + k == len(t) or w[i + k] != t[j + k]), len(w))
+                        want += [(label, i, i + n, j + n)] * (n >= least)
+            assert sorted(got) == sorted(want)
+    own = licenses.Licences({}, {"A": "p q r s t u v w a b c d e f", "B": "a b c d e f g h"})
+    for text, start in (("a b c d e f", 0), ("w a b c d e f", 1), ("s t u v w a b c d e f", 5), ("w a b c d e f g h", 1)):
+        assert (start, "B") in [(x["start"], x["label"]) for x in own.scan(text.encode())["spans"]]
+
+
 def test_best_chains_cover_most():
     rnd = random.Random(6)
     for _ in range(400):
