@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,7 +19,7 @@ from pyspark.sql import types as ST
 
 from corpuslab.functions import constants as K
 
-NON_LETTER = r"[^\p{L}]+"
+NON_LETTER = r"\P{L}++"
 # Text whose code points are all below U+0300 is already NFC (no combining marks, no singletons,
 # no Hangul), so only rows with a later code point go through the UDF.
 MAY_CHANGE_UNDER_NFC = r"[^\x{0}-\x{2ff}]"
@@ -44,7 +46,8 @@ def sha256_hex(c: Column) -> Column:
 
 
 def _nfc_batch(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x) if isinstance(x, str) else None)
+    """Null where nothing changes, so that only changed text travels back."""
+    return s.map(lambda x: unicodedata.normalize("NFC", x) if isinstance(x, str) and not unicodedata.is_normalized("NFC", x) else None)
 
 
 # NFC is deterministic; the flag only stops Catalyst from pushing a filter on a verdict column
@@ -59,7 +62,8 @@ def nfc(c: Column) -> Column:
 
 def collapse_blanks(c: Column) -> Column:
     """Runs of spaces/tabs become one space."""
-    return F.regexp_replace(c, r"[ \t]+", " ")
+    # single spaces stay as they are, and most text has no others
+    return F.when(c.contains("  ") | c.contains("\t"), F.regexp_replace(c, r" [ \t]++|\t[ \t]*+", " ")).otherwise(c)
 
 
 def collapse_newlines(c: Column) -> Column:
@@ -67,9 +71,14 @@ def collapse_newlines(c: Column) -> Column:
     return F.regexp_replace(c, r"\n{3,}", "\n\n")
 
 
+def collapse_and_strip(c: Column) -> Column:
+    """C3+C4+C5, of text in NFC."""
+    return py_strip(collapse_newlines(collapse_blanks(c)))
+
+
 def normalize_text(c: Column) -> Column:
     """C2+C3+C4+C5 in the reference's order."""
-    return py_strip(collapse_newlines(collapse_blanks(nfc(c))))
+    return collapse_and_strip(nfc(c))
 
 
 # Line terminators of Python's ``str.splitlines()`` as one class, and the white space that is not a terminator.
@@ -96,7 +105,11 @@ def nonblank_line_count(t: Column) -> Column:
 
 def boilerplate_line_count(t: Column) -> Column:
     """Number of lines that, stripped and lower-cased, equal a boilerplate line."""
-    return F.regexp_count(F.lower(t), F.lit(BOILERPLATE_LINE))
+    def count(low):  # the lines are only looked at in a text that has one of the phrases
+        some = reduce(or_, (low.contains(x) for x in K.BOILERPLATE_LINES))
+        return F.when(~some, F.lit(0)).otherwise(F.regexp_count(low, F.lit(BOILERPLATE_LINE)))
+
+    return F.transform(F.array(F.lower(t)), count)[0]  # a lambda's variable is computed once
 
 
 def low_signal_reason(t: Column) -> Column:

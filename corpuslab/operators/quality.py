@@ -22,10 +22,13 @@ def classify(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     raw = docs.withColumn("_t", T.py_strip(F.col(text_col)))
     raw = raw.withColumn("_r1", T.low_signal_reason(F.col("_t")))
-    norm = raw.withColumn("norm_text", T.normalize_text(F.when(F.col("_r1").isNull(), F.col(text_col))))
+    norm = raw.withColumn("_n", T.nfc(F.when(F.col("_r1").isNull(), F.col(text_col))))
+    # ``explode`` of one value: a filter on the verdict isn't pushed below it, which would put a copy of the whole
+    # normalization into the filter for each use of its result
+    norm = norm.withColumn("norm_text", F.explode(F.array(T.collapse_and_strip(F.col("_n")))))
     # the second pass can only differ when normalization changed more than the ends
-    norm = norm.withColumn("_r2", F.when(F.col("_r1").isNull() & (F.col("norm_text") != F.col("_t")),
-                                         T.low_signal_reason(F.col("norm_text"))))
+    norm = norm.withColumn("_r2", F.explode(F.array(F.when(F.col("_r1").isNull() & (F.col("norm_text") != F.col("_t")),
+                                                           T.low_signal_reason(F.col("norm_text"))))))
     passed = F.col("_r1").isNull() & F.col("_r2").isNull()
     return (
         norm.withColumn("reason", F.coalesce("_r1", "_r2", F.lit("passed")))
@@ -33,7 +36,7 @@ def classify(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("content_hash", F.when(passed, T.sha256_hex(F.col("norm_text"))))
         .withColumn("n_bytes", F.octet_length("_t").cast("long"))
         .withColumn("norm_bytes", F.octet_length("norm_text").cast("long"))
-        .drop("_t", "_r1", "_r2")
+        .drop("_t", "_n", "_r1", "_r2")
     )
 
 

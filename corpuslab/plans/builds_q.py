@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from corpuslab.operators import tokens as TK
 from corpuslab.operators.builds import diff_builds
 from corpuslab.plans.tokenize import SEQ_LEN, corpus_docs
-from corpuslab.session import checkpoint_root
+from corpuslab.session import checkpoint_root, stage
 from corpuslab.sources import files
-from corpuslab.sources.packed import read_packed, write_packed
+from corpuslab.sources.packed import read_packed, token_bytes, write_packed
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -31,12 +31,11 @@ def build_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed corpus written as shards of int32 records and read back from them."""
     packed = TK.pack_bytes(corpus_docs(spark, sf_dir), SEQ_LEN)
-    # a byte is a token
-    tokens = F.transform(F.regexp_extract_all(F.hex("packed"), F.lit("(..)")), lambda h: F.conv(h, 16, 10).cast("int"))
+    # a byte is a token; staged, since the range partitioner reads it twice
+    packed = stage(packed.select("seq_id", F.col("packed").alias("tokens")), "packed")
     path = _folder(spark, "packed")
-    write_packed(packed.select("seq_id", tokens.alias("tokens")), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    digits = F.transform("tokens", lambda t: F.lpad(F.hex(t.cast("long")), 2, "0"))
-    return read_packed(spark, path).select("seq_id", F.sha2(F.unhex(F.array_join(digits, "")), 256).alias("seq_digest"))
+    write_packed(packed, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return token_bytes(read_packed(spark, path)).select("seq_id", F.sha2("packed", 256).alias("seq_digest"))
 
 
 def published_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

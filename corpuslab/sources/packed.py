@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as ST
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 BATCH = 4096  # sequences of a batch read
@@ -143,10 +144,39 @@ class PackedShards(DataSource):
         return PackedWriter(self.options["path"])
 
 
+def _byte_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq_id, binary) to (seq_id, tokens)."""
+    for b in batches:
+        rows = b.column(1).to_pylist()
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        flat = np.frombuffer(b"".join(rows), np.uint8).astype(np.int32)
+        yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["seq_id", "tokens"])
+
+
+def _token_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq_id, tokens), each below 256, to (seq_id, binary)."""
+    for b in batches:
+        lists = b.column(1)
+        flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        if len(flat) and (flat.min() < 0 or flat.max() > 255):
+            raise ValueError("a byte token is 0 to 255")
+        whole = flat.astype(np.uint8).tobytes()
+        rows = [whole[lo:hi] for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        yield pa.record_batch([b.column(0), pa.array(rows, pa.binary())], names=["seq_id", "packed"])
+
+
+def token_bytes(packed: DataFrame) -> DataFrame:
+    """(seq_id, packed binary) of byte tokens (seq_id, tokens)."""
+    return packed.select("seq_id", "tokens").mapInArrow(_token_bytes, "seq_id long, packed binary")
+
+
 def write_packed(packed: DataFrame, path: str, shards: int) -> None:
-    """``packed`` (seq_id, tokens), every seq_id once and without gaps, as ``shards`` consecutive shards."""
+    """``packed`` (seq_id, tokens), every seq_id once and without gaps, as ``shards`` consecutive shards. ``tokens`` may be
+    binary, a byte a token: it is sampled and shuffled as such and becomes integers in the task that writes them."""
     packed.sparkSession.dataSource.register(PackedShards)
     ranged = packed.select("seq_id", "tokens").repartitionByRange(shards, "seq_id").sortWithinPartitions("seq_id")
+    if isinstance(packed.schema["tokens"].dataType, ST.BinaryType):
+        ranged = ranged.mapInArrow(_byte_tokens, SCHEMA)
     ranged.write.format("packed_shards").mode("append").save(_uri(path))
 
 

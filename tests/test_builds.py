@@ -13,7 +13,7 @@ from corpuslab.operators.builds import LEAF, diff_builds, differing_ranges
 from corpuslab.operators.dedup import verdict_counts
 from corpuslab.plans.gates import manifest_of
 from corpuslab.sources import files
-from corpuslab.sources.packed import PackedWriter, read_packed, write_packed
+from corpuslab.sources.packed import PackedWriter, read_packed, token_bytes, write_packed
 
 
 def _build(spark, rows):
@@ -79,6 +79,18 @@ def test_packed_shards_round_trip(spark, tmp_path, n, shards):
         write_packed(given, path, shards)
 
 
+def test_packed_bytes_round_trip(spark, tmp_path):
+    """Binary tokens, a byte each, are written as the integers they stand for, and come back as the same bytes."""
+    rows = [(i, bytes((i * 7 + j * 31) % 256 for j in range(64))) for i in range(300)]
+    given = spark.createDataFrame(rows, "seq_id long, tokens binary").repartition(5)
+    write_packed(given, f"{tmp_path}/packed", 3)
+    back = read_packed(spark, f"{tmp_path}/packed")
+    assert {r["seq_id"]: bytes(r["tokens"]) for r in back.collect()} == dict(rows)
+    assert sorted((r["seq_id"], bytes(r["packed"])) for r in token_bytes(back.repartition(2)).collect()) == rows
+    none = token_bytes(back.where("seq_id < 0"))
+    assert none.columns == ["seq_id", "packed"] and none.count() == 0
+
+
 def test_failed_write_leaves_no_shard(spark, tmp_path):
     path = f"{tmp_path}/packed"
     uneven = _sequences(spark, 500).withColumn("tokens", F.when(F.col("seq_id") == 444, F.array(F.lit(1))).otherwise(F.col("tokens")))
