@@ -3,8 +3,7 @@
 Input streams carry event time as ``TIMESTAMP`` (``withWatermark`` rejects ``TIMESTAMP_NTZ``, so
 cast first). Spark drops rows older than the previous batch's watermark (rows between that and the
 current watermark may still count); windows are emitted once closed (append mode), so a stream's
-output equals its batch twin on closed windows when data arrives within the delay. The custom
-alarm state drops readings for periods it has already closed.
+output equals its batch twin on closed windows when data arrives within the delay.
 """
 
 from __future__ import annotations
@@ -29,65 +28,23 @@ def window_means_stream(readings: DataFrame, period: str = "5 minutes", delay: s
                     (F.col("sum_cents").cast("double") / F.col("n") / 100.0).alias("mean_value"))
 
 
-ALARM_STATE = "open_starts array<long>, open_n array<long>, open_sum array<long>, last_closed long, streak int"
 ALARM_OUT = "instance_id string, window_start timestamp"
 
 
-def _alarm_fn(period_ms: int, thr_cents: int, periods: int):
-    def fn(key, batches, state):
-        if state.exists:
-            starts, ns, sums, last_closed, streak = state.get
-            open_w = {int(s): [int(n), int(m)] for s, n, m in zip(starts, ns, sums)}
-        else:
-            open_w, last_closed, streak = {}, None, 0
-        if not state.hasTimedOut:
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                ms = pdf["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
-                start = ms - np.mod(ms, period_ms)
-                g = pd.DataFrame({"s": start, "c": pdf["cents"].astype("int64")}).groupby("s")["c"].agg(["count", "sum"])
-                for s, row in g.iterrows():
-                    if last_closed is not None and int(s) <= last_closed:
-                        continue  # a late reading for a period already closed: dropped, like Spark does
-                    cur = open_w.setdefault(int(s), [0, 0])
-                    cur[0] += int(row["count"])
-                    cur[1] += int(row["sum"])
-        wm = state.getCurrentWatermarkMs()
-        alarms = []
-        for s in sorted(open_w):
-            if s + period_ms > wm:
-                break
-            n, total = open_w.pop(s)
-            low = total < n * thr_cents
-            if low and last_closed is not None and last_closed == s - period_ms and streak > 0:
-                streak += 1
-            else:
-                streak = 1 if low else 0
-            last_closed = s
-            if streak >= periods:
-                alarms.append(s)
-        if open_w or last_closed is not None:
-            keys = sorted(open_w)
-            state.update((keys, [open_w[k][0] for k in keys], [open_w[k][1] for k in keys], last_closed, int(streak)))
-            if keys:
-                state.setTimeoutTimestamp(max(keys[0] + period_ms, wm + 1))
-        yield pd.DataFrame({"instance_id": [key[0]] * len(alarms),
-                            "window_start": pd.to_datetime(alarms, unit="ms")})
-    return fn
-
-
 def idle_alarm_stream(readings: DataFrame, threshold: float = K.ALARM_THRESHOLD, periods: int = K.ALARM_EVALUATION_PERIODS,
                       period_sec: int = K.ALARM_PERIOD_SEC, delay: str = "10 minutes") -> DataFrame:
     """ST3: alarm at a period that closes ``periods`` adjacent low periods (mean < threshold);
-    missing data (no readings in a period) breaks the streak. Custom state per instance: the open
-    periods (bounded by the watermark delay), the last closed period and the streak length."""
+    missing data (no readings in a period) breaks the streak. Two windows after each other, both closed by the watermark:
+    the periods' counts and sums, and for the low ones a window of ``periods`` of them, sliding by one, which is
+    an alarm where all are low. State holds the open periods (bounded by the watermark delay) and the low ones of open windows."""
+    period = f"{period_sec} seconds"
     cents = (F.col("value").cast("decimal(12,2)") * 100).cast("long")
-    src = readings.withWatermark("ts", delay).select("instance_id", "ts", cents.alias("cents"))
-    fn = _alarm_fn(period_sec * 1000, int(round(threshold * 100)), periods)
-    return src.groupBy("instance_id").applyInPandasWithState(
-        fn, ALARM_OUT, ALARM_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    closed = readings.withWatermark("ts", delay).groupBy("instance_id", F.window("ts", period).alias("p")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(cents).alias("sum_cents"))
+    low = closed.where(F.col("sum_cents") < F.col("n") * int(round(threshold * 100)))
+    runs = low.groupBy("instance_id", F.window("p", f"{period_sec * periods} seconds", period).alias("w")).agg(F.count(F.lit(1)).alias("n_low"))
+    last = F.timestamp_micros(F.unix_micros("w.end") - period_sec * 1_000_000)
+    return runs.where(F.col("n_low") == periods).select("instance_id", last.alias("window_start"))
 
 
 STEP_STATE = "t0 long, before long, steps long"
