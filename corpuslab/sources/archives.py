@@ -31,9 +31,10 @@ from corpuslab.session import stage
 
 BREAK = re.compile(rb"WARC/1\.0\r?\n")
 LONGEST_BREAK = 10
+BLANK_LINE = r"(?:\A|\n)\r*+(?:\n|\z)"  # with the line ends around it
 CHUNK = 1 << 18
-BATCH_BYTES = 1 << 23  # text of an Arrow batch, but for its last record
-READ_BYTES = 128 << 20  # archive bytes that a task reads, on average
+BATCH_BYTES = 1 << 20  # text of an Arrow batch, but for its last record
+READ_BYTES = 16 << 20  # archive bytes that a task reads, on average
 LICENSE = "https://commoncrawl.org/terms-of-use/"
 
 
@@ -138,14 +139,8 @@ def raw_inventory(files: DataFrame, crawl_id: str, base_url: str, source_name: s
 
 
 def _header(lines, key: str):
-    pairs = F.transform(
-        F.filter(lines, lambda x: x.contains(":")),
-        lambda x: F.struct(
-            F.lower(T.py_strip(F.substring_index(x, ":", 1))).alias("k"),
-            T.py_strip(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("v"),
-        ),
-    )
-    return F.try_element_at(F.filter(pairs, lambda p: p["k"] == F.lit(key)), F.lit(-1))["v"]
+    named = F.filter(lines, lambda x: x.contains(":") & (F.lower(T.py_strip(F.substring_index(x, ":", 1))) == F.lit(key)))
+    return T.py_strip(F.regexp_extract(F.try_element_at(named, F.lit(-1)), r"^[^:]*:(.*)$", 1))
 
 
 def parse_records(raw: DataFrame) -> DataFrame:
@@ -153,16 +148,14 @@ def parse_records(raw: DataFrame) -> DataFrame:
     (lines right-stripped of '\\r'), keys lower-cased and trimmed, last duplicate wins; keep
     ``warc-type = conversion`` with a non-empty body; URI defaults to ''. A block without a blank
     line is taken whole as body."""
-    lines = F.split(F.col("block"), "\n", -1)
-    clean = F.transform(lines, lambda x: F.regexp_replace(x, "\r+$", ""))
-    first_blank = F.array_position(clean, F.lit(""))
-    headers = F.when(first_blank > 0, F.slice(clean, 1, F.greatest(first_blank - 1, F.lit(0)).cast("int"))).otherwise(clean)
-    body_lines = F.when(first_blank > 0, F.slice(lines, (first_blank + 1).cast("int"), F.size(lines))).otherwise(lines)
+    # cut at the first blank line; the body's lines are never taken apart
+    cut = F.split(F.col("block"), BLANK_LINE, 2)
+    headers = F.transform(F.split(cut[0], "\n", -1), lambda x: F.regexp_replace(x, "\r+$", ""))
     parsed = raw.select(
         "file_index", "record_no",
         F.coalesce(_header(headers, "warc-type"), F.lit("")).alias("warc_type"),
         F.coalesce(_header(headers, "warc-target-uri"), F.lit("")).alias("uri"),
-        T.py_strip(F.array_join(body_lines, "\n")).alias("content"),
+        T.py_strip(F.element_at(cut, -1)).alias("content"),
     )
     return parsed.filter((F.col("warc_type") == "conversion") & (F.length("content") > 0)).drop("warc_type")
 
@@ -176,7 +169,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, file_index in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             with _stream(path) as stream:
-                for i, block in enumerate(x for x in blocks(decoded(_raw(stream))) if x.strip()):
+                for i, block in enumerate(x for x in blocks(decoded(_raw(stream))) if x and not x.isspace()):
                     rows.append((file_index, i, block))
                     size += len(block)
                     if size >= BATCH_BYTES:
@@ -192,7 +185,8 @@ def read_wet(spark: SparkSession, files: DataFrame) -> DataFrame:
     good = files.filter("readable").select("path", F.col("file_index").cast("long").alias("file_index"), "size_bytes")
     size = good.agg(F.sum("size_bytes")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))  # by number: rows of a few bytes would be coalesced
-    dealt = good.select("path", "file_index").repartition(tasks, "path")
+    # by range, which deals consecutive archives out evenly; a hash would give some tasks several and others none
+    dealt = good.select("path", "file_index").repartitionByRange(tasks, "file_index", "path")
     return parse_records(dealt.mapInArrow(_records, "file_index long, record_no long, block string"))
 
 
@@ -209,9 +203,11 @@ def normalize_archives(spark: SparkSession, path_glob: str) -> tuple[DataFrame,
     passed = cls.filter(F.col("reason") == "passed").select("file_index", "record_no", "uri",
                                                             F.col("norm_text").alias("text"), "content_hash")
     key = F.when(F.col("reason") == "passed", F.lit("passed")).otherwise(F.concat(F.lit("rejected_"), F.col("reason")))
-    per_file = cls.groupBy("file_index", key.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    totals = cls.groupBy("file_index").agg(F.count(F.lit(1)).alias("n")).select("file_index", F.lit("total").alias("reason"), "n")
+    # one pass for the counts by verdict and in all
+    rolled = cls.select("file_index", key.alias("reason")).groupingSets([["file_index", "reason"], ["file_index"]], "file_index", "reason").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping("reason").alias("_all"))
+    counts = rolled.select("file_index", F.when(F.col("_all") == 1, "total").otherwise(F.col("reason")).alias("reason"), "n")
     malformed = files.filter(~F.col("readable")).select("file_index", F.lit("rejected_malformed").alias("reason"),
                                                         F.lit(1).cast("long").alias("n"))
-    stats = per_file.unionByName(totals).unionByName(malformed).join(files.select("file_index", "path"), on="file_index")
+    stats = counts.unionByName(malformed).join(files.select("file_index", "path"), on="file_index")
     return passed, stats
