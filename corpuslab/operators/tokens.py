@@ -19,7 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -76,15 +79,16 @@ def _pieces(docs_off: DataFrame, L: int, text_col: str) -> DataFrame:
     touches. The slices are cut inside one ``transform`` over the sequence range, so each exploded
     row carries only its own slice, never a copy of the whole document."""
     off, n = F.col("off"), F.col("n_tokens")
-    b = F.encode(F.col(text_col), "UTF-8")
 
-    def cut(s):
+    def cut(b, s):
         start = F.greatest(off, s * L)
         end = F.least(off + n, (s + 1) * L)
         return F.struct(s.alias("seq_id"), start.alias("start"),
                         F.substring(b, (start - off + 1).cast("int"), (end - start).cast("int")).alias("piece"))
 
-    pieces = F.transform(F.sequence(_idiv(off, L), _idiv(off + n - 1, L)), cut)
+    # a lambda's variable is computed once: inside ``cut`` the text would be encoded again for every slice
+    b = F.encode(F.col(text_col), "UTF-8")
+    pieces = F.transform(F.array(b), lambda x: F.transform(F.sequence(_idiv(off, L), _idiv(off + n - 1, L)), lambda s: cut(x, s)))[0]
     return docs_off.filter(n > 0).select(F.explode(pieces).alias("p")).select(
         F.col("p.seq_id").cast("long").alias("seq_id"), "p.start", "p.piece")
 
@@ -126,19 +130,54 @@ def join_word_ids(tokens: DataFrame, vocab: DataFrame, salt_cols: list[str], n_h
     return tagged.join(v, on=["word", "_salt"]).drop("_salt")
 
 
-def collect_word_ids(tokens: DataFrame, vocab: DataFrame, key: str, n_frequent: int = FREQUENT) -> DataFrame:
-    """(key, ids array<int> in ``k`` order) from token rows (key, k, word); ``k`` is unique in a key.
+ROWS = 512  # documents looked up at a time
+
+
+def _slots(batches: Iterator[pa.RecordBatch], near: pa.Table, L: int) -> Iterator[pa.RecordBatch]:
+    """(key, at, words) to (key, slots, rest_k, rest): slots are longs of (k, id) of the words in ``near``, the others keep
+    their k. k counts from ``at``; with ``L`` the count is cut into sequences, and key is the sequence."""
+    known, ids = near.column("word").combine_chunks(), near.column("id").to_numpy().astype(np.int64)
+    for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        lists = b.column(2)
+        n, flat = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), lists.flatten()
+        if not len(flat):
+            continue
+        doc = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(flat)) - (np.cumsum(n) - n)[doc] + b.column(1).to_numpy()[doc]
+        seq, k = (k // L, k % L) if L else (doc, k)
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (seq[1:] != seq[:-1])]))
+        found = pc.index_in(flat, value_set=known.cast(flat.type))
+        hit = found.is_valid().to_numpy(zero_copy_only=False)
+        slots = k[hit] << 32 | ids[found.drop_null().to_numpy()]
+        ends = np.append(first[1:], len(flat))
+        hits = np.concatenate([[0], np.cumsum(hit)[ends - 1]]).astype(np.int32)
+        rests = pa.array((np.concatenate([[0], ends]) - hits).astype(np.int32))
+        yield pa.record_batch([
+            pa.array(seq[first]) if L else b.column(0).take(pa.array(doc[first])),
+            pa.ListArray.from_arrays(pa.array(hits), pa.array(slots)),
+            pa.ListArray.from_arrays(rests, pa.array(k[~hit])),
+            pa.ListArray.from_arrays(rests, flat.filter(pa.array(~hit))),
+        ], names=["key", "slots", "rest_k", "rest"])
+
+
+def collect_word_ids(docs: DataFrame, vocab: DataFrame, key: str, L: int = 0, n_frequent: int = FREQUENT) -> DataFrame:
+    """(key, ids array<int> in the words' order) of documents (key, at, words), ``at`` the place of the first word. With
+    ``L`` the words of all documents are one row, cut into sequences of ``L``, and key is the sequence.
 
     The ``n_frequent`` first words of at most ``FREQUENT_LENGTH`` code points are broadcast (a proven
-    bound) and their tokens never cross a shuffle as rows: each task gathers a key's tokens, as longs of
-    (k, id), before the exchange. Only the tokens of other words are shuffled to the rest of the
-    vocabulary, salted, since a word too long to be broadcast may still be hot."""
+    bound) and looked up a batch of documents at a time, so their tokens are never rows. Only the tokens of other
+    words are shuffled as rows to the rest of the vocabulary, salted, since a word too long to be broadcast may
+    still be hot."""
     frequent = (F.col("id") <= n_frequent) & (F.length("word") <= FREQUENT_LENGTH)
-    near = F.broadcast(vocab.filter(frequent).select("word", "id"))
-    slot = F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("id").cast("long")).alias("_slot")
-    rest = join_word_ids(tokens.join(near, "word", "left_anti"), vocab.filter(~frequent), [key, "k"])
-    slots = tokens.join(near, "word").select(key, slot).unionByName(rest.select(key, slot))
-    gathered = slots.groupBy(key).agg(F.sort_array(F.collect_list("_slot")).alias("_slots"))
+    near = docs.sparkSession.sparkContext.broadcast(vocab.filter(frequent).select("word", "id").toArrow())
+    schema = ST.StructType([ST.StructField("_key", ST.LongType() if L else docs.schema[0].dataType)]).add(
+        "slots", ST.ArrayType(ST.LongType())).add("rest_k", ST.ArrayType(ST.LongType())).add("rest", ST.ArrayType(ST.StringType()))
+    cut = stage(docs.mapInArrow(lambda b: _slots(b, near.value, L), schema), "word-slots").withColumnRenamed("_key", key)
+    rest = cut.select(key, F.explode(F.arrays_zip("rest_k", "rest")).alias("r")).select(key, F.col("r.rest_k").alias("k"), F.col("r.rest").alias("word"))
+    rest = join_word_ids(rest, vocab.filter(~frequent), [key, "k"])
+    slot = F.shiftleft("k", 32).bitwiseOR(F.col("id").cast("long"))
+    slots = cut.select(key, "slots").unionByName(rest.select(key, F.array(slot).alias("slots")))
+    gathered = slots.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("slots"))).alias("_slots"))
     ids = F.transform("_slots", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
     return gathered.select(key, ids.alias("ids"))
 
@@ -147,13 +186,10 @@ def pack_word_ids(docs: DataFrame, vocab: DataFrame, L: int, order_col: str = "d
                   text_col: str = "text", n_frequent: int = FREQUENT) -> DataFrame:
     """W3 with word tokens: (seq_id, tokens array<int> of exactly L ids).
     Shuffles: offsets (range), join offsets on the order key (one row per document), group by
-    sequence id (at most L tokens per group), join of the rare words' tokens."""
+    sequence id (a row per document and sequence, and at most L tokens per group), join of the rare words' tokens."""
     offs = token_offsets(docs, "word", order_col, text_col).filter(F.col("n_tokens") > 0)
     docs_off = docs.select(order_col, text_col).join(offs.select(order_col, "off"), on=order_col)
-    exploded = docs_off.select("off", F.posexplode(_words(docs, text_col)).alias("pos", "word"))
-    at = F.col("off") + F.col("pos")
-    tokens = exploded.select(_idiv(at, L).alias("seq_id"), F.pmod(at, F.lit(L)).alias("k"), "word")
-    ids = collect_word_ids(tokens, vocab, "seq_id", n_frequent)
+    ids = collect_word_ids(docs_off.select(order_col, "off", _words(docs, text_col).alias("words")), vocab, "seq_id", L, n_frequent)
     return ids.filter(F.size("ids") == L).select("seq_id", F.col("ids").alias("tokens"))
 
 
@@ -164,8 +200,7 @@ def doc_word_ids(docs: DataFrame, vocab: DataFrame, order_col: str = "doc_id", t
     ws = _words(docs, text_col)
     if max_pos is not None:
         ws = F.slice(ws, 1, max_pos)
-    tokens = docs.select(order_col, F.posexplode(ws).alias("k", "word"))
-    ids = collect_word_ids(tokens, vocab, order_col, n_frequent)
+    ids = collect_word_ids(docs.select(order_col, F.lit(0).cast("long").alias("at"), ws.alias("words")), vocab, order_col, n_frequent=n_frequent)
     return (
         docs.select(order_col)
         .join(ids, on=order_col, how="left")

@@ -94,3 +94,17 @@ def test_salted_vocab_join_equals_plain_join(spark):
     key = ["doc_id", "pos", "word", "id"]
     assert sorted(map(tuple, salted.select(*key).collect())) == sorted(map(tuple, plain.select(*key).collect()))
     assert salted.count() == len(rows)
+
+
+def test_frequent_words_are_no_rows(spark, monkeypatch):
+    """Frequent words are looked up in batches of documents of any size, and never exploded into rows."""
+    monkeypatch.setattr(TK, "ROWS", 2)
+    texts = ["a b a c", "", None, "b " * 11, "c d e", "a"]
+    docs = _docs(spark, texts).repartition(1)
+    vocab = TK.fit_vocabulary(docs)
+    ids = {r.word: r.id for r in vocab.collect()}
+    stream = [ids[w] for t in texts for w in (t or "").split()]
+    for n in (0, 2, 100):
+        seqs = TK.pack_word_ids(docs, vocab, 3, n_frequent=n)
+        assert [x for r in seqs.orderBy("seq_id").collect() for x in r.tokens] == stream[: len(stream) // 3 * 3]
+        assert "posexplode" not in seqs._jdf.queryExecution().toString()
