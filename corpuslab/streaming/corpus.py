@@ -24,20 +24,18 @@ def _batch_writer(kept_path: str):
         spark = batch.sparkSession
         cls = quality.classify(batch.select("doc_id", "text")).filter(F.col("reason") == "passed")
         firsts = dedup.keep_first(cls.select("doc_id", F.col("norm_text").alias("text"), "content_hash"))
+        to = os.path.join(kept_path, f"batch_id={batch_id}")
+        try:
+            earlier = spark.read.parquet(kept_path).filter(F.col("batch_id") != batch_id).select("content_hash")
+        except Exception as e:  # noqa: BLE001 - nothing kept yet
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            firsts.write.mode("overwrite").parquet(to)  # read once, so not persisted
+            return
         firsts = firsts.persist(StorageLevel.MEMORY_AND_DISK)  # read by the semi join and the anti join
         try:
-            try:
-                earlier = spark.read.parquet(kept_path).filter(F.col("batch_id") != batch_id).select("content_hash")
-            except Exception as e:  # noqa: BLE001 - nothing kept yet
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-                earlier = None
-            if earlier is None:
-                new = firsts
-            else:
-                seen = earlier.join(firsts.select("content_hash"), on="content_hash", how="left_semi")
-                new = firsts.join(seen, on="content_hash", how="left_anti")
-            new.write.mode("overwrite").parquet(os.path.join(kept_path, f"batch_id={batch_id}"))
+            seen = earlier.join(firsts.select("content_hash"), on="content_hash", how="left_semi")
+            firsts.join(seen, on="content_hash", how="left_anti").write.mode("overwrite").parquet(to)
         finally:
             firsts.unpersist()
     return process

@@ -164,3 +164,20 @@ def test_paths_jsonl_manifest_log(spark):
     packed = spark.createDataFrame([(0, [1, 2, 258])], "seq_id long, tokens array<int>")
     rec = files.packed_records(packed).collect()[0].record
     assert bytes(rec) == (1).to_bytes(4, "little") + (2).to_bytes(4, "little") + (258).to_bytes(4, "little")
+
+
+def test_archive_counts_read_records_once(spark):
+    d = tempfile.mkdtemp(prefix="wet-once-")
+    _write(d, "a.gz", ARCH_CRLF.encode())
+    _, stats = archives.normalize_archives(spark, os.path.join(d, "*.gz"))
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow _records") == 1
+
+
+def test_records_cut_at_the_first_blank_line(spark):
+    """Only headers are taken apart; a record's body is what follows the first line of nothing but carriage returns."""
+    head = "WARC-Type: conversion\nWARC-Target-URI: u"
+    blocks = [head + "\n\nx\r\n\ny\n", head + "\r\r\n\r\r\n x ", "\n" + head, head + "\n\n", head + "\n", head + "\n \nWARC-Type: request\n\nb", head]
+    raw = spark.createDataFrame([(1, i, b) for i, b in enumerate(blocks)], "file_index long, record_no long, block string")
+    out = archives.parse_records(raw)
+    assert sorted((r.record_no, r.uri, r.content) for r in out.collect()) == [(0, "u", "x\r\n\ny"), (1, "u", "x"), (6, "u", head)]
+    assert "array_join" not in out._jdf.queryExecution().toString()

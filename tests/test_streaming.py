@@ -172,3 +172,29 @@ def test_arrivals(spark):
     assert [x for x in seen if x] == [[-1, 0, 1, 4], [5, 9]]
     none = df.where("false")
     assert none.withColumn("part", runner.slice_of(none, "k", 2)).count() == 0
+
+
+def test_idle_alarm_has_no_python_state(spark):
+    """The alarm is windows all through, with no call of Python for each instance and batch."""
+    d = tempfile.mkdtemp(prefix="plan-")
+    plan = ST.idle_alarm_stream(_stream(spark, d, "instance_id string, ts_us long, value double"))._jdf.queryExecution().analyzed().toString()
+    assert "WithState" not in plan and plan.count("Aggregate") == 2
+
+
+def test_first_batch_is_not_persisted(spark, monkeypatch):
+    """With nothing kept yet the batch is read once, so it is written straight away."""
+    docs = read_table(spark, SF, "documents").select("doc_id", "text")
+    kept = tempfile.mkdtemp(prefix="first-") + "/kept"
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "persist", lambda *_: (_ for _ in ()).throw(AssertionError("persisted")))
+        SC._batch_writer(kept)(docs, 0)
+    SC._batch_writer(kept)(docs, 1)
+    passed = quality.classify(docs).filter(F.col("reason") == "passed")
+    assert spark.read.parquet(kept).count() == passed.select("content_hash").distinct().count()
+    assert spark.read.parquet(f"{kept}/batch_id=1").count() == 0
+
+
+def test_normalization_is_not_repeated_by_a_filter(spark):
+    docs = read_table(spark, SF, "documents").select("doc_id", "text")
+    plan = quality.classify(docs).filter(F.col("reason") == "passed").select("content_hash")._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("{3,}") <= 2
