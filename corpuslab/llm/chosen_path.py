@@ -232,15 +232,19 @@ def search(classes: DataFrame, percent: int, small: int) -> DataFrame:
     found: list[DataFrame] = []
     stars: DataFrame | None = None
     for turn in range(2 * DEPTH + 1):
-        by_group = rows.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("m"))
-        top = F.max(F.when(F.col("grp").isNotNull(), F.struct("m", "grp"))).alias("top")
-        nodes = by_group.groupBy("node").agg(F.sum("m").alias("m"), top)
-        nodes = nodes.select("node", "m", F.col("top.grp").alias("top"), (F.col("m") - F.coalesce("top.m", F.lit(0))).alias("outside"))
-        nodes = nodes.where("m > 1 and outside > 0")
-        open_rows = stage(rows.join(nodes, "node"), "open")
+        open_rows = _open(rows)
         is_small = (F.col("m") <= small) | (F.col("outside") <= small)
         is_whole = ~is_small & ((F.col("m") <= WHOLE * small) | F.lit(turn == 2 * DEPTH))
-        found += [_cells(open_rows.where(is_small), looks, percent, small), _parts(open_rows.where(is_whole), looks, percent, small)]
+        found.append(_cells(open_rows.where(is_small), looks, percent, small))
+        whole = open_rows.where(is_whole)
+        if not whole.isEmpty():
+            # the parts by themselves first: what they connect, over all nodes, need not be told again by each pair of parts
+            within = stage(_parts(whole, looks, percent, small, "within"), "within")
+            found.append(within)
+            stars = stars.union(within) if stars is not None else within
+            again = _open(_regrouped(whole.select("node", "c", "grp"), stars))
+            found += [_cells(again.where(F.col("outside") <= small), looks, percent, small),
+                      _parts(again.where(F.col("outside") > small), looks, percent, small, "across")]
         large = open_rows.where(~is_small & ~is_whole)
         if large.isEmpty():
             break
@@ -255,9 +259,7 @@ def search(classes: DataFrame, percent: int, small: int) -> DataFrame:
             found.append(starred.where("star and c <> grp").select(F.col("c").alias("a"), F.col("grp").alias("b")))
             stars = stars.union(found[-1]) if stars is not None else found[-1]
             # groups that stars of any node connect are one group in all nodes
-            roots = components(stars).select(F.col("node").alias("x"), "root")
-            merged = starred.select("node", "c", "grp").union(without).join(roots, F.col("c") == F.col("x"), "left")
-            rows = stage(merged.select("node", "c", F.coalesce("root", "grp").alias("grp")), "merged")
+            rows = stage(_regrouped(starred.select("node", "c", "grp").union(without), stars), "merged")
         else:
             tokens = classes.select("c", "tokens")
             places = F.array_distinct(F.array(*(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(TOKENS - TREES)) + TREES + 1 for k in range(BRANCH))))
@@ -270,6 +272,22 @@ def search(classes: DataFrame, percent: int, small: int) -> DataFrame:
     return out
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows (node, c, grp) of nodes that are not of one group, with the node's size m, its largest group ``top`` and how
+    many classes are ``outside`` of it."""
+    by_group = rows.groupBy("node", "grp").agg(F.count(F.lit(1)).alias("m"))
+    top = F.max(F.when(F.col("grp").isNotNull(), F.struct("m", "grp"))).alias("top")
+    nodes = by_group.groupBy("node").agg(F.sum("m").alias("m"), top)
+    nodes = nodes.select("node", "m", F.col("top.grp").alias("top"), (F.col("m") - F.coalesce("top.m", F.lit(0))).alias("outside"))
+    return stage(rows.join(nodes.where("m > 1 and outside > 0"), "node"), "open")
+
+
+def _regrouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (node, c, grp) with the groups that ``links`` (a, b) connect."""
+    roots = components(links).select(F.col("node").alias("x"), "root")
+    return rows.join(roots, F.col("c") == F.col("x"), "left").select("node", "c", F.coalesce("root", "grp").alias("grp"))
+
+
 def _cells(rows: DataFrame, looks: DataFrame, percent: int, small: int) -> DataFrame:
     """A node's classes in cells: those outside its largest group in each, the others dealt out."""
     out = (F.col("m") <= small) | F.col("top").isNull() | ~F.col("grp").eqNullSafe(F.col("top"))
@@ -280,11 +298,13 @@ def _cells(rows: DataFrame, looks: DataFrame, percent: int, small: int) -> DataF
     return _run_cells(dealt, looks, percent)
 
 
-def _parts(rows: DataFrame, looks: DataFrame, percent: int, small: int) -> DataFrame:
-    """Every pair of parts of a node is a cell, so that no pair is left out and no cell is large."""
+def _parts(rows: DataFrame, looks: DataFrame, percent: int, small: int, which: str = "all") -> DataFrame:
+    """Every pair of parts of a node is a cell, so that no pair is left out and no cell is large; ``within``: only each
+    part with itself; ``across``: only pairs of two. A node has parts of its own, so that those of several overlap."""
     parts = F.ceil(F.col("m") / small).cast("int")
-    mine = F.pmod(F.xxhash64("c"), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
+    mine = F.pmod(F.xxhash64("node", "c"), parts).cast("int")
+    others = F.array(mine) if which == "within" else F.sequence(F.lit(0), parts - 1)
+    other = F.explode(F.array_remove(others, mine) if which == "across" else others)
     dealt = rows.select("node", "c", "grp", F.lit(True).alias("out"), mine.alias("mine"), parts.alias("parts"), other.alias("other"))
     cell = F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")
     return _run_cells(dealt.select("node", "c", "grp", "out", cell.alias("cell")), looks, percent)

@@ -338,3 +338,13 @@ def test_hirschberg_over_long_sequences():
             found.add((cost, audit + conversations._END[states[-1]][1]))
         want = _cheapest([("?sua"[c % 4], "", faults[c - c % 4]) for c in codes])
         assert found == ({want[:2]} if n else set())
+
+
+def test_parts_tell_a_group_once(spark):
+    """One large group of near copies: the pairs told grow with its classes, not with its pairs of parts."""
+    rows = [(i, " ".join(f"w{j}" for j in range(60)) + f" end{i}") for i in range(96)]
+    signed = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.lit(b"").alias("key"), "text").mapInArrow(
+        lambda b: chosen_path._signatures(b, 3), "doc_id long, key binary, c binary, n long, tokens array<long>, sketch binary")
+    pairs = chosen_path.search(signed.select("c", "n", "tokens", "sketch"), 85, 8).collect()
+    # a tree's parts are one forest each, and up to one node a tree is told by its parts
+    assert len({bytes(c) for p in pairs for c in p}) == 96 and len(pairs) <= 2 * chosen_path.TREES * 96
