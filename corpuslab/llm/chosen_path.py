@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import join_hot, small_batches, text_bytes
-from corpuslab.llm.components import components
+from corpuslab.llm.components import components, extended
 from corpuslab.session import stage
 
 SHINGLE, PERCENT = 3, 85
@@ -219,18 +219,19 @@ def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 def search(classes: DataFrame, percent: int, small: int) -> DataFrame:
-    """Pairs (a, b) of classes (c, n, tokens, sketch) that may be links: all that may are connected by them, over all trees.
+    """(node, root) of the classes (c, n, tokens, sketch) that pairs that may be links connect, over all trees.
 
     A node is done where all its classes are of one group. It is small if at most ``small`` of its classes
     are outside its largest group: those are compared with each other and with the rest, in cells of about
     ``small`` of the rest each. One of at most ``WHOLE * small`` classes is compared in cells for each pair of parts.
     Others get a pivot and then branch; what is still larger after ``DEPTH`` branches is compared in pairs of parts too.
+    What a turn's pivots and parts connect is added to what is known, and is not worked on again.
     """
     looks = classes.select("c", "n", "sketch")
     paths = F.transform(F.slice("tokens", 1, TREES), lambda t, i: F.xxhash64(i, t))
     rows = classes.select(F.explode(paths).alias("node"), "c", F.lit(None).cast("binary").alias("grp"))
     found: list[DataFrame] = []
-    stars: DataFrame | None = None
+    known: DataFrame | None = None
     for turn in range(2 * DEPTH + 1):
         open_rows = _open(rows)
         is_small = (F.col("m") <= small) | (F.col("outside") <= small)
@@ -239,10 +240,8 @@ def search(classes: DataFrame, percent: int, small: int) -> DataFrame:
         whole = open_rows.where(is_whole)
         if not whole.isEmpty():
             # the parts by themselves first: what they connect, over all nodes, need not be told again by each pair of parts
-            within = stage(_parts(whole, looks, percent, small, "within"), "within")
-            found.append(within)
-            stars = stars.union(within) if stars is not None else within
-            again = _open(_regrouped(whole.select("node", "c", "grp"), stars))
+            known = extended(known, _parts(whole, looks, percent, small, "within"))
+            again = _open(_regrouped(whole.select("node", "c", "grp"), known))
             found += [_cells(again.where(F.col("outside") <= small), looks, percent, small),
                       _parts(again.where(F.col("outside") > small), looks, percent, small, "across")]
         large = open_rows.where(~is_small & ~is_whole)
@@ -256,10 +255,9 @@ def search(classes: DataFrame, percent: int, small: int) -> DataFrame:
             told = told.select("node", "c", "grp", "n", "sketch", "pc", "pn", "psketch")
             starred = stage(told.mapInArrow(lambda b: _stars(b, percent), "node long, c binary, grp binary, star boolean"), "starred")
             without = large.join(pivots.where("p is null"), "node", "left_semi").select("node", "c", "grp")
-            found.append(starred.where("star and c <> grp").select(F.col("c").alias("a"), F.col("grp").alias("b")))
-            stars = stars.union(found[-1]) if stars is not None else found[-1]
+            known = extended(known, starred.where("star and c <> grp").select(F.col("c").alias("a"), F.col("grp").alias("b")))
             # groups that stars of any node connect are one group in all nodes
-            rows = stage(_regrouped(starred.select("node", "c", "grp").union(without), stars), "merged")
+            rows = stage(_regrouped(starred.select("node", "c", "grp").union(without), known), "merged")
         else:
             tokens = classes.select("c", "tokens")
             places = F.array_distinct(F.array(*(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(TOKENS - TREES)) + TREES + 1 for k in range(BRANCH))))
@@ -269,7 +267,7 @@ def search(classes: DataFrame, percent: int, small: int) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
-    return out
+    return extended(known, out)
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -282,9 +280,9 @@ def _open(rows: DataFrame) -> DataFrame:
     return stage(rows.join(nodes.where("m > 1 and outside > 0"), "node"), "open")
 
 
-def _regrouped(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (node, c, grp) with the groups that ``links`` (a, b) connect."""
-    roots = components(links).select(F.col("node").alias("x"), "root")
+def _regrouped(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (node, c, grp) with the groups of ``known`` (node, root)."""
+    roots = known.select(F.col("node").alias("x"), "root")
     return rows.join(roots, F.col("c") == F.col("x"), "left").select("node", "c", F.coalesce("root", "grp").alias("grp"))
 
 
@@ -395,7 +393,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("key"),
         F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "classes")
 
-    clusters = components(search(classes.select("c", "n", "tokens", "sketch"), percent, small))
+    clusters = search(classes.select("c", "n", "tokens", "sketch"), percent, small)
     wanted = clusters.select(F.col("node").alias("c"), "root").join(classes.select("c", "key", "sketch"), "c")
     texts = docs.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("c", "root", "sketch", "text")
     members = stage(texts.mapInArrow(lambda b: _sets(b, shingle), "c binary, root binary, sketch binary, found binary"), "members")

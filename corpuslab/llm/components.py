@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by least labels and pointer jumping."""
+"""Connected components of an edge table, by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -11,21 +11,47 @@ from corpuslab.session import stage
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each end of ``edges`` (a, b): root is the least node reachable.
 
-    Each round takes the least label of the neighbours and then the label of that label, so the
-    rounds grow with the logarithm of a component's diameter. Every round is written to the shared
-    folder; nothing but the count of changed labels comes to the driver.
+    Each round hooks every node to the first, by hash, of itself and its neighbours, and goes on from there once more.
+    Edges then join what their ends are hooked to, and those inside one are done, so a round reads the
+    edges that are left and not all of them again. The first is by hash so that no order of the names makes long
+    chains. Every round is written to the shared folder; nothing but whether edges are left comes to the driver.
     """
-    edges = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stage(edges.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    edges = stage(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    rounds: list[DataFrame] = []
     while True:
-        near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        low = labels.join(near, F.col("node") == F.col("a")).select(
-            "node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        low = stage(low, "labels")
-        up = low.select(F.col("node").alias("via"), F.col("root").alias("top"))
-        labels = stage(low.join(up, F.col("root") == F.col("via")).select("node", F.col("top").alias("root"), "was"),
-                       "labels")
-        if labels.where("root <> was").isEmpty():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+        both = edges.union(edges.select("b", "a"))
+        first = F.min(F.struct(F.xxhash64("b").alias("h"), "b")).alias("near")
+        own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("b"))
+        hooks = stage(both.groupBy("a").agg(first).select(F.col("a").alias("node"), F.least(own, "near")["b"].alias("to")), "hooks")
+        up = hooks.select(F.col("node").alias("via"), F.col("to").alias("top"))
+        rounds.append(hooks.join(up, F.col("to") == F.col("via")).select("node", F.col("top").alias("to")))
+        edges = stage(relabelled(edges, rounds[-1].select("node", F.col("to").alias("root"))), "edges")
+        if edges.isEmpty():
+            break
+    ends = rounds.pop()
+    while rounds:
+        later = ends.select(F.col("node").alias("via"), F.col("to").alias("top"))
+        ends = rounds.pop().join(later, F.col("to") == F.col("via"), "left").select("node", F.coalesce("top", "to").alias("to"))
+    ends = stage(ends, "ends")
+    least = ends.groupBy("to").agg(F.min("node").alias("root"))
+    return ends.join(least, "to").select("node", "root")
+
+
+def relabelled(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The different ``edges`` (a, b) between what ``roots`` (node, root) make of their ends; an end without a root stays."""
+    for end, other in (("a", "b"), ("b", "a")):
+        edges = edges.join(roots, F.col(end) == F.col("node"), "left").select(F.coalesce("root", end).alias(end), other)
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def extended(known: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``components`` of all edges behind ``known`` (node, root) and of ``edges``; only those that join two roots are worked on."""
+    if known is None:
+        return stage(components(edges), "known")
+    fresh = stage(relabelled(edges, known), "fresh")
+    if fresh.isEmpty():
+        return known
+    more = stage(components(fresh), "more")
+    moved = known.join(more.select(F.col("node").alias("via"), F.col("root").alias("top")), F.col("root") == F.col("via"), "left")
+    new = more.join(known.select("node"), "node", "left_anti").select("node", "root")
+    return stage(moved.select("node", F.coalesce("top", "root").alias("root")).union(new), "known")

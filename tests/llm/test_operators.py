@@ -136,6 +136,51 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100, 500: 100}
 
 
+def _joined(edges):
+    label = {x: x for e in edges for x in e}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        label[y] = x
+    return {x: find(x) for x in label}
+
+
+def test_components_work_on_the_edges_left(spark, monkeypatch):
+    """A round reads the edges that are left, not all again, and what is known is not worked on twice."""
+    from corpuslab.llm import components as module
+
+    rnd = random.Random(5)
+    dense = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(400)] + [(50 + i, 51 + i) for i in range(60)] + [(7, 7), (200, 200)]
+    kept: list[tuple[str, int]] = []
+    stage = module.stage
+
+    def counted(df, name):
+        made = stage(df, name)
+        kept.append((name, made.count()))
+        return made
+
+    monkeypatch.setattr(module, "stage", counted)
+    frame = spark.createDataFrame([*dense, (None, 3), (4, None)], "a long, b long")
+    known = module.extended(None, frame)
+    assert dict(map(tuple, known.collect())) == _joined(dense)
+    edges = [n for name, n in kept if name == "edges"]
+    assert len(edges) > 1 and edges[-1] == 0 and sum(edges[1:]) < edges[0]
+
+    kept.clear()
+    again = module.extended(known, frame.where("a is not null and b is not null"))
+    assert [n for name, n in kept if name == "edges"] == [] and again.count() == known.count()
+
+    more = [(45, 30), (45, 110), (300, 301), (200, 301), (2, 3)]
+    got = module.extended(known, spark.createDataFrame(more, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(_joined(dense + more).items())
+    assert max(n for name, n in kept if name == "edges") <= 4
+
+
 def _fill(budget, children):
     """Budgets of (weight, capacity) children: rounds in which the full ones leave."""
     left, rest, out = dict(enumerate(children)), budget, {}
